@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from opsmill.functions.text import shell_words
 
 RESULT_SCHEMA = "seq int, name string, status string, duration bigint, message string, suite string"
+VALUE_SCHEMA = "seq int, name string, expected string, actual string"
 SUITE = "SQLValidation"
 _BATCH = 50
 
@@ -55,6 +56,31 @@ def _first_value(spark: SparkSession, query: str) -> DataFrame:
     return df.select(value.cast("string").alias("actual")).limit(1)
 
 
+def _value_row(
+    spark: SparkSession, seq: int, assertion: Assertion, values: Mapping[str, str]
+) -> Column:
+    """An assertion with its value as a scalar subquery; raises when it cannot be analysed."""
+    actual = F.lit(None).cast("string")
+    if not assertion.skipped:
+        actual = _first_value(spark, fill_query(assertion.query, values)).scalar()
+    return F.struct(
+        F.lit(seq).alias("seq"),
+        F.lit(assertion.name).alias("name"),
+        F.lit(assertion.expected).alias("expected"),
+        actual.alias("actual"),
+    )
+
+
+def _as_table(spark: SparkSession, rows: list[Column]) -> DataFrame:
+    if not rows:
+        return spark.createDataFrame([], VALUE_SCHEMA)
+    parts = [
+        spark.range(1).select(F.inline(F.array(*rows[i : i + _BATCH])))
+        for i in range(0, len(rows), _BATCH)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def assertion_values(
     spark: SparkSession, assertions: Iterable[Assertion], values: Mapping[str, str] | None = None
 ) -> DataFrame:
@@ -64,27 +90,8 @@ def assertion_values(
     merges those that aggregate the same table, so the table is read once for
     all of them. A query without rows gives NULL.
     """
-    values = values or {}
-    rows = [
-        F.struct(
-            F.lit(seq).alias("seq"),
-            F.lit(a.name).alias("name"),
-            F.lit(a.expected).alias("expected"),
-            (
-                F.lit(None).cast("string")
-                if a.skipped
-                else _first_value(spark, fill_query(a.query, values)).scalar()
-            ).alias("actual"),
-        )
-        for seq, a in enumerate(assertions, 1)
-    ]
-    if not rows:
-        return spark.createDataFrame([], "seq int, name string, expected string, actual string")
-    parts = [
-        spark.range(1).select(F.inline(F.array(*rows[i : i + _BATCH])))
-        for i in range(0, len(rows), _BATCH)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    rows = [_value_row(spark, seq, a, values or {}) for seq, a in enumerate(assertions, 1)]
+    return _as_table(spark, rows)
 
 
 def judge(values: DataFrame, tolerance: float | None = None) -> DataFrame:
@@ -114,54 +121,66 @@ def judge(values: DataFrame, tolerance: float | None = None) -> DataFrame:
     )
 
 
-def _collected(judged: DataFrame, millis: float) -> list[tuple]:
+def _timed(judged: DataFrame, count: int) -> list[tuple]:
+    """Collected result rows; the time taken is shared out evenly."""
+    begun = time.monotonic()
+    found = judged.select("seq", "name", "status", "message", "suite").collect()
+    share = max(1, int((time.monotonic() - begun) * 1000 / max(1, count)))
     return [
-        (r["seq"], r["name"], r["status"], 0 if r["status"] == "skipped" else max(1, int(millis)), r["message"], r["suite"])
-        for r in judged.collect()
+        (r["seq"], r["name"], r["status"], 0 if r["status"] == "skipped" else share, r["message"], r["suite"])
+        for r in found
     ]
 
 
+def _failure(seq: int, assertion: Assertion, error: PySparkException) -> tuple:
+    reason = error.getCondition() or type(error).__name__
+    return (seq, assertion.name, "failed", 1, f"Query failed: {reason}", SUITE)
+
+
 def run_assertions(
     spark: SparkSession,
     assertions: Iterable[Assertion],
     values: Mapping[str, str] | None = None,
     tolerance: float | None = None,
-    echo: bool = False,
 ) -> DataFrame:
     """Run assertions now and return their results (``RESULT_SCHEMA``).
 
-    All of them run as one query; when one of them fails to run, each runs by
-    itself and the failing ones are reported with their error. With ``echo``
-    no query runs and every result equals its expectation (a check of the
-    reporting itself, headed by a made-up test).
+    Queries that cannot be analysed are reported as failed; the others run as
+    one query. When one of them fails to run, each runs by itself and the
+    failing ones are reported with their error. Nothing stops the run.
     """
-    assertions = list(assertions)
-    if echo:
-        even = datetime.now(timezone.utc).minute % 2 == 0
-        title = "Fake Failing Test" if even else "Fake Passing Test"
-        assertions = [Assertion(title, "", "expected"), *assertions]
-        rows = [(i, a.name, a.expected, a.expected) for i, a in enumerate(assertions, 1)]
-        df = spark.createDataFrame(rows, "seq int, name string, expected string, actual string")
-        return spark.createDataFrame(_collected(judge(df), 1), RESULT_SCHEMA)
+    results: list[tuple] = []
+    runnable: dict[int, tuple[Assertion, Column]] = {}
+    for seq, one in enumerate(assertions, 1):
+        try:
+            runnable[seq] = (one, _value_row(spark, seq, one, values or {}))
+        except PySparkException as error:
+            results.append(_failure(seq, one, error))
     try:
-        begun = time.monotonic()
-        judged = judge(assertion_values(spark, assertions, values), tolerance)
-        rows = _collected(judged, 1)
-        share = (time.monotonic() - begun) * 1000 / max(1, len(assertions))
-        rows = [(*r[:3], 0 if r[2] == "skipped" else max(1, int(share)), *r[4:]) for r in rows]
+        table = _as_table(spark, [row for _, row in runnable.values()])
+        results += _timed(judge(table, tolerance), len(runnable))
     except PySparkException:
-        rows = []
-        for seq, one in enumerate(assertions, 1):
-            begun = time.monotonic()
+        for seq, (one, row) in runnable.items():
             try:
-                found = judge(assertion_values(spark, [one], values), tolerance).collect()[0]
-                status, title, message = found["status"], found["name"], found["message"]
+                results += _timed(judge(_as_table(spark, [row]), tolerance), 1)
             except PySparkException as error:
-                reason = error.getCondition() or type(error).__name__
-                status, title, message = "failed", one.name, f"Query failed: {reason}"
-            millis = 0 if status == "skipped" else max(1, int((time.monotonic() - begun) * 1000))
-            rows.append((seq, title, status, millis, message, SUITE))
-    return spark.createDataFrame(sorted(rows), RESULT_SCHEMA)
+                results.append(_failure(seq, one, error))
+    return spark.createDataFrame(sorted(results), RESULT_SCHEMA)
+
+
+def echo_assertions(spark: SparkSession, assertions: Iterable[Assertion]) -> DataFrame:
+    """Results as if every query gave what is expected, headed by a made-up test.
+
+    Checks the reporting without running a query. The made-up test's name
+    depends on whether the minute is even.
+    """
+    even = datetime.now(timezone.utc).minute % 2 == 0
+    title = "Fake Failing Test" if even else "Fake Passing Test"
+    listed = [Assertion(title, "", "expected"), *assertions]
+    rows = [(i, a.name, a.expected, a.expected) for i, a in enumerate(listed, 1)]
+    return spark.createDataFrame(
+        _timed(judge(spark.createDataFrame(rows, VALUE_SCHEMA)), len(rows)), RESULT_SCHEMA
+    )
 
 
 def table_checks(df: DataFrame, checks: Mapping[str, tuple[Column, str]]) -> DataFrame:

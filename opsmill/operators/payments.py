@@ -154,8 +154,8 @@ def _step(position: int) -> str:
 
 
 def _xpath(field: Field) -> str:
-    end = f"@{field.attribute}" if field.attribute else "text()"
-    return "/*/" + "/".join(_step(p) for p in field.positions) + "/" + end
+    end = f"/@{field.attribute}" if field.attribute else "[not(*)]/text()"
+    return "/*/" + "/".join(_step(p) for p in field.positions) + end
 
 
 def _named(document: Column, field: Field) -> Column:

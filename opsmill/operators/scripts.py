@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from opsmill.functions.text import fill_spaced, overlay
 
-_OPEN, _CLOSE = "", ""
+# Private-use characters, which no script holds.
+_OPEN, _CLOSE = "\ue000", "\ue001"
 _WORD = r"(?U)(?<![\"'])(?<!\w)([A-Za-z_][A-Za-z0-9_]*)(?!\w)(?![\"'])"
 _PIECE = r"('[^']*'|[^']++(?:'(?=[^']*$)[^']*+)?|'(?=[^']*$)[^']*+)"
 _INLINE_SELECT = r"(?iU)^(\s*\)\s*AS\s+)SELECT\s+(.+?)\s+FROM\s+(.+)$"
