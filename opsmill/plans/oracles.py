@@ -185,7 +185,7 @@ FROM transfers
 PAY_PARSE_008 = f"WITH {_MESSAGES}, p AS ({_PARSED_TRANSFERS}) SELECT * EXCLUDE (k) FROM p"
 
 # Transfers whose file name also says pacs002 are read as status reports, too:
-# only their first two fields hold a text at these places.
+# the settlement date is where a report has its group status.
 _PARSED_ACKS = f"""
 SELECT file_name AS source_filename, load_ts AS source_load_timestamp,
   concat('ACK', CAST(k AS VARCHAR), '-', CAST(n AS VARCHAR)) AS message_id, acked AS creation_datetime,
@@ -207,7 +207,7 @@ SELECT file_name AS source_filename, load_ts AS source_load_timestamp,
 FROM acks
 UNION ALL
 SELECT file_name, load_ts, {_sound('msg')}, {_sound('CASE WHEN NOT bad_date THEN created END')},
-  NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  NULL, NULL, NULL, NULL, NULL, {_sound('day')}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, {_sound('day')},
   FALSE, FALSE, FALSE, NULL, CAST(length(raw_xml) AS INTEGER)
 FROM transfers WHERE k % 10 = 7
 """

@@ -536,9 +536,10 @@ def catalog_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    events = refresh.stream_table(spark, path, spark.read.parquet(path).schema)
-    rows = derive(events, inputs.READINGS).withColumn("reading_ts", F.col("reading_ts").cast("timestamp"))
+    rows = _readings(spark, sf_dir).withColumn("reading_ts", F.col("reading_ts").cast("timestamp"))
+    path = fresh_path(spark, "readings")
+    rows.write.parquet(path)
+    rows = refresh.stream_table(spark, path, rows.schema, files_per_trigger=4)
     target = fresh_path(spark, "hourly")
     refresh.maintain_hourly(rows, target, fresh_path(spark, "progress"), lag=None).awaitTermination()
     return _hourly_output(refresh.current_hourly(spark, target))

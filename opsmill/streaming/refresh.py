@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructType
 
 from opsmill.operators.payments import join_status, parse_acknowledgements, parse_transfers
 
@@ -17,7 +18,7 @@ DEFAULT_LAG = "60 minutes"
 
 
 def stream_table(
-    spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None
+    spark: SparkSession, path: str, schema: str | StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
     """A Parquet folder as a stream of its rows."""
     reader = spark.readStream.schema(schema)
@@ -132,7 +133,7 @@ def maintain_status_join(
         for name, df in new.items():
             df.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{name}/batch_id={batch_id}")
         tables = {
-            name: spark.read.schema(df.schema.add("batch_id", "bigint")).parquet(f"{root}/{name}")
+            name: spark.read.schema(df.schema.add("batch_id", LongType())).parquet(f"{root}/{name}")
             for name, df in new.items()
         }
         this_batch = [t.where(F.col("batch_id") == batch_id).select("bucket") for t in tables.values()]
