@@ -19,8 +19,9 @@ def root_name(raw: Column) -> Column:
 
 
 def strip_outer_element(raw: Column) -> Column:
-    """The content of the root element, as text."""
-    return F.regexp_extract(drop_prolog(raw), r"(?s)^<[^>]*>\s*(.*?)\s*</[^<>]*>\s*$", 1)
+    """The content of the root element, as text; empty when the root is not closed."""
+    whole = r"(?s)^<([\w:.-]+)(?:\s[^<>]*)?>\s*(.*?)\s*</\1\s*>\s*$"
+    return F.regexp_extract(drop_prolog(raw), whole, 2)
 
 
 def xpath_first(raw: Column, path: str) -> Column:

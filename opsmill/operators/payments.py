@@ -1,9 +1,9 @@
 """ISO 20022 payment messages (pacs.008) and their acknowledgements (pacs.002).
 
 Fields are defined by their position in the message. A message with the usual
-layout is parsed once, by element names; any other well-formed message is read
-position by position with XPath. Both give the same values, the first at a
-fraction of the cost. Malformed messages give NULL fields.
+layout is taken apart by one regular expression; any other well-formed message
+is parsed once and read by position with XPath. Both give the same values, the
+first at a fraction of the cost. Malformed messages give NULL fields.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from opsmill.functions.xml import drop_prolog, root_name
 
 @dataclass(frozen=True)
 class Field:
-    """A text field: its steps by name and the matching child positions.
+    """A text field: its element names and the matching child positions.
 
     ``0`` as a position stands for an only child.
     """
@@ -103,6 +103,17 @@ HIGH_VALUE_CLEARING = "TARGET2"
 PACS008_NAME = "pacs.008.001.08"
 
 _REPEATED = {"CdtTrfTxInf", "TxInfAndSts"}
+# Last of their siblings: without them, the others keep their positions.
+_OPTIONAL = {"RmtInf", "AccptncDtTm"}
+# Java allows a hundred operators in an XPath, which three fields stay below.
+_FIELDS_PER_XPATH = 3
+
+# Control characters, which XML does not allow: between fields, and before the first.
+_BETWEEN, _TAKEN = "\x01", "\x02"
+# Plain text of an element or attribute: no markup, only the five named entities.
+_PLAIN = r"(?=[^<])([^<&\r\x01\x02]*+(?:&(?:amp|lt|gt|quot|apos);[^<&\r\x01\x02]*+)*+)"
+_PLAIN_ATTRIBUTE = r'([^"<&\s\x01\x02]*+)'
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
 
 def _tree(fields: list[Field]) -> dict:
@@ -117,93 +128,93 @@ def _tree(fields: list[Field]) -> dict:
     return tree
 
 
-def _ddl(node: dict) -> str:
-    """DDL type of an element; all leaves are text."""
-    if "@" in node:
-        return f"struct<_VALUE:string,_{node['@']}:string>"
-    if not node:
-        return "string"
-    parts = []
-    for name, child in node.items():
-        kind = _ddl(child)
-        parts.append(f"{name}:{f'array<{kind}>' if name in _REPEATED else kind}")
-    return f"struct<{','.join(parts)}>"
-
-
 def _layout(node: dict) -> str:
-    """Pattern of the usual layout: all elements once, in order, none empty."""
+    """Pattern of the usual layout, one group per field.
+
+    All elements once, in order, none empty; only the optional ones may be
+    missing. A repeated element is left open.
+    """
     pattern = ""
     for name, child in node.items():
         if "@" in child:
-            body = f'<{name}\\s++{child["@"]}="[^"<&]*+"\\s*+>[^<]++</{name}>'
+            body = f'<{name}\\s++{child["@"]}="{_PLAIN_ATTRIBUTE}"\\s*+>{_PLAIN}</{name}>\\s*+'
         elif not child:
-            body = f"<{name}>[^<]++</{name}>"
+            body = f"<{name}>{_PLAIN}</{name}>\\s*+"
         else:
-            end = "" if name in _REPEATED else f"</{name}>"
+            end = "" if name in _REPEATED else f"</{name}>\\s*+"
             body = f"<{name}>\\s*+{_layout(child)}{end}"
-        pattern += body + "\\s*+"
-        if name in _REPEATED:
-            break
+        pattern += f"(?:{body})?+" if name in _OPTIONAL else body
     return pattern
 
 
+def _message_pattern(fields: list[Field], root: str) -> str:
+    """Pattern of a whole message; the last group is what follows the last field.
+
+    The group is empty when nothing but the closing tags of the only
+    transaction and of the message follow, so that all has been looked at.
+    """
+    repeated = next(n for n in _tree(fields) if n in _REPEATED)
+    opening = f"(?s)^\\s*+(?:<\\?[^>]*+>\\s*+)?<{root}(?:\\s[^<>]*+)?(?<!/)>\\s*+"
+    closing = f"(?:</{repeated}>\\s*+</{root}>\\s*+$|(.++)$)"
+    return opening + _layout(_tree(fields)) + closing
+
+
 def _step(position: int) -> str:
-    if position == 0:
-        return "*[last()=1]"
-    return f"*[last()>1 and position()={position}]"
+    """A child by position among at least two, or an only child."""
+    return f"*[last()>1][{position}]" if position else "*[last()=1]"
 
 
-def _xpath(field: Field) -> str:
-    end = f"/@{field.attribute}" if field.attribute else "[not(*)]/text()"
-    return "/*/" + "/".join(_step(p) for p in field.positions) + end
+def _positional(raw: Column, fields: list[Field]) -> Column:
+    """All fields read by position, joined; empty where there is none."""
+    paths = []
+    for field in fields:
+        end = f"/@{field.attribute}" if field.attribute else "[not(*)]"
+        paths.append("/*/" + "/".join(_step(p) for p in field.positions) + end)
+    pieces = [
+        f",'{_BETWEEN}',".join(paths[i : i + _FIELDS_PER_XPATH])
+        for i in range(0, len(paths), _FIELDS_PER_XPATH)
+    ]
+    found = [F.xpath_string(raw, F.lit(f"concat({piece},'')")) for piece in pieces]
+    return F.concat_ws(_BETWEEN, *found)
 
 
-def _named(document: Column, field: Field) -> Column:
-    value = document
-    for step in field.names.split("."):
-        value = value[step]
-        if step in _REPEATED:
-            value = F.get(value, F.lit(0))
-    return value[f"_{field.attribute}"] if field.attribute else value
+def is_sound(raw: Column) -> Column:
+    """Whether a text is a well-formed document."""
+    malformed = F.from_xml(
+        drop_prolog(raw), "_malformed string", {"columnNameOfCorruptRecord": "_malformed"}
+    )["_malformed"]
+    return (root_name(raw) != "") & raw.rlike(r"(?s)>\s*$") & malformed.isNull()
 
 
 def extract_fields(
-    messages: DataFrame, fields: list[Field], root: str, layout: str = "auto"
+    messages: DataFrame, fields: list[Field], root: str, always_positional: bool = False
 ) -> DataFrame:
     """The text ``fields`` of each message, next to the message's own columns.
 
-    ``layout`` is ``"auto"`` (see the module text), ``"positional"`` (XPath
-    for every message) or ``"named"`` (by element names for every message,
-    which also finds the fields behind a missing optional element).
+    With ``always_positional`` the usual layout gets no special treatment.
     """
     raw = F.col("raw_xml")
-    tree = _tree(fields)
-    amounts = {f.names for f in fields if f.attribute}
-    schema = ",".join(
-        f"{name} {f'array<{_ddl(child)}>' if name in _REPEATED else _ddl(child)}"
-        for name, child in tree.items()
-    )
-    document = F.from_xml(
-        drop_prolog(raw),
-        f"{schema}, _malformed string",
-        {"columnNameOfCorruptRecord": "_malformed", "ignoreSurroundingSpaces": "false"},
-    )
-    usual = raw.rlike(f"^\\s*+(?:<\\?[^>]*+>\\s*+)?<{root}(?:\\s[^>]*+)?>\\s*+{_layout(tree)}")
-    parsed = messages.withColumn("_doc", document).withColumn("_usual", usual)
-    sound = F.col("_doc._malformed").isNull() & (root_name(raw) != "")
-
-    def value(field: Field) -> Column:
-        named = _named(F.col("_doc"), field)
-        if field.names in amounts and not field.attribute:
-            named = named["_VALUE"]
-        if layout == "named":
-            return named
-        positional = F.when(sound, F.get(F.xpath(raw, F.lit(_xpath(field))), F.lit(0)))
-        if layout == "positional":
-            return positional
-        return F.when(F.col("_usual"), named).otherwise(positional)
-
-    return parsed.select(*messages.columns, *[value(f).alias(f.column) for f in fields])
+    by_position = _positional(raw, fields)
+    if always_positional:
+        joined = F.when(is_sound(raw), by_position)
+        cut = messages.withColumn("_parts", F.split(joined, _BETWEEN))
+    else:
+        count = len(fields)
+        groups = _BETWEEN.join(f"${i}" for i in range(1, count + 2))
+        cut = messages.withColumn(
+            "_taken", F.regexp_replace(raw, _message_pattern(fields, root), _TAKEN + groups)
+        )
+        taken = F.col("_taken")
+        decoded = F.substring(taken, F.lit(2), F.length(taken))
+        for entity, character in _ENTITIES.items():
+            decoded = F.replace(decoded, F.lit(entity), F.lit(character))
+        usual, complete = taken.startswith(_TAKEN), taken.endswith(_BETWEEN)
+        checked = F.when(is_sound(raw), F.when(usual, decoded).otherwise(by_position))
+        joined = F.when(usual & complete, decoded).otherwise(checked)
+        cut = cut.withColumn("_parts", F.split(joined, _BETWEEN))
+    parts = F.col("_parts")
+    values = [F.nullif(F.get(parts, F.lit(i)), F.lit("")).alias(f.column) for i, f in enumerate(fields)]
+    return cut.select(*messages.columns, *values)
 
 
 def route(messages: DataFrame, name_part: str, root: str) -> DataFrame:
@@ -226,10 +237,10 @@ def _true_when(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def parse_transfers(messages: DataFrame, layout: str = "auto") -> DataFrame:
+def parse_transfers(messages: DataFrame, always_positional: bool = False) -> DataFrame:
     """Credit transfers (pacs.008): first transaction of each message, 42 columns."""
     routed = route(messages, "pacs008", PACS008_ROOT)
-    t = extract_fields(routed, PACS008_FIELDS, PACS008_ROOT, layout)
+    t = extract_fields(routed, PACS008_FIELDS, PACS008_ROOT, always_positional)
     amount = F.col("amount_text").cast("decimal(18,2)")
     debtor, creditor = F.col("debtor_country"), F.col("creditor_country")
     typed = {
@@ -262,10 +273,10 @@ def parse_transfers(messages: DataFrame, layout: str = "auto") -> DataFrame:
     )
 
 
-def parse_acknowledgements(messages: DataFrame, layout: str = "auto") -> DataFrame:
+def parse_acknowledgements(messages: DataFrame, always_positional: bool = False) -> DataFrame:
     """Status reports (pacs.002): first transaction of each message, 24 columns."""
     routed = route(messages, "pacs002", PACS002_ROOT)
-    t = extract_fields(routed, PACS002_FIELDS, PACS002_ROOT, layout)
+    t = extract_fields(routed, PACS002_FIELDS, PACS002_ROOT, always_positional)
     status, original = F.col("transaction_status"), F.col("original_message_id")
     typed = {
         "creation_text": "creation_datetime",

@@ -49,18 +49,14 @@ def convert_junit(files: DataFrame) -> DataFrame:
     """
     xml = F.col("xml")
     root = root_name(xml)
-    body = F.when(root == "testsuite", drop_prolog(xml)).otherwise(strip_outer_element(xml))
-    sound = F.from_xml(
-        drop_prolog(xml), "_malformed string", {"columnNameOfCorruptRecord": "_malformed"}
-    )["_malformed"].isNull()
-    parsed = files.select(
+    body = F.when(root == "testsuite", drop_prolog(xml)).when(
+        root == "testsuites", strip_outer_element(xml)
+    )
+    wrapped = F.concat(F.lit("<suites>"), body, F.lit("</suites>"))
+    document = F.from_xml(wrapped, _SUITES, {"columnNameOfCorruptRecord": "_malformed"})
+    parsed = files.select("path", document.alias("_document")).select(
         "path",
-        (root.isin("testsuite", "testsuites") & sound).alias("_known"),
-        F.from_xml(
-            F.concat(F.lit("<suites>"), body, F.lit("</suites>")),
-            _SUITES,
-            {"columnNameOfCorruptRecord": "_malformed"},
-        )["testsuite"].alias("_suites"),
+        F.when(F.col("_document._malformed").isNull(), F.col("_document.testsuite")).alias("_suites"),
     )
     suites = F.col("_suites")
     no_cases = F.array().cast(f"array<{_CASE}>")
@@ -75,7 +71,7 @@ def convert_junit(files: DataFrame) -> DataFrame:
     times_fit = is_number(first_time) & F.forall(
         suites, lambda s: F.forall(cases(s), lambda c: is_number(c["_time"]))
     )
-    converted = F.coalesce(F.col("_known") & (F.size(suites) > 0) & times_fit, F.lit(False))
+    converted = F.coalesce(suites.isNotNull() & (F.size(suites) > 0) & times_fit, F.lit(False))
 
     def suite_name(suite: Column) -> Column:
         return F.coalesce(suite["_name"], F.lit(DEFAULT_SUITE))
@@ -126,16 +122,24 @@ def junit_documents(converted: DataFrame, tool: str) -> DataFrame:
             F.struct(F.col("project").alias("projectName")).alias("environment"),
         ).alias("results"),
     )
-    return converted.where("converted").select(
-        F.regexp_replace("path", r"\.xml$", ".json").alias("path"), F.to_json(report).alias("document")
+    # A filter would be pushed below the parsing and parse every file again.
+    row = F.struct(
+        F.regexp_replace("path", r"\.xml$", ".json").alias("path"),
+        F.to_json(report).alias("document"),
     )
+    return converted.select(F.inline(F.when(F.col("converted"), F.array(row))))
 
 
 def report_tests(converted: DataFrame) -> DataFrame:
-    """The tests of converted files, one row each, numbered within their file."""
-    return converted.where("converted").select(
-        "path", F.posexplode("tests").alias("_pos", "t")
-    ).select("path", (F.col("_pos") + 1).alias("seq"), "t.*")
+    """The tests of converted files, one row each, numbered within their file.
+
+    The outer form keeps Spark from adding a filter on the tests below the
+    parsing, which would parse every file again.
+    """
+    listed = converted.select("path", F.posexplode_outer("tests").alias("_pos", "t"))
+    return listed.where(F.col("_pos").isNotNull()).select(
+        "path", (F.col("_pos") + 1).alias("seq"), "t.*"
+    )
 
 
 def status_counts(tests: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ from opsmill.operators import (
 from opsmill.operators.lint_rules import rules_for
 from opsmill.plans import inputs
 from opsmill.plans.inputs import derive, table
-from opsmill.session import fresh_path, materialize
+from opsmill.session import fresh_path, materialize, spread
 from opsmill.sources import catalog, files, generators
 from opsmill.sources.geo import sensor_places
 from opsmill.streaming import refresh
@@ -136,7 +136,7 @@ def deps_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.messages(table(spark, sf_dir, "orders"))
+    return inputs.messages(spread(table(spark, sf_dir, "orders")))
 
 
 def _transfer_output(parsed: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def pay_ack_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(table(spark, sf_dir, "documents"), inputs.SCRIPTS)
+    return derive(spread(table(spark, sf_dir, "documents")), inputs.SCRIPTS)
 
 
 @query
@@ -350,7 +350,7 @@ def dq_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _junit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = derive(table(spark, sf_dir, "orders"), inputs.JUNIT_FACTS)
+    facts = derive(spread(table(spark, sf_dir, "orders")), inputs.JUNIT_FACTS)
     texts = facts.selectExpr("*", *[f"{sql} AS {n}" for n, sql in inputs.JUNIT_TEXTS.items()])
     return reports.convert_junit(derive(texts, inputs.JUNIT_FILES))
 

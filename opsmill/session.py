@@ -65,6 +65,17 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    A scan is cut no finer than its row groups. Before work that is heavy per
+    row, a scan of fewer partitions than cores is dealt out evenly; a scan
+    that keeps all cores busy is left alone, so that no data moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_cores() -> int:
     """Cores for local runs (benchmarks and tests)."""
     return int(os.environ.get("BENCH_CPUS", "8"))
