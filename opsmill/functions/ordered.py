@@ -22,10 +22,10 @@ def carry_forward(
     hour of a timestamp, say) and must not decrease along ``order``.
 
     A window per key would put a key that holds a third of all rows into one
-    task. Here the rows are windowed per key *and block*; what a block passes
-    on to the next is one row per key and block, aggregated before it is
-    shuffled, and only these rows are windowed per key. The join back uses the
-    partitioning the rows already have.
+    task. Here the rows are windowed per key *and block*. The last row of a
+    block tells what the block passes on; only these rows, one per key and
+    block, are windowed per key. The join back uses the partitioning the rows
+    already have.
     """
     blocked = rows.withColumn("_block", block)
     state = F.struct(*[F.col(c).alias(new) for new, c in previous.items()])
@@ -34,21 +34,18 @@ def carry_forward(
     local = blocked.withColumns(
         {
             "_lag": F.lag(state).over(inside),
+            "_last": F.lead(F.lit(False), 1, True).over(inside),
             **{f"_run_{new}": F.sum(value).over(so_far) for new, value in running.items()},
         }
     )
-    summary = blocked.groupBy(*keys, "_block").agg(
-        F.max_by(state, F.struct(*order)).alias("_last"),
-        *[F.sum(value).alias(f"_sum_{new}") for new, value in running.items()],
-    )
     over_blocks = Window.partitionBy(*keys).orderBy("_block")
     earlier = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
-    handed_on = summary.select(
+    handed_on = local.where("_last").select(
         *keys,
         "_block",
-        F.lag("_last").over(over_blocks).alias("_carry"),
+        F.lag(state).over(over_blocks).alias("_carry"),
         *[
-            F.coalesce(F.sum(f"_sum_{new}").over(earlier), F.lit(0)).alias(f"_before_{new}")
+            F.coalesce(F.sum(f"_run_{new}").over(earlier), F.lit(0)).alias(f"_before_{new}")
             for new in running
         ],
     )

@@ -24,6 +24,23 @@ def strip_outer_element(raw: Column) -> Column:
     return F.regexp_extract(drop_prolog(raw), whole, 2)
 
 
-def xpath_first(raw: Column, path: str) -> Column:
-    """First node at ``path`` as text, NULL when there is none."""
-    return F.get(F.xpath(raw, F.lit(path)), F.lit(0))
+def is_closed(raw: Column) -> Column:
+    """Whether the text ends with the end of its root element."""
+    name = F.regexp_extract(drop_prolog(raw), r"^<([\w:.-]+)", 1)
+    end = F.concat(F.lit("</"), name, F.lit(">"))
+    return (name != "") & F.endswith(F.regexp_replace(raw, r"\s+$", ""), end)
+
+
+def escape_cdata(raw: Column) -> Column:
+    """CDATA sections as plain escaped text."""
+
+    def piece(text: Column, number: Column) -> Column:
+        inner = F.substring_index(text, "]]>", 1)
+        rest = F.substring(text, F.length(inner) + 4, F.length(text))
+        for character, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            inner = F.replace(inner, F.lit(character), F.lit(entity))
+        return F.when(number == 0, text).otherwise(F.concat(inner, rest))
+
+    opening = "<![CDATA["
+    pieces = F.transform(F.split(raw, r"<!\[CDATA\["), piece)
+    return F.when(F.contains(raw, F.lit(opening)), F.array_join(pieces, "")).otherwise(raw)

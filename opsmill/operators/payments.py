@@ -2,7 +2,7 @@
 
 Fields are defined by their position in the message. A message with the usual
 layout is taken apart by one regular expression; any other well-formed message
-is parsed once and read by position with XPath. Both give the same values, the
+is parsed once into nested arrays of children. Both give the same values, the
 first at a fraction of the cost. Malformed messages give NULL fields.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsmill.functions.times import minutes_between
-from opsmill.functions.xml import drop_prolog, root_name
+from opsmill.functions.xml import escape_cdata, is_closed
 
 
 @dataclass(frozen=True)
@@ -105,8 +105,6 @@ PACS008_NAME = "pacs.008.001.08"
 _REPEATED = {"CdtTrfTxInf", "TxInfAndSts"}
 # Last of their siblings: without them, the others keep their positions.
 _OPTIONAL = {"RmtInf", "AccptncDtTm"}
-# Java allows a hundred operators in an XPath, which three fields stay below.
-_FIELDS_PER_XPATH = 3
 
 # Control characters, which XML does not allow: between fields, and before the first.
 _BETWEEN, _TAKEN = "\x01", "\x02"
@@ -148,70 +146,81 @@ def _layout(node: dict) -> str:
 
 
 def _message_pattern(fields: list[Field], root: str) -> str:
-    """Pattern of a whole message; the last group is what follows the last field.
-
-    The group is empty when nothing but the closing tags of the only
-    transaction and of the message follow, so that all has been looked at.
-    """
+    """Pattern of a whole message with one transaction."""
     repeated = next(n for n in _tree(fields) if n in _REPEATED)
-    opening = f"(?s)^\\s*+(?:<\\?[^>]*+>\\s*+)?<{root}(?:\\s[^<>]*+)?(?<!/)>\\s*+"
-    closing = f"(?:</{repeated}>\\s*+</{root}>\\s*+$|(.++)$)"
+    opening = f"^\\s*+(?:<\\?[^>]*+>\\s*+)?<{root}(?:\\s[^<>]*+)?(?<!/)>\\s*+"
+    closing = f"</{repeated}>\\s*+</{root}>\\s*+$"
     return opening + _layout(_tree(fields)) + closing
 
 
-def _step(position: int) -> str:
-    """A child by position among at least two, or an only child."""
-    return f"*[last()>1][{position}]" if position else "*[last()=1]"
+def _children_schema(fields: list[Field]) -> str:
+    """Type of a message whose elements are all called ``e``."""
+    attributes = sorted({f.attribute for f in fields if f.attribute})
+    own = ",".join(["_VALUE:string", *[f"_{a}:string" for a in attributes]])
+    kind = f"struct<{own}>"
+    for _ in range(max(len(f.positions) for f in fields) - 1):
+        kind = f"struct<{own},e:array<{kind}>>"
+    return f"e array<{kind}>, _malformed string"
 
 
-def _positional(raw: Column, fields: list[Field]) -> Column:
-    """All fields read by position, joined; empty where there is none."""
-    paths = []
-    for field in fields:
-        end = f"/@{field.attribute}" if field.attribute else "[not(*)]"
-        paths.append("/*/" + "/".join(_step(p) for p in field.positions) + end)
-    pieces = [
-        f",'{_BETWEEN}',".join(paths[i : i + _FIELDS_PER_XPATH])
-        for i in range(0, len(paths), _FIELDS_PER_XPATH)
-    ]
-    found = [F.xpath_string(raw, F.lit(f"concat({piece},'')")) for piece in pieces]
-    return F.concat_ws(_BETWEEN, *found)
+def _at(children: Column, position: int) -> Column:
+    """A child by position among at least two (0: the only child)."""
+    if position == 0:
+        return F.when(F.size(children) == 1, F.get(children, F.lit(0)))
+    if position == 1:
+        return F.when(F.size(children) > 1, F.get(children, F.lit(0)))
+    return F.get(children, F.lit(position - 1))
 
 
-def is_sound(raw: Column) -> Column:
-    """Whether a text is a well-formed document."""
-    malformed = F.from_xml(
-        drop_prolog(raw), "_malformed string", {"columnNameOfCorruptRecord": "_malformed"}
-    )["_malformed"]
-    return (root_name(raw) != "") & raw.rlike(r"(?s)>\s*$") & malformed.isNull()
+def _in_tree(document: Column, field: Field, depth: int) -> Column:
+    """A field's text in a parsed message; NULL for an element with children."""
+    node = document
+    for position in field.positions:
+        node = _at(node["e"], position)
+    if field.attribute:
+        return node[f"_{field.attribute}"]
+    if len(field.positions) == depth:
+        return node["_VALUE"]
+    return F.when(node["e"].isNull(), node["_VALUE"])
 
 
 def extract_fields(
-    messages: DataFrame, fields: list[Field], root: str, always_positional: bool = False
+    messages: DataFrame, fields: list[Field], root: str, always_parse: bool = False
 ) -> DataFrame:
     """The text ``fields`` of each message, next to the message's own columns.
 
-    With ``always_positional`` the usual layout gets no special treatment.
+    With ``always_parse`` the usual layout gets no special treatment.
     """
-    raw = F.col("raw_xml")
-    by_position = _positional(raw, fields)
-    if always_positional:
-        joined = F.when(is_sound(raw), by_position)
-        cut = messages.withColumn("_parts", F.split(joined, _BETWEEN))
-    else:
-        count = len(fields)
-        groups = _BETWEEN.join(f"${i}" for i in range(1, count + 2))
-        cut = messages.withColumn(
-            "_taken", F.regexp_replace(raw, _message_pattern(fields, root), _TAKEN + groups)
-        )
-        taken = F.col("_taken")
-        decoded = F.substring(taken, F.lit(2), F.length(taken))
-        for entity, character in _ENTITIES.items():
-            decoded = F.replace(decoded, F.lit(entity), F.lit(character))
-        usual, complete = taken.startswith(_TAKEN), taken.endswith(_BETWEEN)
-        checked = F.when(is_sound(raw), F.when(usual, decoded).otherwise(by_position))
-        joined = F.when(usual & complete, decoded).otherwise(checked)
-        cut = cut.withColumn("_parts", F.split(joined, _BETWEEN))
+    raw = escape_cdata(F.col("raw_xml"))
+    groups = _BETWEEN.join(f"${i}" for i in range(1, len(fields) + 1))
+    taken = F.regexp_replace(raw, _message_pattern(fields, root), _TAKEN + groups)
+    if always_parse:
+        taken = F.lit("")
+    decoded = F.substring(F.col("_taken"), F.lit(2), F.length("_taken"))
+    for entity, character in _ENTITIES.items():
+        decoded = F.replace(decoded, F.lit(entity), F.lit(character))
+    usual = F.col("_taken").startswith(_TAKEN)
+    # Elements of one name come as one array in document order. Messages of
+    # the usual layout are left out here and cost no parsing.
+    alike = F.when(~usual & is_closed(raw), F.regexp_replace(raw, r"<(/?)[\w:.-]+", "<$1e"))
+    document = F.from_xml(
+        alike,
+        _children_schema(fields),
+        {"columnNameOfCorruptRecord": "_malformed", "ignoreSurroundingSpaces": "false"},
+    )
+    depth = max(len(f.positions) for f in fields)
+
+    def read(tree: Column) -> Column:
+        return F.array(*[_in_tree(tree, field, depth) for field in fields])
+
+    # Inside a lambda, the many small steps stay out of the generated code,
+    # which would otherwise grow too large to be compiled well.
+    parsed = F.get(F.transform(F.array("_document"), read), F.lit(0))
+    cut = (
+        messages.withColumn("_taken", taken)
+        .withColumn("_document", document)
+        .withColumn("_parts", F.when(usual, F.split(decoded, _BETWEEN)).otherwise(parsed))
+    )
     parts = F.col("_parts")
     values = [F.nullif(F.get(parts, F.lit(i)), F.lit("")).alias(f.column) for i, f in enumerate(fields)]
     return cut.select(*messages.columns, *values)
@@ -237,10 +246,10 @@ def _true_when(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def parse_transfers(messages: DataFrame, always_positional: bool = False) -> DataFrame:
+def parse_transfers(messages: DataFrame, always_parse: bool = False) -> DataFrame:
     """Credit transfers (pacs.008): first transaction of each message, 42 columns."""
     routed = route(messages, "pacs008", PACS008_ROOT)
-    t = extract_fields(routed, PACS008_FIELDS, PACS008_ROOT, always_positional)
+    t = extract_fields(routed, PACS008_FIELDS, PACS008_ROOT, always_parse)
     amount = F.col("amount_text").cast("decimal(18,2)")
     debtor, creditor = F.col("debtor_country"), F.col("creditor_country")
     typed = {
@@ -273,10 +282,10 @@ def parse_transfers(messages: DataFrame, always_positional: bool = False) -> Dat
     )
 
 
-def parse_acknowledgements(messages: DataFrame, always_positional: bool = False) -> DataFrame:
+def parse_acknowledgements(messages: DataFrame, always_parse: bool = False) -> DataFrame:
     """Status reports (pacs.002): first transaction of each message, 24 columns."""
     routed = route(messages, "pacs002", PACS002_ROOT)
-    t = extract_fields(routed, PACS002_FIELDS, PACS002_ROOT, always_positional)
+    t = extract_fields(routed, PACS002_FIELDS, PACS002_ROOT, always_parse)
     status, original = F.col("transaction_status"), F.col("original_message_id")
     typed = {
         "creation_text": "creation_datetime",

@@ -78,11 +78,19 @@ def expand_select(line: Column, join_blank: bool = False) -> Column:
     return F.when(line.rlike(_INLINE_SELECT), lines).otherwise(F.array(line))
 
 
-def format_ddl_line(line: Column, join_blank: bool = False) -> Column:
-    """A DDL line as an array of formatted lines; comment lines stay as they are."""
-    spaced = F.replace(line, F.lit("\t"), F.lit("    "))
-    formatted = expand_select(tidy_brackets(upper_outside_strings(spaced)), join_blank)
-    return F.when(spaced.rlike(r"(?U)^\s*--"), F.array(spaced)).otherwise(formatted)
+def format_ddl_lines(lines: Column, join_blank: bool = False) -> Column:
+    """An array of DDL lines, formatted; comment lines stay as they are.
+
+    The steps are separate transforms, so that each line is worked out once
+    per step.
+    """
+    comment = r"(?U)^\s*--"
+    spaced = F.transform(lines, lambda l: F.replace(l, F.lit("\t"), F.lit("    ")))
+    upper = F.transform(
+        spaced, lambda l: F.when(l.rlike(comment), l).otherwise(upper_outside_strings(l))
+    )
+    tidy = F.transform(upper, lambda l: F.when(l.rlike(comment), l).otherwise(tidy_brackets(l)))
+    return F.flatten(F.transform(tidy, lambda l: expand_select(l, join_blank)))
 
 
 def format_ddl(scripts: DataFrame, join_blank: bool = False) -> DataFrame:
@@ -91,7 +99,7 @@ def format_ddl(scripts: DataFrame, join_blank: bool = False) -> DataFrame:
     ``line`` counts the output lines; a script stays within its row until it
     is cut into lines, so there is no shuffle.
     """
-    done = F.flatten(F.transform(F.split("text", "\n"), lambda l: format_ddl_line(l, join_blank)))
+    done = format_ddl_lines(F.split("text", "\n"), join_blank)
     return scripts.select("file", F.posexplode(done).alias("_pos", "text")).select(
         "file", (F.col("_pos") + 1).cast("bigint").alias("line"), "text"
     )

@@ -89,13 +89,13 @@ def iot_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gen_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.add_readings(table(spark, sf_dir, "events"), "event_id", seed=7)
+    return generators.add_readings(spread(table(spark, sf_dir, "events")), "event_id", seed=7)
 
 
 @query
 def gen_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    made = generators.add_payments(table(spark, sf_dir, "events"), "event_id", as_of, seed=7)
+    made = generators.add_payments(spread(table(spark, sf_dir, "events")), "event_id", as_of, seed=7)
     return made.withColumn("amount", F.col("amount").cast("double"))
 
 
@@ -103,7 +103,7 @@ def gen_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str, base: str | None) -> DataFrame:
-    edges = derive(table(spark, sf_dir, "orders"), inputs.DEPENDENCIES)
+    edges = derive(spread(table(spark, sf_dir, "orders")), inputs.DEPENDENCIES)
     return dependencies.classify_dependencies(edges, base)
 
 
@@ -136,7 +136,8 @@ def deps_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.messages(spread(table(spark, sf_dir, "orders")))
+    """The raw message table, written once as it is when messages land."""
+    return materialize(inputs.messages(spread(table(spark, sf_dir, "orders"))), "messages")
 
 
 def _transfer_output(parsed: DataFrame) -> DataFrame:
@@ -444,7 +445,7 @@ def render_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ddl_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.format_ddl(derive(table(spark, sf_dir, "part"), inputs.DDL))
+    return scripts.format_ddl(derive(spread(table(spark, sf_dir, "part")), inputs.DDL))
 
 
 @query
@@ -547,7 +548,7 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "landing")
-    _messages(spark, sf_dir).write.parquet(path)
+    inputs.messages(spread(table(spark, sf_dir, "orders"))).write.parquet(path)
     return refresh.stream_table(spark, path, refresh.MESSAGE_SCHEMA, files_per_trigger=4)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 GEO_SCHEMA = "sensor_id decimal(6,0), city string, latitude decimal(9,6), longitude decimal(9,6)"
 
@@ -125,9 +125,13 @@ SENSOR_PLACES = """
 
 
 def sensor_places(spark: SparkSession) -> DataFrame:
-    """One row per known sensor."""
+    """One row per known sensor, as an inline table.
+
+    Spark knows the exact size of an inline table, so joins broadcast it.
+    """
     rows = [line.split("|") for line in SENSOR_PLACES.strip().splitlines()]
-    return spark.createDataFrame(
-        [(Decimal(i), city, Decimal(lat), Decimal(lon)) for i, city, lat, lon in rows],
-        GEO_SCHEMA,
+    values = ", ".join(f"({i}, '{city}', {lat}, {lon})" for i, city, lat, lon in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t(sensor_id, city, latitude, longitude)")
+    return table.select(
+        *[F.col(f.name).cast(f.dataType) for f in DataType.fromDDL(GEO_SCHEMA).fields]
     )
