@@ -27,9 +27,12 @@ def carry_forward(
     block, are windowed per key. The join back uses the partitioning the rows
     already have.
     """
-    blocked = rows.withColumn("_block", block)
+    # A struct is never NULL itself, so that rows with a NULL key stay in the join.
+    blocked = rows.withColumn("_key", F.struct(*keys)).withColumn(
+        "_place", F.struct("_key", block.alias("block"))
+    )
     state = F.struct(*[F.col(c).alias(new) for new, c in previous.items()])
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    inside = Window.partitionBy("_place").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = blocked.withColumns(
         {
@@ -38,18 +41,17 @@ def carry_forward(
             **{f"_run_{new}": F.sum(value).over(so_far) for new, value in running.items()},
         }
     )
-    over_blocks = Window.partitionBy(*keys).orderBy("_block")
+    over_blocks = Window.partitionBy("_key").orderBy("_place.block")
     earlier = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
     handed_on = local.where("_last").select(
-        *keys,
-        "_block",
+        "_place",
         F.lag(state).over(over_blocks).alias("_carry"),
         *[
             F.coalesce(F.sum(f"_run_{new}").over(earlier), F.lit(0)).alias(f"_before_{new}")
             for new in running
         ],
     )
-    joined = local.join(handed_on, [*keys, "_block"])
+    joined = local.join(handed_on, "_place")
     before = F.coalesce("_lag", "_carry")
     return joined.select(
         *rows.columns,

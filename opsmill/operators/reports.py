@@ -187,10 +187,15 @@ def array_document(
     A report may hold a large share of all rows, so it is never collected
     into one value. Head and foot come from ``facts`` aggregated per key
     (partial sums before the shuffle); every array element is a line of its
-    own. Lines sorted by key, part and order make up the documents.
+    own. Lines sorted by key, part and order make up the documents. ``order``
+    must tell the items of a key apart.
     """
-    position = F.struct(*order)
-    totals = items.groupBy(key).agg(F.min(position).alias("_first"), *facts)
+    # A struct is never NULL itself, so that items with a NULL key stay in the join.
+    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    keyed = items.withColumn("_key", F.struct(key))
+    totals = keyed.groupBy("_key").agg(F.min(position).alias("_first"), *facts).withColumn(
+        key, F.col(f"_key.{key}")
+    )
     blanks = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in order]
     ends = totals.select(
         key,
@@ -202,7 +207,7 @@ def array_document(
         ).alias("_end"),
     ).select(key, F.col("_end.part").alias("part"), *blanks, F.col("_end.line").alias("line"))
     comma = F.when(position == F.col("_first"), F.lit("")).otherwise(F.lit(","))
-    lines = items.join(totals.select(key, "_first"), key).select(
+    lines = keyed.join(totals.select("_key", "_first"), "_key").select(
         key, F.lit(1).alias("part"), *order, F.concat(comma, item).alias("line")
     )
     return ends.unionByName(lines)

@@ -280,6 +280,12 @@ PLAN_DOCUMENTS = {
     + " END",
 }
 
+# Assertion lines from customer.
+ASSERTION_LINE = (
+    "CASE c_custkey % 3 WHEN 0 THEN concat(c_name, ' | SELECT a || b | ', c_mktsegment) "
+    "WHEN 1 THEN concat('# ', c_name) ELSE concat(c_name, '|SELECT 1 AS result;|1') END"
+)
+
 # Templates and DDL from part.
 TEMPLATES = {
     "p_partkey": "p_partkey",

@@ -456,6 +456,18 @@ UNION ALL SELECT 3, 'mean', CASE WHEN abs(round(m, 4) - 27) <= 5 THEN 'passed' E
 UNION ALL SELECT 4, 'missing', CASE WHEN abs(missing) <= 5 THEN 'passed' ELSE 'failed' END FROM t
 """
 
+DQ_SPLIT = """
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat(c_name, ' ') WHEN 1 THEN concat('# ', c_name) ELSE c_name END AS name,
+  CASE c_custkey % 3 WHEN 0 THEN ' SELECT a || b ' WHEN 1 THEN '' ELSE 'SELECT 1 AS result;' END AS query,
+  CASE c_custkey % 3 WHEN 0 THEN concat(' ', c_mktsegment) WHEN 1 THEN '' ELSE '1' END AS expected,
+  'to the last bar' AS reading FROM customer
+UNION ALL
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN concat(c_name, ' ') WHEN 1 THEN concat('# ', c_name) ELSE c_name END,
+  CASE c_custkey % 3 WHEN 0 THEN ' SELECT a ' WHEN 1 THEN '' ELSE 'SELECT 1 AS result;' END,
+  CASE c_custkey % 3 WHEN 0 THEN concat('| b | ', c_mktsegment) WHEN 1 THEN '' ELSE '1' END,
+  'third takes the rest' FROM customer
+"""
+
 # Reports
 
 _JUNIT = f"""
@@ -627,6 +639,7 @@ ORACLES: dict[str, str] = {
     "lint_totals": LINT_TOTALS,
     "lint_report_tests": LINT_REPORT_TESTS,
     "lint_issue_lines": LINT_ISSUE_LINES,
+    "dq_split": DQ_SPLIT,
     "dq_run": DQ_RUN,
     "dq_counts": DQ_COUNTS,
     "dq_tolerance": DQ_TOLERANCE,

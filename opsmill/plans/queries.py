@@ -304,6 +304,14 @@ def lint_issue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Assertions
 
 
+@query
+def dq_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "customer").select("c_custkey", F.expr(inputs.ASSERTION_LINE).alias("value"))
+    loose = files.split_assertions(lines).withColumn("reading", F.lit("to the last bar"))
+    strict = files.split_assertions(lines, strict=True).withColumn("reading", F.lit("third takes the rest"))
+    return loose.unionByName(strict)
+
+
 _ASSERTED = ("events", "orders", "lineitem", "customer")
 ASSERTIONS = [
     assertions.Assertion("# Test Name ", "", ""),

@@ -34,10 +34,9 @@ DEPENDENCY_SCHEMA = (
 
 def _whole_texts(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
-        .text(path)
+        .text(path, wholetext=True)
     )
 
 
@@ -152,7 +151,7 @@ def read_assertions(spark: SparkSession, path: str, strict: bool = False) -> Dat
     if strict:
         every = F.split("value", "\n")
         pieces = F.slice(every, 1, F.size(every) - 1)
-    lines = spark.read.option("wholetext", True).text(path).select(
+    lines = spark.read.text(path, wholetext=True).select(
         F.posexplode(pieces).alias("pos", "value")
     )
     return split_assertions(lines.select((F.col("pos") + 1).alias("seq"), "value"), strict)

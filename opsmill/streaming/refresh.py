@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructType
 
 from opsmill.operators.payments import join_status, parse_acknowledgements, parse_transfers
+from opsmill.sources.files import as_messages
 
 MESSAGE_SCHEMA = "file_name string, load_ts timestamp, raw_xml string"
 DEFAULT_LAG = "60 minutes"
@@ -30,16 +31,11 @@ def stream_table(
 def stream_landing(spark: SparkSession, path: str) -> DataFrame:
     """XML files arriving in a folder as a stream of messages."""
     raw = (
-        spark.readStream.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.readStream.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.xml")
-        .text(path)
-    )
-    return raw.select(
-        F.col("_metadata.file_name").alias("file_name"),
-        F.current_timestamp().alias("load_ts"),
-        F.col("value").alias("raw_xml"),
+        .text(path, wholetext=True)
     )
+    return as_messages(raw)
 
 
 def _start(writer, lag: str | None) -> StreamingQuery:
