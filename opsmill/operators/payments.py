@@ -106,7 +106,7 @@ _REPEATED = {"CdtTrfTxInf", "TxInfAndSts"}
 # Last of their siblings: without them, the others keep their positions.
 _OPTIONAL = {"RmtInf", "AccptncDtTm"}
 
-# Control characters, which XML does not allow: between fields, and before the first.
+# Control characters, which XML does not allow: between fields, and after the last.
 _BETWEEN, _TAKEN = "\x01", "\x02"
 # Plain text of an element or attribute: no markup, only the five named entities.
 _PLAIN = r"(?=[^<])([^<&\r\x01\x02]*+(?:&(?:amp|lt|gt|quot|apos);[^<&\r\x01\x02]*+)*+)"
@@ -193,13 +193,14 @@ def extract_fields(
     """
     raw = escape_cdata(F.col("raw_xml"))
     groups = _BETWEEN.join(f"${i}" for i in range(1, len(fields) + 1))
-    taken = F.regexp_replace(raw, _message_pattern(fields, root), _TAKEN + groups)
+    taken = F.regexp_replace(raw, _message_pattern(fields, root), groups + _BETWEEN + _TAKEN)
     if always_parse:
         taken = F.lit("")
-    decoded = F.substring(F.col("_taken"), F.lit(2), F.length("_taken"))
+    decoded = F.col("_taken")
     for entity, character in _ENTITIES.items():
         decoded = F.replace(decoded, F.lit(entity), F.lit(character))
-    usual = F.col("_taken").startswith(_TAKEN)
+    decoded = F.when(F.contains(F.col("_taken"), F.lit("&")), decoded).otherwise(F.col("_taken"))
+    usual = F.col("_taken").endswith(_TAKEN)
     # Elements of one name come as one array in document order. Messages of
     # the usual layout are left out here and cost no parsing.
     alike = F.when(~usual & is_closed(raw), F.regexp_replace(raw, r"<(/?)[\w:.-]+", "<$1e"))
@@ -209,12 +210,11 @@ def extract_fields(
         {"columnNameOfCorruptRecord": "_malformed", "ignoreSurroundingSpaces": "false"},
     )
     depth = max(len(f.positions) for f in fields)
-
+    # Inside a lambda, the many small steps stay out of the generated code,
+    # which would otherwise grow too large to be compiled well.
     def read(tree: Column) -> Column:
         return F.array(*[_in_tree(tree, field, depth) for field in fields])
 
-    # Inside a lambda, the many small steps stay out of the generated code,
-    # which would otherwise grow too large to be compiled well.
     parsed = F.get(F.transform(F.array("_document"), read), F.lit(0))
     cut = (
         messages.withColumn("_taken", taken)

@@ -612,6 +612,14 @@ SNAPSHOT_ROUNDTRIP = """
 SELECT 'nation' AS table_name, count(*) AS rows FROM nation UNION ALL SELECT 'customer', count(*) FROM customer
 UNION ALL SELECT 'orders', count(*) FROM orders
 """
+SNAPSHOT_REGRESSION = " UNION ALL ".join(
+    f"SELECT seq, name, status, message FROM ({_judged(*check)})"
+    for check in [
+        (1, "orders", "15000", "(SELECT CAST(count(*) AS VARCHAR) FROM orders)"),
+        (2, "no negative price", "0", "(SELECT CAST(count(*) FILTER (o_totalprice < 0) AS VARCHAR) FROM orders)"),
+        (3, "largest line number", "7", "(SELECT CAST(max(l_linenumber) AS VARCHAR) FROM lineitem)"),
+    ]
+)
 CATALOG_INVENTORY = "SELECT CAST(3 AS BIGINT) AS tables, CAST(1 AS BIGINT) AS views"
 
 ORACLES: dict[str, str] = {
@@ -658,6 +666,7 @@ ORACLES: dict[str, str] = {
     "csv_load": CSV_LOAD,
     "table_insert": TABLE_INSERT,
     "snapshot_roundtrip": SNAPSHOT_ROUNDTRIP,
+    "snapshot_regression": SNAPSHOT_REGRESSION,
     "catalog_inventory": CATALOG_INVENTORY,
     "stream_hourly": IOT_HOURLY,
     "stream_parse_008": PAY_PARSE_008,

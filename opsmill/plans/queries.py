@@ -257,7 +257,7 @@ def lint_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = derive(table(spark, sf_dir, "events"), inputs.EXTERNAL_FACTS)
+    facts = derive(spread(table(spark, sf_dir, "events")), inputs.EXTERNAL_FACTS)
     parsed = derive(facts, inputs.EXTERNAL_JSON).select(
         F.from_json("document", files.LINT_SCHEMA).alias("d")
     )
@@ -531,6 +531,23 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
+@query
+def snapshot_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot a schema, run assertions in the snapshot, drop it."""
+    schema, location = _new_schema(spark, "released")
+    for name in ("orders", "lineitem"):
+        table(spark, sf_dir, name).write.saveAsTable(f"`{schema}`.{name}")
+    copy = sinks.snapshot_schema(spark, schema, "3", location=f"{location}_3")
+    checks = [
+        assertions.Assertion("orders", "SELECT COUNT(*) AS result FROM `{{SCHEMA}}`.orders;", "15000"),
+        assertions.Assertion("no negative price", "SELECT COUNT(*) AS result FROM `{{SCHEMA}}`.orders WHERE o_totalprice < 0;", "0"),
+        assertions.Assertion("largest line number", "SELECT MAX(l_linenumber) AS result FROM `{{SCHEMA}}`.lineitem;", "7"),
+    ]
+    results = assertions.run_assertions(spark, checks, {"SCHEMA": copy})
+    sinks.drop_snapshot(spark, schema, "3")
+    return results.select("seq", "name", "status", "message")
+
+
 @query
 def catalog_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema, _ = _new_schema(spark, "listed")
@@ -557,7 +574,7 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "landing")
     inputs.messages(spread(table(spark, sf_dir, "orders"))).write.parquet(path)
-    return refresh.stream_table(spark, path, refresh.MESSAGE_SCHEMA, files_per_trigger=4)
+    return refresh.stream_table(spark, path, refresh.MESSAGE_SCHEMA, files_per_trigger=8)
 
 
 @query
