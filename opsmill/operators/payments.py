@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsmill.functions.rows import with_once
 from opsmill.functions.times import minutes_between
 from opsmill.functions.xml import escape_cdata, is_closed
 
@@ -216,11 +217,9 @@ def extract_fields(
         return F.array(*[_in_tree(tree, field, depth) for field in fields])
 
     parsed = F.get(F.transform(F.array("_document"), read), F.lit(0))
-    cut = (
-        messages.withColumn("_taken", taken)
-        .withColumn("_document", document)
-        .withColumn("_parts", F.when(usual, F.split(decoded, _BETWEEN)).otherwise(parsed))
-    )
+    chosen = F.when(usual, F.split(decoded, _BETWEEN)).otherwise(parsed)
+    cut = with_once(messages, "_taken", taken).withColumn("_document", document)
+    cut = with_once(cut, "_parts", chosen)
     parts = F.col("_parts")
     values = [F.nullif(F.get(parts, F.lit(i)), F.lit("")).alias(f.column) for i, f in enumerate(fields)]
     return cut.select(*messages.columns, *values)

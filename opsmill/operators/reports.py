@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsmill.functions.rows import with_once
 from opsmill.functions.times import report_millis
 from opsmill.functions.xml import drop_prolog, root_name, strip_outer_element
 from opsmill.sources.files import REPORT_TEST
@@ -54,7 +55,7 @@ def convert_junit(files: DataFrame) -> DataFrame:
     )
     wrapped = F.concat(F.lit("<suites>"), body, F.lit("</suites>"))
     document = F.from_xml(wrapped, _SUITES, {"columnNameOfCorruptRecord": "_malformed"})
-    parsed = files.select("path", document.alias("_document")).select(
+    parsed = with_once(files, "_document", document).select(
         "path",
         F.when(F.col("_document._malformed").isNull(), F.col("_document.testsuite")).alias("_suites"),
     )
@@ -122,22 +123,14 @@ def junit_documents(converted: DataFrame, tool: str) -> DataFrame:
             F.struct(F.col("project").alias("projectName")).alias("environment"),
         ).alias("results"),
     )
-    # A filter would be pushed below the parsing and parse every file again.
-    row = F.struct(
-        F.regexp_replace("path", r"\.xml$", ".json").alias("path"),
-        F.to_json(report).alias("document"),
+    return converted.where("converted").select(
+        F.regexp_replace("path", r"\.xml$", ".json").alias("path"), F.to_json(report).alias("document")
     )
-    return converted.select(F.inline(F.when(F.col("converted"), F.array(row))))
 
 
 def report_tests(converted: DataFrame) -> DataFrame:
-    """The tests of converted files, one row each, numbered within their file.
-
-    The outer form keeps Spark from adding a filter on the tests below the
-    parsing, which would parse every file again.
-    """
-    listed = converted.select("path", F.posexplode_outer("tests").alias("_pos", "t"))
-    return listed.where(F.col("_pos").isNotNull()).select(
+    """The tests of converted files, one row each, numbered within their file."""
+    return converted.select("path", F.posexplode("tests").alias("_pos", "t")).select(
         "path", (F.col("_pos") + 1).alias("seq"), "t.*"
     )
 

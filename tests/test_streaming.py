@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from opsmill.operators import payments, readings
 from opsmill.plans import inputs
+from opsmill.session import materialize
 from opsmill.streaming import refresh
 
 
@@ -12,7 +13,8 @@ def same(one, two):
 
 @pytest.fixture()
 def raw(spark, sf_dir):
-    return inputs.messages(inputs.table(spark, sf_dir, "orders")).where("length(raw_xml) % 5 = 0")
+    whole = materialize(inputs.messages(inputs.table(spark, sf_dir, "orders")))
+    return whole.where("length(raw_xml) % 5 = 0")
 
 
 def test_landing_folder(spark, tmp_path):
