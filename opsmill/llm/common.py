@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,9 +51,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _packed_code() -> str:
+    """The package as a zip file, for executors on which it is not installed."""
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    return str(target)
+
+
+_READY: set[str] = set()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Have Spark hand texts to Python in batches of few rows."""
+    """Have Spark hand texts to Python in batches of few rows, to workers that know this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark.sparkContext.applicationId not in _READY:
+        spark.sparkContext.addPyFile(_packed_code())
+        _READY.add(spark.sparkContext.applicationId)
 
 
 def lowered(text: Column) -> Column:

@@ -296,11 +296,11 @@ WITH RECURSIVE words AS (
 ), items AS (
   SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
 ), shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both, any_value(a.n) AS na, any_value(b.n) AS nb
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
   FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
   GROUP BY ALL
 ), links AS (
-  SELECT a, b FROM shared WHERE 100 * both >= 85 * (na + nb - both)
+  SELECT a, b FROM shared WHERE 100 * common >= 85 * (na + nb - common)
 ), reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM sets
   UNION
