@@ -260,14 +260,14 @@ def _walk(node: Node, path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...],
             yield from _walk(part, own)
 
 
-def _slots(node: Node) -> float:
-    """Varying texts in blocks below an element; repeated ones weigh more."""
+def _texts(node: Node, fixed: bool) -> float:
+    """Varying texts (or, if ``fixed``, all) in blocks below an element; repeated ones weigh more."""
     total = 0.0
     for part in node.parts:
         if not part.label:
-            total += part.text is None
+            total += fixed or part.text is None
         elif part.label == "()" or not dropped(part.label):
-            total += _slots(part) * (4 if part.often in ("+", "*") else 1)
+            total += _texts(part, fixed) * (4 if part.often in ("+", "*") else 1)
     return total
 
 
@@ -279,18 +279,19 @@ def rules(wrapper: Node) -> dict:
         outer = [p for p in roots if not any(p != q and p[: len(q)] == q for q in roots)]
         if outer:
             return {"roots": sorted(set(outer)), "template": []}
-    if not found:
-        return {"roots": [], "template": []}
-    # The innermost element that still has most of the page's slots.
-    whole = _slots(wrapper)
-    rich = [(path, node) for path, node in found if whole and _slots(node) >= 0.7 * whole]
-    path = max(rich, key=lambda x: len(x[0]), default=found[0])[0] if whole else found[0][0]
-    path = path if path[-1].split(" ")[0] in _BLOCK else path[:-1] or path
-    fixed: set[str] = set()
-    if whole:
+    # The innermost block that still has most of what varies, or of all texts if nothing does.
+    fixed = not _texts(wrapper, False)
+    whole = _texts(wrapper, fixed)
+    rich = [
+        path for path, node in found
+        if node.label.split(" ")[0] in _BLOCK and _texts(node, fixed) >= 0.7 * whole
+    ]
+    path = max(rich, key=len, default=())
+    template: set[str] = set()
+    if not fixed:
         for _, node in found:
-            fixed |= {p.text for p in node.parts if not p.label and p.text is not None and p.often in ("", "?")}
-    return {"roots": [path], "template": sorted(fixed)}
+            template |= {p.text for p in node.parts if not p.label and p.text is not None and p.often in ("", "?")}
+    return {"roots": [path], "template": sorted(template)}
 
 
 def blocks(root: Node, rule: dict) -> list[str]:

@@ -36,7 +36,7 @@ MAX_TOXIC = 2000
 MAX_OTHER = 6000
 MAX_FEATURES = 6000
 #: Texts of the sample that must have a feature.
-MIN_TEXTS = 6
+MIN_TEXTS = 4
 SIZES = (4, 5, 6)
 THRESHOLD = 0.7
 _PEEK_BITS = 20
@@ -148,13 +148,16 @@ def fit(
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if set(sizes) != {0, 1}:
         return Model(np.empty(0, np.uint64), np.empty(0), -60.0)
-    p, q = F.col("toxic") / sizes[1], F.col("other") / sizes[0]
+    have, lack = F.col("toxic") + F.col("other"), sum(sizes.values()) - F.col("toxic") - F.col("other")
+    apart = F.col("toxic") * sizes[0] - F.col("other") * sizes[1]
+    # Chi-square of having the feature and being toxic, up to a constant factor.
+    evidence = apart.cast("double") * apart / (have * F.greatest(lack, F.lit(1)))
     ratio = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1) / ((F.col("other") + 0.5) / (sizes[0] + 1)))
     counted = (
         rows.mapInArrow(_counts, "code long, toxic long, other long")
         .groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         .filter(F.col("toxic") + F.col("other") >= MIN_TEXTS)
-        .select("code", ratio.alias("ratio"), (F.abs(p - q) * F.abs(ratio)).alias("evidence"))
+        .select("code", ratio.alias("ratio"), evidence.alias("evidence"))
         .orderBy(F.desc("evidence"), "code").limit(max_features)
     )
     kept = sorted((r["code"], r["ratio"]) for r in counted.collect())
