@@ -102,12 +102,36 @@ def scan_scripts(scripts: DataFrame, rules: list[Rule] | None = None) -> DataFra
 
 
 def scan_statements(scripts: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Findings of statement rules; ``line`` is the number of the statement in its file."""
+    """Findings of statement rules, with the statement's number and the line on which it starts.
+
+    A statement starts at its first visible character. All text before it is
+    counted inside the row, once per script.
+    """
     rules = STATEMENT_RULES if rules is None else rules
-    statements = scripts.select(
-        "file", F.posexplode(F.split("text", ";")).alias("_pos", "text")
-    ).select("file", (F.col("_pos") + 1).cast("bigint").alias("line"), "text")
-    return scan_lines(statements, rules)
+    pieces = scripts.select("file", F.split("text", ";").alias("_pieces"))
+    blank = r"^[ \t\n\x0b\f\r]*"
+
+    def breaks(text: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+    def place(done: Column, piece: Column) -> Column:
+        lead = breaks(F.regexp_extract(piece, blank, 0))
+        return F.struct(
+            F.concat(done["starts"], F.array(done["line"] + lead)).alias("starts"),
+            (done["line"] + breaks(piece)).alias("line"),
+        )
+
+    begun = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(1).alias("line"))
+    starts = F.aggregate("_pieces", begun, place, lambda done: done["starts"])
+    statements = pieces.select("file", F.posexplode(F.arrays_zip("_pieces", starts.alias("_starts"))).alias("_pos", "_p"))
+    numbered = statements.select(
+        F.struct("file", (F.col("_pos") + 1).cast("bigint").alias("statement")).alias("file"),
+        F.col("_p._starts").cast("bigint").alias("line"),
+        F.col("_p._pieces").alias("text"),
+    )
+    found = scan_lines(numbered, rules)
+    others = [c for c in found.columns if c != "file"]
+    return found.select("file.file", "file.statement", *others)
 
 
 def rules_from(catalogue: DataFrame) -> list[Rule]:
@@ -119,15 +143,17 @@ def rules_from(catalogue: DataFrame) -> list[Rule]:
     ]
 
 
-def external_findings(reports: DataFrame, missing_line: int = 0) -> DataFrame:
-    """Violations of external linter output, one row each."""
+def external_findings(
+    reports: DataFrame, missing_line: int = 0, category: str = EXTERNAL_CATEGORY
+) -> DataFrame:
+    """Violations of external linter output, one row each; ``category`` names the tool."""
     v = F.col("v")
     return reports.select(
         F.coalesce("filepath", F.lit("")).alias("file"), F.explode("violations").alias("v")
     ).select(
         "file",
         F.coalesce(v["code"], F.lit("")).alias("rule"),
-        F.lit(EXTERNAL_CATEGORY).alias("category"),
+        F.lit(category).alias("category"),
         F.coalesce(v["description"], F.lit("")).alias("description"),
         F.coalesce(v["start_line_no"], F.lit(missing_line)).cast("bigint").alias("line"),
     )

@@ -210,7 +210,7 @@ DEFINE_PATTERNS = {
     "DO11": r"(?i)^(?!\s*--)\s*(?:CREATE\s+(?:OR\s+REPLACE\s+)?|DEFINE\s+)VIEW\s+(?:[A-Z0-9_{}\.\s]+\.){0,2}(?![A-Z0-9]{3}[A-Z]_(RAW|CUR|AGG|GOL)_VW_)[A-Z_][A-Z0-9_]*",
     "DO12": r"(?i)^(?!\s*--)\s*(?:CREATE\s+(?:OR\s+REPLACE\s+)?|DEFINE\s+)DYNAMIC\s+TABLE\s+(?:[A-Z0-9_{}\.\s]+\.){0,2}(?![A-Z0-9]{3}[A-Z]_(RAW|CUR|AGG|GOL)_DT_)[A-Z_][A-Z0-9_]*",
     "DO13": r"(?i)^(?!\s*--)\s*(?:CREATE\s+(?:OR\s+REPLACE\s+)?|DEFINE\s+)STAGE\s+(?:[A-Z0-9_{}\.\s]+\.){0,2}(?![A-Z0-9]{3}[A-Z]_(RAW|CUR|AGG|GOL)_ST_)[A-Z_][A-Z0-9_]*",
-    "DO17": r"(?i)^(?!\s*--)\s*(USE\s+ROLE|SET\s+ROLE|GRANT\s+.*TO\s+ROLE|GRANT\s+ROLE)\s+.*ACCOUNTADMIN",
+    "DO17": r"(?i)^(?!\s*--)\s*(USE\s+ROLE|SET\s+ROLE|GRANT\s+.*TO\s+ROLE|GRANT\s+ROLE)\s+.*\bACCOUNTADMIN\b",
     "DO22": r"(?i)^(?!\s*--)\s*(?:CREATE\s+(?:OR\s+REPLACE\s+)?|DEFINE\s+)TABLE\s+(?!.*\bCOMMENT\b).*",
     "DO23": r"(?i)^(?!\s*--)\s*(?:CREATE\s+(?:OR\s+REPLACE\s+)?|DEFINE\s+)VIEW\b[\s\S]*?\bORDER\s+BY\b",
     "DO25": r"(?i)^(?!\s*--)\s*(?:CREATE\s+(?:OR\s+REPLACE\s+)?|DEFINE\s+)DYNAMIC\s+TABLE\s+(?!.*\bTARGET_LAG\b)",

@@ -9,6 +9,7 @@ from opsmill.functions.text import fill_spaced, overlay
 
 # Private-use characters, which no script holds.
 _OPEN, _CLOSE = "\ue000", "\ue001"
+# What counts as a name, as text outside quotes, and as a line to take apart.
 _WORD = r"(?U)(?<![\"'])(?<!\w)([A-Za-z_][A-Za-z0-9_]*)(?!\w)(?![\"'])"
 _PIECE = r"('[^']*'|[^']++(?:'(?=[^']*$)[^']*+)?|'(?=[^']*$)[^']*+)"
 _INLINE_SELECT = r"(?iU)^(\s*\)\s*AS\s+)SELECT\s+(.+?)\s+FROM\s+(.+)$"

@@ -193,6 +193,8 @@ _HEADS = [
     ["CREATE OR REPLACE VIEW v_{doc_id} AS SELECT a FROM t ORDER BY a;", "CREATE VIEW IOTI_RAW_VW_{doc_id} AS SELECT a FROM t;"],
     ["CREATE OR REPLACE DYNAMIC TABLE IOTI_RAW_DT_{doc_id} TARGET_LAG = '60 minutes';", "CREATE DYNAMIC TABLE dt_{doc_id}", "  TARGET_LAG = '1 hour' AS SELECT 1;", "DEFINE TABLE t_{doc_id} (a INT);", "DEFINE VIEW v_{doc_id}", "  COMMENT = 'x' AS SELECT 1;"],
     ["CREATE STAGE s_{doc_id};", "CREATE STAGE IOTI_RAW_ST_{doc_id};", "CREATE FILE FORMAT f_{doc_id};", "CREATE PROCEDURE p_{doc_id}();", "CREATE TASK t_{doc_id} WAREHOUSE = W;", "ALTER TABLE t DROP COLUMN c;", "TRUNCATE TABLE t_{doc_id};"],
+    ["DEFINE SCHEMA RAW_V001;", "DEFINE SCHEMA part_{doc_id};", "DEFINE VIEW IOTI_RAW_VW_{doc_id} AS SELECT a FROM t ORDER BY a;", "DEFINE STAGE s_{doc_id};", "DEFINE STAGE IOTI_RAW_ST_{doc_id};", "define file format f_{doc_id};", "DEFINE PROCEDURE IOTI_RAW_SP_{doc_id}();", "DEFINE PROCEDURE p_{doc_id}();", "DEFINE TASK IOTI_RAW_TK_{doc_id} WAREHOUSE = NULL;", "DEFINE TASK t_{doc_id};"],
+    ["DEFINE DYNAMIC TABLE d_{doc_id}", "  AS SELECT 1;", "DEFINE DYNAMIC TABLE IOTI_RAW_DT_{doc_id} COMMENT = 'c' TARGET_LAG = '1 hour';", "SELECT max(a) total, b FROM t;", "CREATE OR REPLACE SECURE VIEW IOT1_SV_{doc_id} AS SELECT 1;", "CREATE VIEW IOTX_SV_{doc_id} AS SELECT 1;", "DEFINE TABLE IOTI_RAW_TB_{doc_id} (a INT) COMMENT = 'x';", "DEFINE TABLE IOTI_CUR_TB_{doc_id} (a INT);", "abcdRAW_{doc_id}", "USE ROLE ACCOUNTADMINS;"],
     ["COPY INTO IOTI_RAW_TB_{doc_id} FROM @s;", "COPY INTO t FROM @s ON_ERROR = 'CONTINUE';", "a,cross_db_true,cross_schema_true", "-- CREATE TABLE x;", "CREATE OR REPLACE STREAM st_{doc_id} ON TABLE t;"],
 ]
 

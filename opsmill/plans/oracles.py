@@ -11,7 +11,7 @@ from opsmill.sources.geo import SENSOR_PLACES
 # Sensor readings
 
 _PLACES = "VALUES " + ", ".join(
-    "({0}, '{1}', {2}, {3})".format(*line.split("|")) for line in SENSOR_PLACES.strip().splitlines()
+    f"({number}, '{city}', {latitude}, {longitude})" for number, city, latitude, longitude in SENSOR_PLACES
 )
 _READINGS = f"readings AS ({derived_sql(inputs.READINGS, 'events')})"
 
@@ -322,6 +322,34 @@ SETUP_CONDITIONS = {
     "DO20": [_NO_COMMENT, _has(_EDGE_L + "(FLOAT|DOUBLE|REAL)" + _EDGE_R)],
     "DO21": [_NO_COMMENT, _has(_EDGE_L + "VARCHAR" + _SPACE + "*[^(]")],
 }
+INVERTED_CONDITIONS = {"TX36": [_has("(?i)^.{4}(RAW|CON|AGG|DAP|DAM)_")]}
+_DEFINED = r"(?i)^\s*(?:CREATE\s+(?:OR\s+REPLACE\s+)?|DEFINE\s+)"
+
+
+def _define_named(head: str, good: str) -> list[str]:
+    """No part of the head is needed, so that only a well-formed first name saves the line."""
+    start = _DEFINED + head + r"\s+"
+    return [_has(start + "[A-Z_]"), _lacks(start + "[A-Z0-9]{3}[A-Z]_(RAW|CUR|AGG|GOL)_" + good + "_")]
+
+
+DEFINE_CONDITIONS = {
+    "DO02": [*CORE_CONDITIONS["DO02"], _lacks(r"(?is)\bDEFINE\b")],
+    "DO03": [_has(r"(?i)^\s*(create|define)\s+(or\s+replace\s+)?(table|view|schema)\s+(if\s+not\s+exists\s+)?[a-z0-9_]+\.[a-z0-9_]+")],
+    "DO05": [_has(r"(?i)^\s*DROP\s+(SCHEMA|TABLE|VIEW)\s+"), _lacks(r"(?i)^\s*DROP\s+(SCHEMA|TABLE|VIEW)\s+IF\s+EXISTS\b")],
+    "DO08": [_has(_DEFINED + r"SCHEMA\s+[a-z0-9_]"), _lacks(_DEFINED + r"SCHEMA\s+(RAW_|CUR_|AGG_|GOL_|REF_)")],
+    "DO09": [_has(_DEFINED + r"SCHEMA\s+[a-z0-9_]")],
+    "DO10": _define_named("TABLE", "TB"),
+    "DO11": _define_named("VIEW", "VW"),
+    "DO12": _define_named(r"DYNAMIC\s+TABLE", "DT"),
+    "DO13": _define_named("STAGE", "ST"),
+    "DO22": [_has(_DEFINED + r"TABLE\s"), _lacks(_DEFINED + r"TABLE\s+.*\bCOMMENT\b")],
+    "DO23": [_has(_DEFINED + r"VIEW\b.*\bORDER\s+BY\b")],
+    "DO25": [_has(_DEFINED + r"DYNAMIC\s+TABLE\s"), _lacks(_DEFINED + r"DYNAMIC\s+TABLE\s+.*\bTARGET_LAG\b")],
+    "DO26": _define_named(r"FILE\s+FORMAT", "FF"),
+    "DO27": _define_named("PROCEDURE", "SP"),
+    "DO28": _define_named("TASK", "TK"),
+}
+_TEXT_CONDITIONS = CORE_CONDITIONS | STYLE_CONDITIONS
 _SCRIPT_LINES = f"""
 scripts AS ({derived_sql(inputs.SCRIPTS, 'documents')}),
 split AS (SELECT file, string_split(text, chr(10)) AS parts FROM scripts),
@@ -346,6 +374,7 @@ def _rule_values(rules: list) -> str:
     return f"rules(rule, name, category, severity, description) AS (VALUES {rows})"
 
 
+_BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 _CORE_FOUND = f"{_SCRIPT_LINES}, {_findings(CORE_CONDITIONS)}, {_rule_values(CORE_RULES)}"
 _STRIPPED = f"regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 LINT_SCAN = f"""
@@ -353,19 +382,30 @@ WITH {_CORE_FOUND}
 SELECT file, rule, name, category, severity, description, line, {_STRIPPED} AS text
 FROM found JOIN rules USING (rule)
 """
-LINT_TEXT_PROFILE = f"""
-WITH {_SCRIPT_LINES}, {_findings(STYLE_CONDITIONS)}, {_rule_values(STYLE_RULES)}
+
+
+def _profile(conditions: dict[str, list[str]]) -> str:
+    return f"""
+WITH {_SCRIPT_LINES}, {_findings(conditions)}, {_rule_values(CORE_RULES + STYLE_RULES)}
 SELECT file, rule, severity, line FROM found JOIN rules USING (rule)
 """
-LINT_SETUP_PROFILE = f"WITH {_SCRIPT_LINES}, {_findings(SETUP_CONDITIONS)} SELECT file, rule, line FROM found"
+
+
+LINT_TEXT_PROFILE = _profile(_TEXT_CONDITIONS)
+LINT_SETUP_PROFILE = _profile(_TEXT_CONDITIONS | SETUP_CONDITIONS)
+LINT_DCM_PROFILE = _profile(_TEXT_CONDITIONS | DEFINE_CONDITIONS)
+LINT_ALL_PROFILE = _profile(_TEXT_CONDITIONS | INVERTED_CONDITIONS)
 LINT_STATEMENT = rf"""
 WITH scripts AS ({derived_sql(inputs.SCRIPTS, 'documents')}),
 split AS (SELECT file, string_split(text, ';') AS parts FROM scripts),
-pieces AS (SELECT file, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS text FROM split)
-SELECT file, 'ML01' AS rule, 'MAJOR' AS severity, line FROM pieces
+pieces AS (SELECT file, unnest(range(1, len(parts) + 1)) AS statement, unnest(parts) AS text,
+  unnest(list_transform(range(1, len(parts) + 1), lambda i: array_to_string(parts[1:i], ';'))) AS upto FROM split),
+placed AS (SELECT file, statement, text, CAST(1 + len(upto) - len(replace(upto, chr(10), ''))
+  - len(ltrim(text, {_BLANKS})) + len(replace(ltrim(text, {_BLANKS}), chr(10), '')) AS BIGINT) AS line FROM pieces)
+SELECT file, 'ML01' AS rule, 'MAJOR' AS severity, statement, line FROM placed
 WHERE {_has(r"(?is)^\s*DEFINE\s+(DYNAMIC\s+)?(TABLE|VIEW)\s")} AND {_lacks(r"(?is)^\s*DEFINE\s+(DYNAMIC\s+)?(TABLE|VIEW)\s+.*\bCOMMENT\b")}
 UNION ALL
-SELECT file, 'ML02', 'CRITICAL', line FROM pieces
+SELECT file, 'ML02', 'CRITICAL', statement, line FROM placed
 WHERE {_has(r"(?is)^\s*(CREATE\s+(OR\s+REPLACE\s+)?|DEFINE\s+)DYNAMIC\s+TABLE\s")} AND {_lacks(r"(?is)DYNAMIC\s+TABLE\s+.*\bTARGET_LAG\b")}
 """
 LINT_BY_CATEGORY = f"""
@@ -640,6 +680,8 @@ ORACLES: dict[str, str] = {
     "lint_scan": LINT_SCAN,
     "lint_text_profile": LINT_TEXT_PROFILE,
     "lint_setup_profile": LINT_SETUP_PROFILE,
+    "lint_dcm_profile": LINT_DCM_PROFILE,
+    "lint_all_profile": LINT_ALL_PROFILE,
     "lint_statement": LINT_STATEMENT,
     "lint_by_category": LINT_BY_CATEGORY,
     "lint_issues": LINT_ISSUES,

@@ -30,7 +30,7 @@ from opsmill.operators import (
 from opsmill.operators.lint_rules import rules_for
 from opsmill.plans import inputs
 from opsmill.plans.inputs import derive, table
-from opsmill.session import fresh_path, materialize, spread
+from opsmill.session import fresh_path, materialize
 from opsmill.sources import catalog, files, generators
 from opsmill.sources.geo import sensor_places
 from opsmill.streaming import refresh
@@ -89,13 +89,13 @@ def iot_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gen_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.add_readings(spread(table(spark, sf_dir, "events")), "event_id", seed=7)
+    return generators.add_readings(table(spark, sf_dir, "events"), "event_id", seed=7)
 
 
 @query
 def gen_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    made = generators.add_payments(spread(table(spark, sf_dir, "events")), "event_id", as_of, seed=7)
+    made = generators.add_payments(table(spark, sf_dir, "events"), "event_id", as_of, seed=7)
     return made.withColumn("amount", F.col("amount").cast("double"))
 
 
@@ -103,7 +103,7 @@ def gen_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str, base: str | None) -> DataFrame:
-    edges = derive(spread(table(spark, sf_dir, "orders")), inputs.DEPENDENCIES)
+    edges = derive(table(spark, sf_dir, "orders"), inputs.DEPENDENCIES)
     return dependencies.classify_dependencies(edges, base)
 
 
@@ -137,7 +137,7 @@ def deps_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw message table, written once as it is when messages land."""
-    return materialize(inputs.messages(spread(table(spark, sf_dir, "orders"))), "messages")
+    return materialize(inputs.messages(table(spark, sf_dir, "orders")), "messages")
 
 
 def _transfer_output(parsed: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def pay_ack_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spread(table(spark, sf_dir, "documents")), inputs.SCRIPTS)
+    return derive(table(spark, sf_dir, "documents"), inputs.SCRIPTS)
 
 
 @query
@@ -227,28 +227,35 @@ def lint_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.scan_scripts(_scripts(spark, sf_dir))
 
 
+def _profile(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    found = lint.scan_scripts(_scripts(spark, sf_dir), rules_for(name))
+    return found.select("file", "rule", "severity", "line")
+
+
 @query
 def lint_text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    style = [r for r in rules_for("text") if r.code.startswith("TX")]
-    return lint.scan_scripts(_scripts(spark, sf_dir), style).select("file", "rule", "severity", "line")
+    return _profile(spark, sf_dir, "text")
 
 
 @query
 def lint_setup_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = [r for r in rules_for("setup") if r.code in ("DO07", "DO20", "DO21")]
-    return lint.scan_scripts(_scripts(spark, sf_dir), changed).select("file", "rule", "line")
+    return _profile(spark, sf_dir, "setup")
 
 
 @query
 def lint_dcm_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.scan_scripts(_scripts(spark, sf_dir), rules_for("dcm")).select(
-        "file", "rule", "severity", "line"
-    )
+    return _profile(spark, sf_dir, "dcm")
+
+
+@query
+def lint_all_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile(spark, sf_dir, "all")
 
 
 @query
 def lint_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.scan_statements(_scripts(spark, sf_dir)).select("file", "rule", "severity", "line")
+    found = lint.scan_statements(_scripts(spark, sf_dir))
+    return found.select("file", "rule", "severity", "statement", "line")
 
 
 @query
@@ -257,7 +264,7 @@ def lint_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = derive(spread(table(spark, sf_dir, "events")), inputs.EXTERNAL_FACTS)
+    facts = derive(table(spark, sf_dir, "events"), inputs.EXTERNAL_FACTS)
     parsed = derive(facts, inputs.EXTERNAL_JSON).select(
         F.from_json("document", files.LINT_SCHEMA).alias("d")
     )
@@ -359,7 +366,7 @@ def dq_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _junit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = derive(spread(table(spark, sf_dir, "orders")), inputs.JUNIT_FACTS)
+    facts = derive(table(spark, sf_dir, "orders"), inputs.JUNIT_FACTS)
     texts = facts.selectExpr("*", *[f"{sql} AS {n}" for n, sql in inputs.JUNIT_TEXTS.items()])
     return reports.convert_junit(derive(texts, inputs.JUNIT_FILES))
 
@@ -453,7 +460,7 @@ def render_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ddl_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.format_ddl(derive(spread(table(spark, sf_dir, "part")), inputs.DDL))
+    return scripts.format_ddl(derive(table(spark, sf_dir, "part"), inputs.DDL))
 
 
 @query
@@ -573,7 +580,7 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "landing")
-    inputs.messages(spread(table(spark, sf_dir, "orders"))).write.parquet(path)
+    inputs.messages(table(spark, sf_dir, "orders")).write.parquet(path)
     return refresh.stream_table(spark, path, refresh.MESSAGE_SCHEMA, files_per_trigger=8)
 
 

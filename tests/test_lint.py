@@ -104,7 +104,21 @@ def test_statements(spark):
     text = "DEFINE TABLE t (\n a INT\n);\nDEFINE VIEW v\n COMMENT = 'x';\nCREATE DYNAMIC TABLE d\n AS SELECT 1; CREATE DYNAMIC TABLE e\n TARGET_LAG = '1 hour'"
     scripts = spark.createDataFrame([("a", text)], "file string, text string")
     found = lint.scan_statements(scripts, STATEMENT_RULES).collect()
-    assert sorted((r["rule"], r["line"]) for r in found) == [("ML01", 1), ("ML02", 3)]
+    assert sorted((r["rule"], r["statement"], r["line"]) for r in found) == [("ML01", 1, 1), ("ML02", 3, 6)]
+
+
+def test_patterns_hold_no_control_characters():
+    rules = [r for profile in ("core", "text", "setup", "dcm", "all") for r in rules_for(profile)]
+    assert all(c >= " " for r in rules + STATEMENT_RULES for c in r.pattern)
+
+
+@pytest.mark.parametrize("profile", ["core", "text", "setup", "dcm", "all"])
+def test_every_rule_fires(spark, sf_dir, profile):
+    scripts = inputs.derive(inputs.table(spark, sf_dir, "documents"), inputs.SCRIPTS)
+    found = lint.scan_scripts(scripts, rules_for(profile)).select("rule").distinct().collect()
+    assert {r["rule"] for r in found} == {r.code for r in rules_for(profile)}
+    told = lint.scan_statements(scripts).select("rule").distinct().collect()
+    assert {r["rule"] for r in told} == {r.code for r in STATEMENT_RULES}
 
 
 def test_rules_from_a_table(spark):

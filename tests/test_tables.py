@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsmill.operators import lint, readings, sinks
-from opsmill.session import materialize, spread
+from opsmill.session import discard, materialize
 from opsmill.sources import catalog, files, generators
 from opsmill.sources.geo import sensor_places
 
@@ -118,5 +118,7 @@ def test_generated_tables(spark):
 def test_written_intermediates(spark):
     df = materialize(spark.range(10).withColumn("t", F.lit(None).cast("date")))
     assert df.count() == 10 and df.dtypes == [("id", "bigint"), ("t", "date")]
-    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4
-    assert spread(spark.range(0, 10, 1, 9)).rdd.getNumPartitions() == 9
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
