@@ -87,8 +87,9 @@ def assertion_values(
     """``(seq, name, expected, actual)`` of all assertions, computed by one query.
 
     Each assertion becomes a scalar subquery of one projection. Catalyst
-    merges those that aggregate the same table, so the table is read once for
-    all of them. A query without rows gives NULL.
+    merges those that aggregate the same table without a filter; one with a
+    filter reads its table once more, unless it is written as
+    ``count(*) FILTER (WHERE ...)``. A query without rows gives NULL.
     """
     rows = [_value_row(spark, seq, a, values or {}) for seq, a in enumerate(assertions, 1)]
     return _as_table(spark, rows)
@@ -121,20 +122,50 @@ def judge(values: DataFrame, tolerance: float | None = None) -> DataFrame:
     )
 
 
-def _timed(judged: DataFrame, count: int) -> list[tuple]:
-    """Collected result rows; the time taken is shared out evenly."""
-    begun = time.monotonic()
+def _results(judged: DataFrame, milliseconds: int | None) -> list[tuple]:
+    """Collected result rows; a skipped test takes no time."""
     found = judged.select("seq", "name", "status", "message", "suite").collect()
-    share = max(1, int((time.monotonic() - begun) * 1000 / max(1, count)))
     return [
-        (r["seq"], r["name"], r["status"], 0 if r["status"] == "skipped" else share, r["message"], r["suite"])
+        (r["seq"], r["name"], r["status"], 0 if r["status"] == "skipped" else milliseconds, r["message"], r["suite"])
         for r in found
     ]
 
 
-def _failure(seq: int, assertion: Assertion, error: PySparkException) -> tuple:
+def _failure(seq: int, assertion: Assertion, error: PySparkException, milliseconds: int | None) -> tuple:
     reason = error.getCondition() or type(error).__name__
-    return (seq, assertion.name, "failed", 1, f"Query failed: {reason}", SUITE)
+    return (seq, assertion.name, "failed", milliseconds, f"Query failed: {reason}", SUITE)
+
+
+def _run_timed(
+    spark: SparkSession, runnable: dict[int, tuple[Assertion, Column]], tolerance: float | None
+) -> list[tuple]:
+    """One query per assertion, each with the time that it took."""
+    results = []
+    for seq, (one, row) in runnable.items():
+        begun = time.monotonic()
+        try:
+            (found,) = _results(judge(_as_table(spark, [row]), tolerance), None)
+        except PySparkException as error:
+            found = _failure(seq, one, error, None)
+        taken = max(1, round((time.monotonic() - begun) * 1000))
+        results.append((*found[:3], 0 if found[2] == "skipped" else taken, *found[4:]))
+    return results
+
+
+def _run_together(
+    spark: SparkSession, runnable: dict[int, tuple[Assertion, Column]], tolerance: float | None
+) -> list[tuple]:
+    """All assertions by one query; if that fails, either half by its own, down to the one at fault."""
+    try:
+        return _results(judge(_as_table(spark, [row for _, row in runnable.values()]), tolerance), None)
+    except PySparkException as error:
+        entries = list(runnable.items())
+        if len(entries) == 1:
+            ((seq, (one, _)),) = entries
+            return [_failure(seq, one, error, None)]
+        middle = len(entries) // 2
+        halves = (dict(entries[:middle]), dict(entries[middle:]))
+        return [r for half in halves for r in _run_together(spark, half, tolerance)]
 
 
 def run_assertions(
@@ -142,30 +173,27 @@ def run_assertions(
     assertions: Iterable[Assertion],
     values: Mapping[str, str] | None = None,
     tolerance: float | None = None,
+    timed: bool = True,
 ) -> DataFrame:
     """Run assertions now and return their results (``RESULT_SCHEMA``).
 
-    Queries that cannot be analysed are reported as failed; the others run as
-    one query. When one of them fails to run, each runs by itself and the
-    failing ones are reported with their error. Nothing stops the run.
+    With ``timed`` each assertion is a query of its own and ``duration`` is what it
+    took. Otherwise all are one query, which reads tables fewer times but cannot tell
+    single durations apart: they are NULL. Queries that cannot be analysed or fail to
+    run are reported as failed and don't stop the others.
     """
     results: list[tuple] = []
     runnable: dict[int, tuple[Assertion, Column]] = {}
     for seq, one in enumerate(assertions, 1):
+        begun = time.monotonic()
         try:
             runnable[seq] = (one, _value_row(spark, seq, one, values or {}))
         except PySparkException as error:
-            results.append(_failure(seq, one, error))
-    try:
-        table = _as_table(spark, [row for _, row in runnable.values()])
-        results += _timed(judge(table, tolerance), len(runnable))
-    except PySparkException:
-        for seq, (one, row) in runnable.items():
-            try:
-                results += _timed(judge(_as_table(spark, [row]), tolerance), 1)
-            except PySparkException as error:
-                results.append(_failure(seq, one, error))
-    return spark.createDataFrame(sorted(results), RESULT_SCHEMA)
+            taken = max(1, round((time.monotonic() - begun) * 1000)) if timed else None
+            results.append(_failure(seq, one, error, taken))
+    if runnable:
+        results += (_run_timed if timed else _run_together)(spark, runnable, tolerance)
+    return spark.createDataFrame(sorted(results, key=lambda r: r[0]), RESULT_SCHEMA)
 
 
 def echo_assertions(spark: SparkSession, assertions: Iterable[Assertion]) -> DataFrame:
@@ -179,7 +207,7 @@ def echo_assertions(spark: SparkSession, assertions: Iterable[Assertion]) -> Dat
     listed = [Assertion(title, "", "expected"), *assertions]
     rows = [(i, a.name, a.expected, a.expected) for i, a in enumerate(listed, 1)]
     return spark.createDataFrame(
-        _timed(judge(spark.createDataFrame(rows, VALUE_SCHEMA)), len(rows)), RESULT_SCHEMA
+        _results(judge(spark.createDataFrame(rows, VALUE_SCHEMA)), 1), RESULT_SCHEMA
     )
 
 

@@ -321,7 +321,7 @@ _FROM_ACK = [
 ]
 
 
-def _joined_columns(acknowledged: bool) -> list[Column]:
+def joined_columns(acknowledged: bool) -> list[Column]:
     """Columns of the joined table; NULLs on the right when not acknowledged."""
 
     def ack(name: str, kind: str = "string") -> Column:
@@ -358,21 +358,20 @@ def join_status(transfers: DataFrame, acks: DataFrame) -> DataFrame:
     message id, which a frequent placeholder id makes quadratic. The three
     parts do not overlap: the second leaves out pairs the first has found.
 
-    Each input is read three times, so pass written tables (or use
-    ``session.materialize``) when computing them is costly.
+    The outer join on the end-to-end id gives the pairs and the rest at once,
+    from one exchange of either side. Inputs are read more than once, so pass
+    written tables (or use ``session.materialize``) when computing them is costly.
     """
     p, a = transfers.alias("p"), acks.alias("a")
     same_message = F.col("p.message_id") == F.col("a.original_message_id")
     same_end = F.col("p.end_to_end_id") == F.col("a.original_end_to_end_id")
     same_txn = F.col("p.transaction_id") == F.col("a.original_transaction_id")
-    by_end = p.join(a, same_message & same_end).select(*_joined_columns(True))
-    by_txn = p.join(a, same_message & same_txn & ~F.coalesce(same_end, F.lit(False))).select(
-        *_joined_columns(True)
-    )
-    keys = acks.select("original_message_id", "original_end_to_end_id", "original_transaction_id")
-    silent = (
-        p.join(keys.alias("a"), same_message & same_end, "left_anti")
-        .join(keys.alias("a"), same_message & same_txn, "left_anti")
-        .select(*_joined_columns(False))
-    )
-    return by_end.unionByName(by_txn).unionByName(silent)
+    by_end = p.join(a.withColumn("_told", F.lit(True)).alias("a"), same_message & same_end, "left")
+    by_txn = p.join(a, same_message & same_txn & ~F.coalesce(same_end, F.lit(False)))
+    rest = by_end.where(F.col("a._told").isNull()).select("p.*").alias("p")
+    silent = rest.join(a, same_message & same_txn, "left_anti")
+    return (
+        by_end.where("a._told").select(*joined_columns(True))
+        .unionByName(by_txn.select(*joined_columns(True)))
+        .unionByName(silent.select(*joined_columns(False)))
+    )

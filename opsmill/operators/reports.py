@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmill.functions.rows import with_once
 from opsmill.functions.times import report_millis
 from opsmill.functions.xml import drop_prolog, root_name, strip_outer_element
-from opsmill.sources.files import REPORT_TEST
+from opsmill.sources.files import REPORT_SCHEMA, REPORT_TEST
 
 _OUTCOME = "array<struct<_message:string,_VALUE:string>>"
 _CASE = f"struct<_name:string,_time:string,failure:{_OUTCOME},skipped:{_OUTCOME}>"
@@ -260,6 +260,29 @@ def issue_lines(issues: DataFrame, key: str, order: list[str]) -> DataFrame:
     return array_document(issues, key, order, item, F.lit('{"issues":['), F.lit("]}"), [])
 
 
-def write_lines(lines: DataFrame, path: str, key: str, order: list[str]) -> None:
-    """Write document lines in order; the part files joined by name are the documents."""
-    lines.orderBy(key, "part", *order).select("line").write.mode("overwrite").text(path)
+def write_report_files(lines: DataFrame, path: str, key: str, order: list[str]) -> None:
+    """Write every document into a folder of its own, ``path/key=.../``.
+
+    The lines of all documents are sorted over tasks, so that a long document spans part
+    files in order; joined by name, the part files of a folder are its document. A short
+    document is one file, except where the range of a task ends in it.
+    """
+    ordered = lines.orderBy(key, "part", *order).select(key, "line")
+    ordered.write.mode("overwrite").partitionBy(key).text(path)
+
+
+def read_report_files(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """``(key, document)`` of what ``write_report_files`` has written; for documents that fit in a row."""
+    pieces = spark.read.text(path, wholetext=True).select(
+        key, F.col("_metadata.file_name").alias("_file"), "value"
+    )
+    # Spark's part files are named in the order of their tasks.
+    ordered = F.array_sort(F.collect_list(F.struct("_file", "value")))
+    joined = F.array_join(F.transform(ordered, lambda p: p["value"]), "")
+    return pieces.groupBy(key).agg(joined.alias("document"))
+
+
+def parse_reports(documents: DataFrame) -> DataFrame:
+    """Report documents as columns; one that is no document gives NULLs."""
+    others = [c for c in documents.columns if c != "document"]
+    return documents.select(*others, F.from_json("document", REPORT_SCHEMA).alias("r")).select(*others, "r.*")

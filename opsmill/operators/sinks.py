@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -60,23 +64,81 @@ def snapshot_name(schema: str, release: str | None) -> str:
     return schema if not release or release == "0" else f"{schema}_{release}"
 
 
+def _details(spark: SparkSession, name: str) -> dict[str, str]:
+    """What the catalogue says about a table or view (Provider, Comment, View Text ...)."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+    names = [r["col_name"] for r in rows]
+    start = names.index("# Detailed Table Information") if "# Detailed Table Information" in names else 0
+    return {r["col_name"]: r["data_type"] for r in rows[start + 1 :]}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _create_views(spark: SparkSession, schema: str, target: str, views: dict[str, dict[str, str]]) -> None:
+    """Views against the snapshot; one that needs another waits for it."""
+    own = re.compile(rf"(?<![\w`.])(?:`{re.escape(schema)}`|{re.escape(schema)})(?=\s*\.)", re.I)
+    current = spark.catalog.currentDatabase()
+    waiting = dict(views)
+    try:
+        spark.catalog.setCurrentDatabase(target)
+        while waiting:
+            failed: dict[str, PySparkException] = {}
+            for name, details in waiting.items():
+                comment = f" COMMENT {_quoted(details['Comment'])}" if details.get("Comment") else ""
+                text = own.sub(f"`{target}`", details["View Text"])
+                try:
+                    spark.sql(f"CREATE VIEW `{target}`.`{name}`{comment} AS {text}")
+                except PySparkException as error:
+                    failed[name] = error
+            if len(failed) == len(waiting):
+                raise next(iter(failed.values()))
+            waiting = {name: waiting[name] for name in failed}
+    finally:
+        spark.catalog.setCurrentDatabase(current)
+
+
 def snapshot_schema(
     spark: SparkSession, schema: str, release: str, location: str | None = None
 ) -> str:
-    """Copy all tables of ``schema`` to its release snapshot, replacing an older one.
+    """Copy the tables and views of ``schema`` to its release snapshot, replacing an older one.
 
-    Tables are copied by Spark, file by file in parallel; the loop is over
-    catalogue entries.
+    Tables keep format, partitioning and comment; views are created again over the
+    copies. All data is written first, into a folder of its own (below ``location``
+    or the warehouse); only then the older snapshot is dropped and the new one
+    registered, so that a copy that fails leaves the older one as it was. Tables are
+    copied by Spark, file by file in parallel; the loop is over catalogue entries.
     """
     target = snapshot_name(schema, release)
     if target == schema:
         raise ValueError("a snapshot needs a release other than 0")
-    drop_snapshot(spark, schema, release)
-    where = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE DATABASE `{target}`{where}")
+    above = location or f"{spark.conf.get('spark.sql.warehouse.dir')}/{target}.db"
+    folder = f"{above.rstrip('/')}/{uuid.uuid4().hex}"
+    tables, views = {}, {}
     for table in spark.catalog.listTables(schema):
-        if not table.isTemporary and table.tableType != "VIEW":
-            spark.table(f"`{schema}`.`{table.name}`").write.saveAsTable(f"`{target}`.`{table.name}`")
+        if table.isTemporary:
+            continue
+        source = f"`{schema}`.`{table.name}`"
+        details = _details(spark, source)
+        if table.tableType == "VIEW":
+            views[table.name] = details
+            continue
+        parts = [c.name for c in spark.catalog.listColumns(source) if c.isPartition]
+        layout = details.get("Provider", "parquet")
+        writer = spark.table(source).write.format(layout)
+        (writer.partitionBy(*parts) if parts else writer).save(f"{folder}/{table.name}")
+        tables[table.name] = (spark.table(source).schema, layout, parts, details.get("Comment"))
+    drop_snapshot(spark, schema, release)
+    spark.sql(f"CREATE DATABASE `{target}` LOCATION '{folder}'")
+    for name, (fields, layout, parts, comment) in tables.items():
+        copy = f"`{target}`.`{name}`"
+        spark.catalog.createTable(copy, path=f"{folder}/{name}", source=layout, schema=None if parts else fields)
+        if parts:
+            spark.catalog.recoverPartitions(copy)
+        if comment:
+            spark.sql(f"COMMENT ON TABLE {copy} IS {_quoted(comment)}")
+    _create_views(spark, schema, target, views)
     return target
 
 

@@ -651,6 +651,8 @@ UNION ALL SELECT s_suppkey, s_name, NULL, NULL FROM supplier
 SNAPSHOT_ROUNDTRIP = """
 SELECT 'nation' AS table_name, count(*) AS rows FROM nation UNION ALL SELECT 'customer', count(*) FROM customer
 UNION ALL SELECT 'orders', count(*) FROM orders
+UNION ALL SELECT 'closed', count(*) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'buyers', count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F'
 """
 SNAPSHOT_REGRESSION = " UNION ALL ".join(
     f"SELECT seq, name, status, message FROM ({_judged(*check)})"

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import StructType
 
-from opsmill.operators.payments import join_status, parse_acknowledgements, parse_transfers
+from opsmill.operators.payments import joined_columns, parse_acknowledgements, parse_transfers
 from opsmill.sources.files import as_messages
 
 MESSAGE_SCHEMA = "file_name string, load_ts timestamp, raw_xml string"
@@ -97,59 +97,59 @@ def current_hourly(spark: SparkSession, target: str) -> DataFrame:
     )
 
 
-def _bucket(message_id: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(message_id), F.lit(buckets)).cast("int")
+def _match_keys(kind_columns: dict[str, Column], message: Column) -> Column:
+    """The keys under which a row can be found: its message with each reference it has."""
+    keys = [
+        F.when(message.isNotNull() & ref.isNotNull(), F.struct(F.lit(kind).alias("kind"), message.alias("message"), ref.alias("ref")))
+        for kind, ref in kind_columns.items()
+    ]
+    return F.explode(F.array_compact(F.array(*keys)))
 
 
 def maintain_status_join(
-    messages: DataFrame,
-    root: str,
+    transfers: DataFrame,
+    acks: DataFrame,
+    target: str,
     checkpoint: str,
     lag: str | None = DEFAULT_LAG,
-    buckets: int = 64,
 ) -> StreamingQuery:
-    """Keep the join of transfers and acknowledgements up to date, with no time bound.
-
-    Below ``root``, both parsed tables are kept by batch and message bucket.
-    A batch recomputes the join of the buckets it touches and replaces these
-    partitions of ``joined``. Replaying a batch writes the same files again.
-    The list of touched buckets is the only thing the driver collects.
+    """Keep the join of two streams of parsed rows up to date, with no time bound.
+
+    Both sides are kept in the state store under message *and* reference, so that a batch
+    reads and writes what is new and its matches, and a message id that many rows share is
+    spread by their references. Nothing that is written changes later: a batch appends its
+    transfers and its new pairs, and ``current_status_join`` finds the transfers that
+    have no pair. The sink's log makes a batch visible as a whole or not at all, and a
+    replayed batch counts once. How the state is dealt out is part of the checkpoint.
     """
-
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = {
-            "transfers": parse_transfers(batch).withColumn(
-                "bucket", _bucket(F.col("message_id"), buckets)
-            ),
-            "acks": parse_acknowledgements(batch).withColumn(
-                "bucket", _bucket(F.col("original_message_id"), buckets)
-            ),
-        }
-        for name, df in new.items():
-            df.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{name}/batch_id={batch_id}")
-        tables = {
-            name: spark.read.schema(df.schema.add("batch_id", LongType())).parquet(f"{root}/{name}")
-            for name, df in new.items()
-        }
-        this_batch = [t.where(F.col("batch_id") == batch_id).select("bucket") for t in tables.values()]
-        touched = [r["bucket"] for r in this_batch[0].union(this_batch[1]).distinct().collect()]
-        if not touched:
-            return
-        affected = {name: t.where(F.col("bucket").isin(touched)) for name, t in tables.items()}
-        joined = join_status(affected["transfers"], affected["acks"])
-        (
-            joined.withColumn("bucket", _bucket(F.col("pacs008_message_id"), buckets))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(f"{root}/joined")
-        )
-
-    writer = messages.writeStream.foreachBatch(refresh)
+    p = transfers.withColumn(
+        "_key",
+        _match_keys({"end": F.col("end_to_end_id"), "txn": F.col("transaction_id")}, F.col("message_id")),
+    ).alias("p")
+    a = acks.withColumn(
+        "_key",
+        _match_keys(
+            {"end": F.col("original_end_to_end_id"), "txn": F.col("original_transaction_id")},
+            F.col("original_message_id"),
+        ),
+    ).alias("a")
+    same_end = F.coalesce(F.col("p.end_to_end_id") == F.col("a.original_end_to_end_id"), F.lit(False))
+    once = (F.col("p._key.kind") == "end") | ~same_end
+    pairs = p.join(a, F.col("p._key") == F.col("a._key")).where(once)
+    transaction = F.col("p.transaction_id").alias("transaction_id")
+    rows = pairs.select(F.lit("pair").alias("part"), transaction, *joined_columns(True)).unionByName(
+        transfers.alias("p").select(F.lit("transfer").alias("part"), transaction, *joined_columns(False))
+    )
+    writer = rows.writeStream.format("parquet").partitionBy("part").option("path", target)
     return _start(writer.option("checkpointLocation", checkpoint), lag)
 
 
-def current_status_join(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/joined").drop("bucket")
-
+def current_status_join(spark: SparkSession, target: str) -> DataFrame:
+    """The pairs, and the transfers whose ids are in no pair."""
+    rows = spark.read.parquet(target)
+    ids = ["pacs008_message_id", "pacs008_end_to_end_id", "transaction_id"]
+    # A struct is never NULL itself, so that missing ids compare equal.
+    rows = rows.withColumn("_ids", F.struct(*ids))
+    pairs = rows.where("part = 'pair'")
+    silent = rows.where("part = 'transfer'").join(pairs.select("_ids").distinct(), "_ids", "left_anti")
+    return pairs.unionByName(silent).drop("_ids", "part", "transaction_id")

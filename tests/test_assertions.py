@@ -90,3 +90,20 @@ def test_table_checks(spark):
         df, {"rows": (F.count("*"), "10"), "even": (F.count_if(F.col("id") % 2 == 0), "4")}
     )
     assert [r["status"] for r in assertions.judge(values).orderBy("seq").collect()] == ["passed", "failed"]
+
+
+def test_durations_are_those_of_each_assertion(spark):
+    slow = "SELECT count(*) AS result FROM range(60000000) WHERE sqrt(id) * sin(id) > 2 OR id < 0"
+    checks = [assertions.Assertion("slow", slow, "x"), *[assertions.Assertion(f"fast {k}", "SELECT 1 AS result", "1") for k in range(3)]]
+    taken = {r["name"]: r["duration"] for r in assertions.run_assertions(spark, checks).collect()}
+    assert taken["slow"] > max(v for k, v in taken.items() if k != "slow")
+    together = assertions.run_assertions(spark, checks, timed=False).collect()
+    assert [r["duration"] for r in together] == [None] * 4 and [r["status"] for r in together] == ["failed", *["passed"] * 3]
+
+
+def test_more_assertions_than_one_row_holds(spark):
+    checks = [assertions.Assertion(f"n{k}", f"SELECT {k} AS result", str(k)) for k in range(130)]
+    checks[70] = assertions.Assertion("n70", "SELECT CAST('x' || id AS INT) AS result FROM range(1)", "70")
+    rows = assertions.run_assertions(spark, checks, timed=False).collect()
+    assert [r["seq"] for r in rows] == list(range(1, 131))
+    assert [r["name"] for r in rows if r["status"] != "passed"] == ["n70"]

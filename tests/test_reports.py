@@ -63,9 +63,11 @@ def test_documents_of_any_length(spark, tmp_path):
     rows = [("hot" if i % 3 else None, i, f'n"{i}', ["passed", "failed", "skipped"][i % 3], i, "a\nb", "s") for i in range(500)]
     lines = reports.report_lines(result_rows(spark, rows), "report", ["seq"], "tool", {"projectName": F.col("report")})
     path = str(tmp_path / "documents")
-    reports.write_lines(lines.where("report = 'hot'"), path, "report", ["seq"])
-    parts = sorted((tmp_path / "documents").glob("part-*"))
+    reports.write_report_files(lines, path, "report", ["seq"])
+    parts = sorted((tmp_path / "documents" / "report=hot").glob("part-*"))
     document = json.loads("".join(p.read_text() for p in parts))
+    whole = {r["report"]: json.loads(r["document"]) for r in reports.read_report_files(spark, path, "report").collect()}
+    assert whole["hot"] == document and set(whole) == {"hot", None}
     wanted = [r for r in rows if r[0] == "hot"]
     assert [t["name"] for t in document["results"]["tests"]] == [r[2] for r in wanted]
     assert document["results"]["summary"]["tests"] == len(wanted)

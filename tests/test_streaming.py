@@ -45,20 +45,56 @@ def test_hourly_in_batches(spark, tmp_path):
 
 
 def test_status_join_with_late_acknowledgements(spark, tmp_path, raw):
-    source, root, progress = (str(tmp_path / n) for n in ("source", "root", "progress"))
-    is_ack = F.col("raw_xml").contains("FIToFIPmtStsRpt")
-    half = F.xxhash64("file_name") % 2 == 0
-    steps = [raw.where(~is_ack & half), raw.where(is_ack), raw.where(~is_ack & ~half)]
-    dropped = ("joined_at",)
-    for number, step in enumerate(steps, 1):
-        step.write.mode("append").parquet(source)
-        stream = refresh.stream_table(spark, source, refresh.MESSAGE_SCHEMA)
-        refresh.maintain_status_join(stream, root, progress, lag=None, buckets=4).awaitTermination()
-        landed = spark.read.parquet(source)
-        batch = payments.join_status(
-            payments.parse_transfers(landed), payments.parse_acknowledgements(landed)
-        )
-        kept = refresh.current_status_join(spark, root)
-        assert same(kept.select(*batch.columns).drop(*dropped), batch.drop(*dropped)), number
+    paths = {n: str(tmp_path / n) for n in ("transfers", "acks", "target", "progress")}
+    half = F.xxhash64("source_filename") % 2 == 0
+    transfers, acks = payments.parse_transfers(raw), payments.parse_acknowledgements(raw)
+    steps = [
+        {"transfers": transfers.where(half)},
+        {"acks": acks},
+        {"transfers": transfers.where(~half), "acks": acks.where(half).limit(0)},
+        {},
+    ]
+    for name, df in (("transfers", transfers), ("acks", acks)):
+        df.limit(0).write.parquet(paths[name])
+    kept_number = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for number, step in enumerate(steps, 1):
+            for name, df in step.items():
+                df.write.mode("append").parquet(paths[name])
+            # Each run starts again, and with another number of partitions.
+            spark.conf.set("spark.sql.shuffle.partitions", str(2 * number))
+            refresh.maintain_status_join(
+                refresh.stream_table(spark, paths["transfers"], transfers.schema),
+                refresh.stream_table(spark, paths["acks"], acks.schema),
+                paths["target"], paths["progress"], lag=None,
+            ).awaitTermination()
+            landed = [spark.read.parquet(paths[n]) for n in ("transfers", "acks")]
+            batch = payments.join_status(*landed)
+            kept = refresh.current_status_join(spark, paths["target"])
+            assert same(kept.select(*batch.columns).drop("joined_at"), batch.drop("joined_at")), number
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept_number)
     assert not kept.where("pacs002_file IS NOT NULL").isEmpty()
     assert not kept.where("pacs002_file IS NULL").isEmpty()
+
+
+def test_a_batch_writes_what_is_new_and_its_matches(spark, tmp_path, raw):
+    paths = {n: str(tmp_path / n) for n in ("transfers", "acks", "target", "progress")}
+    transfers, acks = payments.parse_transfers(raw), payments.parse_acknowledgements(raw)
+    transfers.write.parquet(paths["transfers"])
+    acks.limit(0).write.parquet(paths["acks"])
+
+    def run():
+        query = refresh.maintain_status_join(
+            refresh.stream_table(spark, paths["transfers"], transfers.schema),
+            refresh.stream_table(spark, paths["acks"], acks.schema),
+            paths["target"], paths["progress"], lag=None,
+        )
+        query.awaitTermination()
+        return spark.read.parquet(paths["target"]).count()
+
+    before = run()
+    assert before == spark.read.parquet(paths["transfers"]).count()
+    joined = payments.join_status(transfers, acks.limit(3)).where("pacs002_file IS NOT NULL")
+    acks.limit(3).write.mode("append").parquet(paths["acks"])
+    assert run() - before <= max(3, joined.count()) * 50 and run() == run()

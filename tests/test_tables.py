@@ -77,7 +77,7 @@ def test_tables_views_snapshots(spark, tmp_path):
     sinks.snapshot_schema(spark, "src", "12")
     assert spark.table("src_12.t").count() == 5
     counts = {r["schema_name"]: (r["tables"], r["views"]) for r in catalog.count_objects(spark, "src*").collect()}
-    assert counts == {"src": (1, 1), "src_12": (1, 0)}
+    assert counts == {"src": (1, 1), "src_12": (1, 1)}
     sinks.drop_snapshot(spark, "src", "12")
     sinks.drop_snapshot(spark, "src", "12")
     assert [r["schema_name"] for r in catalog.list_schemas(spark, "src*").collect()] == ["src"]
@@ -122,3 +122,20 @@ def test_written_intermediates(spark):
     discard(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_a_failed_copy_leaves_the_older_snapshot(spark, tmp_path):
+    spark.sql("CREATE DATABASE kept")
+    spark.range(4).withColumn("p", F.col("id") % 2).write.partitionBy("p").saveAsTable("kept.a")
+    spark.sql("COMMENT ON TABLE kept.a IS 'it''s'")
+    sinks.snapshot_schema(spark, "kept", "1")
+    assert spark.table("kept_1.a").where("p = 1").count() == 2
+    assert any(c.name == "p" and c.isPartition for c in spark.catalog.listColumns("kept_1.a"))
+    spark.sql("CREATE TABLE kept.b (id BIGINT) USING parquet LOCATION '%s'" % (tmp_path / "b"))
+    (tmp_path / "b").mkdir(exist_ok=True)
+    (tmp_path / "b" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.snapshot_schema(spark, "kept", "1")
+    assert spark.table("kept_1.a").count() == 4
+    sinks.drop_snapshot(spark, "kept", "1")
+    spark.sql("DROP DATABASE kept CASCADE")
