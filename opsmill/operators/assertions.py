@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ RESULT_SCHEMA = "seq int, name string, status string, duration bigint, message s
 VALUE_SCHEMA = "seq int, name string, expected string, actual string"
 SUITE = "SQLValidation"
 _BATCH = 50
+#: What a query that fails can raise; several subqueries that fail at once give the second.
+_FAILURES = (PySparkException, Py4JJavaError)
 
 
 @dataclass(frozen=True)
@@ -131,8 +134,8 @@ def _results(judged: DataFrame, milliseconds: int | None) -> list[tuple]:
     ]
 
 
-def _failure(seq: int, assertion: Assertion, error: PySparkException, milliseconds: int | None) -> tuple:
-    reason = error.getCondition() or type(error).__name__
+def _failure(seq: int, assertion: Assertion, error: Exception, milliseconds: int | None) -> tuple:
+    reason = (error.getCondition() if isinstance(error, PySparkException) else None) or type(error).__name__
     return (seq, assertion.name, "failed", milliseconds, f"Query failed: {reason}", SUITE)
 
 
@@ -145,7 +148,7 @@ def _run_timed(
         begun = time.monotonic()
         try:
             (found,) = _results(judge(_as_table(spark, [row]), tolerance), None)
-        except PySparkException as error:
+        except _FAILURES as error:
             found = _failure(seq, one, error, None)
         taken = max(1, round((time.monotonic() - begun) * 1000))
         results.append((*found[:3], 0 if found[2] == "skipped" else taken, *found[4:]))
@@ -158,7 +161,7 @@ def _run_together(
     """All assertions by one query; if that fails, either half by its own, down to the one at fault."""
     try:
         return _results(judge(_as_table(spark, [row for _, row in runnable.values()]), tolerance), None)
-    except PySparkException as error:
+    except _FAILURES as error:
         entries = list(runnable.items())
         if len(entries) == 1:
             ((seq, (one, _)),) = entries
@@ -188,7 +191,7 @@ def run_assertions(
         begun = time.monotonic()
         try:
             runnable[seq] = (one, _value_row(spark, seq, one, values or {}))
-        except PySparkException as error:
+        except _FAILURES as error:
             taken = max(1, round((time.monotonic() - begun) * 1000)) if timed else None
             results.append(_failure(seq, one, error, taken))
     if runnable:
