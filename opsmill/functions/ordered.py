@@ -22,10 +22,10 @@ def carry_forward(
     hour of a timestamp, say) and must not decrease along ``order``.
 
     A window per key would put a key that holds a third of all rows into one
-    task. Here the rows are windowed per key *and block*. The last row of a
-    block tells what the block passes on; only these rows, one per key and
-    block, are windowed per key. The join back uses the partitioning the rows
-    already have.
+    task. Here the rows are windowed per key *and block*, after one exchange.
+    What a block passes on is a plain aggregation, summed within tasks before
+    it moves; only its rows, one per key and block, are windowed per key. The
+    join back uses the partitioning the rows already have.
     """
     # A struct is never NULL itself, so that rows with a NULL key stay in the join.
     blocked = rows.withColumn("_key", F.struct(*keys)).withColumn(
@@ -37,17 +37,20 @@ def carry_forward(
     local = blocked.withColumns(
         {
             "_lag": F.lag(state).over(inside),
-            "_last": F.lead(F.lit(False), 1, True).over(inside),
             **{f"_run_{new}": F.sum(value).over(so_far) for new, value in running.items()},
         }
     )
     over_blocks = Window.partitionBy("_key").orderBy("_place.block")
     earlier = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
-    handed_on = local.where("_last").select(
+    blocks = blocked.groupBy("_place").agg(
+        F.max_by(state, F.struct(*order)).alias("_state"),
+        *[F.sum(value).alias(f"_sum_{new}") for new, value in running.items()],
+    ).withColumn("_key", F.col("_place._key"))
+    handed_on = blocks.select(
         "_place",
-        F.lag(state).over(over_blocks).alias("_carry"),
+        F.lag("_state").over(over_blocks).alias("_carry"),
         *[
-            F.coalesce(F.sum(f"_run_{new}").over(earlier), F.lit(0)).alias(f"_before_{new}")
+            F.coalesce(F.sum(f"_sum_{new}").over(earlier), F.lit(0)).alias(f"_before_{new}")
             for new in running
         ],
     )

@@ -36,11 +36,12 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, from ``spark.checkpoint.dir``."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return configured.rstrip("/")
+    """The folder all executors can reach, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder in the warehouse, which all executors share too.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
