@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,20 +61,53 @@ class _WordKey(dict):
 _WORD_KEY = _WordKey()
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _opened(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers in rising order: their differences, by byte planes, compressed."""
+    steps = np.diff(numbers.astype("<i8"), prepend=0).view("<u8")
+    return _packed(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_opened(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64).view(np.int64)
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normal form of each text, in chunks of bounded size."""
+    """Texts in normal form, in chunks of bounded size; a row holds a few documents of one chunk."""
     number, held = TaskContext.get().partitionId() << 32, 0
+    rows: list[tuple] = []
+    size, schema = 0, None
+
+    def out() -> pa.RecordBatch:
+        ids, train, streams = zip(*rows, strict=True)
+        return batch_of(schema, [[number], [list(ids)], [list(train)], [_packed(b"\n".join(streams))]])
+
     for batch in batches:
-        chunks, streams = [], []
-        for text in as_bytes(batch.column("text")):
+        schema = pa.schema(
+            [("chunk", pa.int64()), ("ids", pa.list_(batch.schema.field("doc_id").type)), ("train", pa.list_(pa.bool_())), ("data", pa.binary())]
+        )
+        columns = (batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), as_bytes(batch.column("text")))
+        for doc_id, train, text in zip(*columns, strict=True):
             stream = b" ".join(text.lower().split())
-            if held and held + len(stream) > CHUNK_BYTES:
+            full = held and held + len(stream) > CHUNK_BYTES
+            if rows and (full or len(rows) >= 1 << int(_DOC_BITS) or size + len(stream) > PART_BYTES):
+                yield out()
+                rows, size = [], 0
+            if full:
                 number, held = number + 1, 0
+            rows.append((doc_id, train, stream))
+            size += len(stream)
             held += len(stream) + 1
-            chunks.append(number)
-            streams.append(stream)
-        schema = pa.schema([("chunk", pa.int64()), batch.schema.field("doc_id"), ("train", pa.bool_()), ("stream", pa.binary())])
-        yield batch_of(schema, [chunks, batch.column("doc_id"), batch.column("train"), streams])
+    if rows:
+        yield out()
 
 
 def _sequences(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,19 +124,6 @@ def _sequences(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[at], whose
 
 
-def _parts(rows: list[tuple]) -> Iterator[list[tuple]]:
-    """Rows in parts of bounded text, few enough for a text number to fit beside a code."""
-    part, held = [], 0
-    for row in rows:
-        if part and (held + len(row[-1]) > PART_BYTES or len(part) >= 1 << int(_DOC_BITS)):
-            yield part
-            part, held = [], 0
-        part.append(row)
-        held += len(row[-1])
-    if part:
-        yield part
-
-
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -115,45 +136,36 @@ class _Gathered:
 
     def __init__(self) -> None:
         self.keys, self.counts = [], []
-        self.rows: list[tuple[bool, bytes]] = []
-        self.bytes = 0
-
-    def add(self, train: bool, stream: bytes) -> None:
-        self.rows.append((train, stream))
-        self.bytes += len(stream)
-        if self.bytes > PART_BYTES:
-            self.sum()
-            if sum(map(len, self.keys)) > HELD_KEYS:
-                keys, counts = _summed(np.concatenate(self.keys), np.concatenate(self.counts))
-                self.keys, self.counts = [keys], [counts]
-
-    def sum(self) -> None:
-        if not self.rows:
-            return
-        code, whose = _sequences([s for _, s in self.rows])
-        train = np.array([t for t, _ in self.rows], np.uint64)
-        both = np.sort(code << np.uint64(1) | train[whose])
+
+    def add(self, streams: list[bytes], train: list[bool]) -> None:
+        """Adds a few texts."""
+        code, whose = _sequences(streams)
+        both = np.sort(code << np.uint64(1) | np.array(train, np.uint64)[whose])
         code, n = both >> np.uint64(1), (both & np.uint64(1)).astype(np.int64)
         first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         self.keys.append(code[first].astype(np.int64))
         self.counts.append(np.add.reduceat(n, first))
         for kind in (0, 1):
-            words = np.fromiter(
-                (_WORD_KEY[w] for t, s in self.rows if t == kind for w in s.split()), np.int64
-            )
-            ends = np.full(sum(t == kind for t, _ in self.rows), _END)
-            keys, n = np.unique(np.concatenate((words, ends)), return_counts=True)
+            own = [s for s, t in zip(streams, train, strict=True) if t == kind]
+            words = np.fromiter((_WORD_KEY[w] for s in own for w in s.split()), np.int64)
+            keys, n = np.unique(np.concatenate((words, np.full(len(own), _END))), return_counts=True)
             self.keys.append(keys)
             self.counts.append(n * kind)
-        self.rows, self.bytes = [], 0
+        if sum(map(len, self.keys)) > HELD_KEYS:
+            self._sum()
+
+    def _sum(self) -> None:
+        keys, counts = _summed(np.concatenate(self.keys), np.concatenate(self.counts))
+        self.keys, self.counts = [keys], [counts]
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
-        self.sum()
-        return _summed(np.concatenate(self.keys), np.concatenate(self.counts))
+        self._sum()
+        return self.keys[0], self.counts[0]
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    # Sequences of one beginning stay together, so that their differences are small.
+    mixed = np.where(keys < 0, keys, keys >> 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((mixed ^ mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -172,23 +184,20 @@ def _gather(buckets: int):
     def out(chunk: int, held: _Gathered) -> pa.RecordBatch:
         keys, counts = held.result()
         order, found, first = _by_bucket(keys, buckets)
-        keys = [k.astype("<i8").tobytes() for k in np.split(keys[order], first[1:])]
-        counts = [c.astype("<u4").tobytes() for c in np.split(counts[order], first[1:])]
+        keys = [_pack(k) for k in np.split(keys[order], first[1:])]
+        counts = [_packed(c.astype("<u4").tobytes()) for c in np.split(counts[order], first[1:])]
         return batch_of(schema, [np.full(len(found), chunk), found, keys, counts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, _Gathered()
         for batch in batches:
-            rows = zip(
-                batch.column("chunk").to_pylist(), batch.column("train").to_pylist(),
-                batch.column("stream").to_pylist(), strict=True,
-            )
-            for chunk, train, stream in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "data")), strict=True)
+            for chunk, train, data in rows:
                 if chunk != current and current is not None:
                     yield out(current, held)
                     held = _Gathered()
                 current = chunk
-                held.add(train, stream)
+                held.add(_opened(data).split(b"\n"), train)
         if current is not None:
             yield out(current, held)
 
@@ -197,8 +206,8 @@ def _gather(buckets: int):
 
 def _unpacked(packs: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The keys of each pack, the distinct keys of all, their counts, and each entry's place among them."""
-    keys = [np.frombuffer(k, "<i8") for k in packs.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in packs.column("counts").to_pylist()])
+    keys = [_unpack(k) for k in packs.column("keys").to_pylist()]
+    counts = np.concatenate([np.frombuffer(_opened(c), "<u4") for c in packs.column("counts").to_pylist()])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     return keys, distinct, np.bincount(at, counts, len(distinct)), at
 
@@ -231,8 +240,8 @@ def _answers(packs: pa.Table, known: pa.Table) -> pa.Table:
     for parts in places.values():
         place = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
         border = int(np.searchsorted(place, split))
-        words.append(answer[place[:border]].astype("<f8").tobytes())
-        logs.append(answer[place[border:]].astype("<f4").tobytes())
+        words.append(_packed(answer[place[:border]].astype("<i8").tobytes()))
+        logs.append(_packed(answer[place[border:]].astype("<f4").tobytes()))
     return pa.table(
         {
             "chunk": pa.array(list(places), pa.int64()),
@@ -382,10 +391,10 @@ def sequence_values(sequences: DataFrame, buckets: int) -> DataFrame:
 
 def _scorer(buckets: int, total: int, distinct: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        streams = texts.column("stream").to_pylist()
         held = _Gathered()
-        for stream in streams:
-            held.add(False, stream)
+        parts = list(zip(*(texts.column(c).to_pylist() for c in ("ids", "train", "data")), strict=True))
+        for _, train, data in parts:
+            held.add(_opened(data).split(b"\n"), train)
         keys, _ = held.result()
         order, found, _ = _by_bucket(keys, buckets)
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "words", "logs")), strict=True))
@@ -394,14 +403,14 @@ def _scorer(buckets: int, total: int, distinct: int):
         # Words come first among the keys and in each pack.
         split = int(np.searchsorted(keys, 0))
         values = np.empty(len(keys))
-        values[order[order < split]] = np.concatenate([np.frombuffer(r[1], "<f8") for r in rows])
-        values[order[order >= split]] = np.concatenate([np.frombuffer(r[2], "<f4") for r in rows])
+        values[order[order < split]] = np.concatenate([np.frombuffer(_opened(r[1]), "<i8") for r in rows])
+        values[order[order >= split]] = np.concatenate([np.frombuffer(_opened(r[2]), "<f4") for r in rows])
         word_keys, word_counts = keys[:split], values[:split]
         base_logs = np.log10((word_counts + 1) / (total + distinct + 1))
         sequence_keys, logs = keys[split:], values[split:]
         columns = {name: [] for name in ("n_tokens", "n_known", "base_score", "score")}
-        for part in _parts([(s,) for s in streams]):
-            part = [s for (s,) in part]
+        for _, _, data in parts:
+            part = _opened(data).split(b"\n")
             code, whose = _sequences(part)
             both = np.sort(code << _DOC_BITS | whose.astype(np.uint64))
             code = both >> _DOC_BITS
@@ -420,14 +429,15 @@ def _scorer(buckets: int, total: int, distinct: int):
             columns["n_tokens"].append(sizes)
             columns["n_known"].append(np.add.reduceat((word_counts[at] > 0).astype(np.int64), starts))
             columns["base_score"].append(np.add.reduceat(base_logs[at], starts))
-        out = {name: np.concatenate(parts) for name, parts in columns.items()}
+        out = {name: np.concatenate(values) for name, values in columns.items()}
+        train = [t for _, own, _ in parts for t in own]
         return pa.table(
             {
-                "doc_id": texts.column("doc_id"),
-                "held_out": pa.array([not t for t in texts.column("train").to_pylist()], pa.bool_()),
+                "doc_id": pa.array([i for ids, _, _ in parts for i in ids], texts.schema.field("ids").type.value_type),
+                "held_out": pa.array([not t for t in train], pa.bool_()),
                 "n_tokens": pa.array(out["n_tokens"], pa.int64()),
                 "n_known": pa.array(out["n_known"], pa.int64()),
-                "train_tokens": pa.array(np.full(texts.num_rows, total), pa.int64()),
+                "train_tokens": pa.array(np.full(len(train), total), pa.int64()),
                 "base_score": pa.array(out["base_score"], pa.float64()),
                 "score": pa.array(out["score"], pa.float64()),
             }
@@ -442,13 +452,13 @@ def scored(docs: DataFrame, train: Column) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = written(
         docs.select("doc_id", "text", train.alias("train")).mapInArrow(
-            _chunked, f"chunk long, doc_id {id_type}, train boolean, stream binary"
+            _chunked, f"chunk long, ids array<{id_type}>, train array<boolean>, data binary"
         ),
         "texts",
     )
     buckets = max(12, texts.select("chunk").distinct().count())
     packs = written(
-        texts.select("chunk", "train", "stream").mapInArrow(
+        texts.select("chunk", "train", "data").mapInArrow(
             _gather(buckets), "chunk long, bucket long, keys binary, counts binary"
         ),
         "packs",
