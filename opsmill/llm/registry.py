@@ -30,6 +30,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_minhash_forest": minhash.OP1_SQL,
+    "op3_decontamination": decontamination.OP3_SQL,
     "op7_warc_bundles": warc.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
