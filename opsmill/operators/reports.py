@@ -12,7 +12,8 @@ from opsmill.sources.files import REPORT_SCHEMA, REPORT_TEST
 
 _OUTCOME = "array<struct<_message:string,_VALUE:string>>"
 _CASE = f"struct<_name:string,_time:string,failure:{_OUTCOME},skipped:{_OUTCOME}>"
-_SUITES = f"testsuite array<struct<_name:string,_time:string,testcase:array<{_CASE}>>>, _malformed string"
+_SUITE = f"struct<_name:string,_time:string,testcase:array<{_CASE}>>"
+_SUITES = f"testsuite array<{_SUITE}>, _malformed string"
 
 # Fixed values of the report format.
 REPORT_FORMAT = "CTRF"
@@ -45,8 +46,8 @@ def convert_junit(files: DataFrame) -> DataFrame:
 
     A file is one row and stays one: suites and cases are walked inside the
     row. Files that are malformed, have another root, no suite, or a time that
-    is no number are not converted and keep NULLs. ``stop`` is the first
-    suite's time, ``project`` the last suite's name.
+    is no number are not converted and keep NULLs. ``stop`` is the time of the
+    root's first child, ``project`` the name of its last; a child that is no suite has neither.
     """
     xml = F.col("xml")
     root = root_name(xml)
@@ -55,9 +56,20 @@ def convert_junit(files: DataFrame) -> DataFrame:
     )
     wrapped = F.concat(F.lit("<suites>"), body, F.lit("</suites>"))
     document = F.from_xml(wrapped, _SUITES, {"columnNameOfCorruptRecord": "_malformed"})
-    parsed = with_once(files, "_document", document).select(
+    # Every child of the root counts as a suite, though only real ones hold cases.
+    comments = r"(?:<!--(?:(?!-->).)*+-->\s*+)*+"
+    first = F.regexp_extract(body, rf"(?s)^\s*+{comments}<([\w:.-]+)", 1)
+    closed = F.regexp_extract(body, rf"(?s)</([\w:.-]+)\s*+>\s*+{comments}$", 1)
+    alone = F.regexp_extract(body, rf"(?s)<([\w:.-]+)[^<>]*+(?<=/)>\s*+{comments}$", 1)
+    parsed = with_once(
+        files.withColumns({"_first": first, "_last": F.when(closed == "", alone).otherwise(closed)}), "_document", document
+    ).select(
         "path",
-        F.when(F.col("_document._malformed").isNull(), F.col("_document.testsuite")).alias("_suites"),
+        "_first",
+        "_last",
+        F.col("_document").isNotNull().alias("_known"),
+        F.col("_document._malformed").isNotNull().alias("_bad"),
+        F.coalesce("_document.testsuite", F.expr(f"CAST(array() AS array<{_SUITE}>)")).alias("_suites"),
     )
     suites = F.col("_suites")
     no_cases = F.array().cast(f"array<{_CASE}>")
@@ -68,11 +80,12 @@ def convert_junit(files: DataFrame) -> DataFrame:
     def is_number(time: Column) -> Column:
         return F.coalesce(time, F.lit("0")).try_cast("double").isNotNull()
 
-    first_time = F.coalesce(F.get(suites, F.lit(0))["_time"], F.lit("0"))
+    real_first, real_last = F.col("_first") == "testsuite", F.col("_last") == "testsuite"
+    first_time = F.coalesce(F.when(real_first, F.get(suites, F.lit(0))["_time"]), F.lit("0"))
     times_fit = is_number(first_time) & F.forall(
         suites, lambda s: F.forall(cases(s), lambda c: is_number(c["_time"]))
     )
-    converted = F.coalesce(suites.isNotNull() & (F.size(suites) > 0) & times_fit, F.lit(False))
+    converted = F.coalesce(F.col("_known") & ~F.col("_bad") & (F.col("_first") != "") & times_fit, F.lit(False))
 
     def suite_name(suite: Column) -> Column:
         return F.coalesce(suite["_name"], F.lit(DEFAULT_SUITE))
@@ -84,7 +97,9 @@ def convert_junit(files: DataFrame) -> DataFrame:
         "path",
         converted.alias("converted"),
         F.when(converted, (first_time.try_cast("double") * 1000).cast("bigint")).alias("stop"),
-        F.when(converted, suite_name(F.element_at(suites, -1))).alias("project"),
+        F.when(converted & real_last, suite_name(F.try_element_at(suites, F.lit(-1))))
+        .when(converted, DEFAULT_SUITE)
+        .alias("project"),
         F.when(converted, tests).alias("tests"),
     )
 

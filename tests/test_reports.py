@@ -143,3 +143,21 @@ def test_plans(spark, tmp_path):
         "b.json": ("PLAN_FAILED", 0, 0, 0, 0, [], True),
         "c.json": ("UNKNOWN", 0, 0, 0, 0, [], False),
     }
+
+
+def test_children_that_are_no_suites(spark):
+    suite = '<testsuite name="S" time="2"><testcase name="a"/></testsuite>'
+    texts = {
+        "lead": f"<testsuites><properties><p/></properties>{suite}</testsuites>",
+        "trail": f"<testsuites> <!-- x --> {suite}<properties/> <!-- y --></testsuites>",
+        "plain": f"<testsuites>{suite}</testsuites>",
+        "only": "<testsuites><properties/></testsuites>",
+        "none": "<testsuites></testsuites>",
+    }
+    files = spark.createDataFrame(list(texts.items()), "path string, xml string")
+    rows = {r["path"]: (r["converted"], r["stop"], r["project"], r["tests"]) for r in reports.convert_junit(files).collect()}
+    assert {k: v[:3] for k, v in rows.items()} == {
+        "lead": (True, 0, "S"), "trail": (True, 2000, reports.DEFAULT_SUITE), "plain": (True, 2000, "S"),
+        "only": (True, 0, reports.DEFAULT_SUITE), "none": (False, None, None),
+    }
+    assert [len(rows[k][3]) for k in ("lead", "trail", "only")] == [1, 1, 0]
