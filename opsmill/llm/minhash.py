@@ -7,12 +7,13 @@ a crowded region is cut along its deeper values. Candidates are neighbours in th
 How far apart two of them may stand depends on the prefix they share: next neighbours need
 ``LEAST`` values, and the more crowded the region, the deeper the prefix must be.
 
-Round one links nearest neighbours in every tree. Round two looks at all neighbours whose
-classes round one left in different components; what is in one component already needs no
-further link, so that a large group of near copies costs as many links as it has members,
-not pairs. A packed sketch of all minhash values drops candidates that are far apart, and
-every other candidate is confirmed on the full sets of both texts. Components of the
-confirmed links come from rounds of joins.
+Round one links nearest neighbours in every tree, and marks the classes that have other near
+neighbours. Round two looks at all near neighbours of marked classes that round one left in
+different components; what is in one component already needs no further link, so that
+a large group of near copies costs as many links as it has members, not pairs. In both
+rounds a sketch (the least hash of every bin of hash values, in two bits; finer in round two)
+drops candidates that are surely too far apart, and every other candidate is confirmed on the
+full sets of both texts. Components of the confirmed links come from rounds of joins.
 
 Words are the runs of anything but ASCII white space, with A-Z in lower case. Defined
 cases: fewer than five words are one shingle; a document without words, and one with a null
@@ -36,13 +37,17 @@ from opsmill.llm.common import as_bytes, batch_of, only_once, small_batches, tab
 from opsmill.llm.components import components
 
 SHINGLE = 5
-TREES = 16
+TREES = 10
 DEPTH = 8
-LEAST = 4
+LEAST = 3
 #: How far apart in the sorted order two paths may stand that share this many values.
-REACH = {4: 64, 5: 256, 6: 1024, 7: 4096, 8: 16384}
-#: A sketch's estimate of the similarity may be this much too low (about five deviations).
-SLACK = 0.19
+REACH = {3: 16, 4: 32, 5: 64, 6: 256, 7: 1024, 8: 4096}
+#: How far round one looks for classes to mark: who has a neighbour farther off has nearer ones.
+FIRST_REACH = 2
+#: Bins of the sketches of both rounds; the finer ones are parts of the coarser.
+COARSE, FINE = 128, 1024
+#: Deviations by which a sketch may fall short of the similarity asked for.
+DEVIATIONS = 4.5
 
 _RANDOM = np.random.default_rng(20240607)
 _PLACE = _RANDOM.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
@@ -82,7 +87,7 @@ def shingles(text: bytes) -> np.ndarray:
 
 def signature(found: np.ndarray) -> np.ndarray:
     """The minhash values of a set, one per tree and depth."""
-    short = (found >> np.uint64(32)).astype(np.uint32)
+    short = found.astype(np.uint32)
     out = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(short), 512):
         values = _FACTORS[:, None] * short[None, at : at + 512]
@@ -91,35 +96,50 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(values: np.ndarray) -> bytes:
-    """Two bits of every minhash value."""
-    two = (values * np.uint32(0x9E3779B1)) >> np.uint32(30)
-    four = two.reshape(-1, 4).astype(np.uint8)
+def sketch(found: np.ndarray, bins: int) -> bytes:
+    """Two bits for every bin of hash values: 0 if it is empty, else 1 to 3 by its least value."""
+    width = 64 - (bins.bit_length() - 1)
+    starts = np.arange(bins, dtype=np.uint64) << np.uint64(width)
+    at = np.searchsorted(found, starts)
+    least = found[np.minimum(at, len(found) - 1)] if len(found) else starts
+    held = (at < len(found)) & (least >> np.uint64(width) == np.arange(bins, dtype=np.uint64))
+    mark = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(3) + np.uint64(1)
+    four = np.where(held, mark, np.uint64(0)).astype(np.uint8).reshape(-1, 4)
     return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
 
 
-def far_apart(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sketches (rows of 64-bit words) differ too much for the similarity."""
-    differ = a ^ b
-    differ = (differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)
-    agree = 1 - np.bitwise_count(differ).sum(axis=1) / (TREES * DEPTH)
-    return (agree - 0.25) / 0.75 < similarity - SLACK
+def far_apart(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets are surely less similar, by their sizes and sketches (rows of 64-bit words)."""
+    count = lambda bits: np.bitwise_count(bits).sum(axis=1).astype(float)
+    one = np.uint64(1)
+    low = np.uint64(0x5555555555555555)
+    held_a, held_b = (a | a >> one) & low, (b | b >> one) & low
+    differ = ((a ^ b) | (a ^ b) >> one) & low
+    both, either = count(held_a & held_b), np.maximum(count(held_a | held_b), 1)
+    equal = count((held_a | held_b) & ~differ)
+    # Different least values get one mark in one of three cases.
+    alike = (1.5 * equal - 0.5 * both) / either
+    union = (sizes_a + sizes_b) / (1 + similarity)
+    # Bins sample the union without replacement; marks add noise where bins hold different values.
+    spread = similarity * (1 - similarity) * np.maximum(1 - either / np.maximum(union, 1), 0.02)
+    spread = np.sqrt((spread + 0.5 * np.clip(both / either - similarity, 0.01, 1 - similarity)) / either)
+    smaller, larger = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
+    return (alike < similarity - DEVIATIONS * spread) | (smaller < similarity * larger - 1e-6)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("n_shingles", pa.int64())] + [(c, pa.binary()) for c in ("digest", "paths", "coarse", "fine")]
+    )
     for batch in batches:
-        sizes, digests, paths, sketches = [], [], [], []
+        rows = []
         for text in as_bytes(batch.column(1)):
             found = shingles(text)
-            values = signature(found)
-            sizes.append(len(found))
-            digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-            paths.append(values.astype(">u4").tobytes())
-            sketches.append(sketch(values))
-        schema = pa.schema(
-            [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("paths", pa.binary()), ("sketch", pa.binary())]
-        )
-        yield batch_of(schema, [batch.column(0).cast(pa.int64()), sizes, digests, paths, sketches])
+            digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+            paths = signature(found).astype(">u4").tobytes()
+            rows.append((len(found), digest, paths, sketch(found, COARSE), sketch(found, FINE)))
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in range(5)]
+        yield batch_of(schema, [batch.column(0).cast(pa.int64()), *columns])
 
 
 def _wide(column: pa.Array, kind: str) -> np.ndarray:
@@ -128,19 +148,18 @@ def _wide(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def _neighbours(similarity: float, first_round: bool):
-    """Candidate links of a sorted part of the forest.
+    """Candidate links (a, b) of a sorted part of the forest, in round one with marked classes (b null).
 
     A window of rows is held at a time; it reaches back as far as any link may.
     """
     steps = sorted(REACH.items())
+    furthest = steps[-1][1]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def needed(offset: int) -> int:
         return next((depth for depth, reach in steps if offset <= reach), DEPTH + 1)
 
-    furthest = 1 if first_round else steps[-1][1]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         held = None
         for batch in batches:
             new = (
@@ -148,11 +167,12 @@ def _neighbours(similarity: float, first_round: bool):
                 _wide(batch.column("path"), ">u4"),
                 batch.column("node").to_numpy(),
                 batch.column("component").to_numpy(),
+                batch.column("n_shingles").to_numpy().astype(float),
                 _wide(batch.column("sketch"), "<u8"),
             )
             old = 0 if held is None else len(held[0])
             held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
-            tree, path, node, component, bits = held
+            tree, path, node, component, sizes, bits = held
             same = np.cumprod(path[1:] == path[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
             # shared[i]: values that rows i and i + offset share, for the rows i that still have some.
             at, offset = np.arange(len(same)), 1
@@ -165,12 +185,15 @@ def _neighbours(similarity: float, first_round: bool):
                 link = component[left] != component[right]
                 left, right = left[link], right[link]
                 if len(left):
-                    near = ~far_apart(bits[left], bits[right], similarity)
+                    near = ~far_apart(bits[left], bits[right], sizes[left], sizes[right], similarity)
                     a, b = node[left[near]], node[right[near]]
-                    if len(a):
+                    if first_round and offset > 1:
+                        marked = np.unique(np.concatenate((a, b)))
+                        yield batch_of(schema, [marked, pa.nulls(len(marked), pa.int64())])
+                    elif len(a):
                         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                         yield batch_of(schema, [pair[:, 0], pair[:, 1]])
-                if offset >= furthest:
+                if offset >= furthest or first_round and offset >= FIRST_REACH:
                     break
                 go_on = at + offset < len(same)
                 at, shared = at[go_on], shared[go_on]
@@ -213,52 +236,56 @@ def _confirm(docs: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("end"), F.coalesce("text", F.lit("")).alias("text"))
     side = lambda end: F.collect_set(F.when(F.col("end") == F.col(end), F.col("text")))
     return (
-        ends.join(texts, "end")
+        # Neither side has a bound, so both are dealt by the end's identifier.
+        ends.hint("merge").join(texts, "end")
         .groupBy("a", "b").agg(side("a").alias("left"), side("b").alias("right"))
         .mapInArrow(_confirmed(similarity), "a long, b long")
     )
 
 
+def _candidates(classes: DataFrame, similarity: int, first_round: bool) -> DataFrame:
+    """The distinct candidates (a, b) among classes with node and component."""
+    step = DEPTH * 4
+    paths = F.transform(
+        F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.col("paths").substr(k * step + 1, F.lit(step))
+    )
+    bits = F.col("coarse" if first_round else "fine").alias("sketch")
+    forest = classes.select("node", "component", "n_shingles", bits, F.posexplode(paths).alias("tree", "path"))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        forest.repartitionByRange(parts, "tree", "path", "node")
+        .sortWithinPartitions("tree", "path", "node")
+        .mapInArrow(_neighbours(similarity / 100, first_round), "a long, b long")
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; similarity is in hundredths."""
     spark = docs.sparkSession
     small_batches(spark)
     signed = written(
         docs.select("doc_id", "text").mapInArrow(
-            _signed, "doc_id long, n_shingles long, digest binary, paths binary, sketch binary"
+            _signed, "doc_id long, n_shingles long, digest binary, paths binary, coarse binary, fine binary"
         ),
         "signatures",
     )
+    of_class = [F.first(c).alias(c) for c in ("n_shingles", "paths", "coarse", "fine")]
     classes = written(
-        signed.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
-            F.min("doc_id").alias("node"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")
-        ),
+        signed.filter("n_shingles > 0 and doc_id is not null")
+        .groupBy("digest").agg(F.min("doc_id").alias("node"), *of_class),
         "classes",
     )
-    step = DEPTH * 4
-    paths = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.col("paths").substr(k * step + 1, F.lit(step))
-    )
-    forest = classes.select("node", "sketch", F.posexplode(paths).alias("tree", "path"))
-    links = None
-    labels = classes.select("node", F.col("node").alias("component")).limit(0)
-    for first_round in (True, False):
-        rows = forest if first_round else forest.join(labels, "node", "left")
-        rows = rows.select(
-            "tree", "path", "node", "sketch",
-            (F.col("node") if first_round else F.coalesce("component", "node")).alias("component"),
-        )
-        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        pairs = written(
-            rows.repartitionByRange(parts, "tree", "path", "node")
-            .sortWithinPartitions("tree", "path", "node")
-            .mapInArrow(_neighbours(similarity / 100, first_round), "a long, b long")
-            .distinct(),
-            "candidates",
-        )
-        new = _confirm(docs, pairs, similarity)
-        links = written(new if links is None else links.unionByName(new), "links")
-        labels = written(components(links), "labels")
+    ones = classes.withColumn("component", F.col("node"))
+    found = written(_candidates(ones, similarity, True), "candidates")
+    links = written(_confirm(docs, found.filter("b is not null"), similarity), "links")
+    labels = written(components(links), "labels")
+    marked = found.filter("b is null").select(F.col("a").alias("node"))
+    ones = classes.join(marked, "node", "left_semi").join(labels, "node", "left")
+    ones = ones.withColumn("component", F.coalesce("component", "node"))
+    found = written(_candidates(ones, similarity, False), "candidates")
+    links = written(links.unionByName(_confirm(docs, found, similarity)), "links")
+    labels = written(components(links), "labels")
     own = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     rows = signed.select("doc_id", "n_shingles", F.when(linked, F.col("digest")).alias("digest"))
