@@ -127,42 +127,38 @@ def _text_key(text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the text, and the spans of the patterns, in order."""
+    """doc_id, key of the text, the spans of the patterns, in order, and what is near them."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for kind, (pattern, needed) in PATTERNS.items():
         rows = rows.withColumn(kind, _found(F.col("text"), pattern, F.col("text").rlike(needed)))
     spans = [_spans(F.col(k), k, lambda m, k=k: _valid(k, m)) for k in PATTERNS]
-    return rows.select(
-        "doc_id", _text_key(F.col("text")).alias("key"), F.array_sort(F.concat(*spans)).alias("base")
+    rows = rows.select(
+        "doc_id", "text", _text_key(F.col("text")).alias("key"), F.array_sort(F.concat(*spans)).alias("base")
     )
+    return rows.select("doc_id", "key", "base", F.transform("base", _near).alias("near"))
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
 
 
-def _near_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term and surroundings of every protected entity of the corpus."""
-    holders = found.filter(F.size("base") > 0).select("doc_id", "key", "base")
-    texts = docs.select(F.col("doc_id").alias("own_id"), "text", _text_key(F.col("text")).alias("own_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key"))
-    holders = holders.dropDuplicates(["doc_id", "key"])
-    each = texts.join(holders, same).select("text", F.explode("base").alias("s"))
-    begin = F.greatest(F.col("s.start") - NEAR, F.lit(0))
+def _near(span: Column) -> Column:
+    """The entity of a span, a hash of its surroundings, and the terms in them."""
+    begin = F.greatest(span["start"] - NEAR, F.lit(0))
     around = F.concat_ws(
         " ",
-        F.substring("text", begin + 1, F.col("s.start") - begin),
-        F.substring("text", F.col("s.end") + 1, F.lit(NEAR)),
+        F.substring("text", begin + 1, span["start"] - begin),
+        F.substring("text", span["end"] + 1, F.lit(NEAR)),
+    )
+    return F.struct(
+        F.lower(span["value"]).alias("entity"), F.xxhash64(around).alias("place"), _terms(around).alias("terms")
     )
-    return each.select(
-        F.lower("s.value").alias("entity"), around.alias("around")
-    ).select("entity", F.xxhash64("around").alias("place"), _terms(F.col("around")).alias("terms"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame, threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """entity, term and disclosure of the pairs that exceed the threshold."""
     near = written(
-        _near_terms(docs, found).groupBy("entity", "place").agg(
+        found.select(F.inline("near")).groupBy("entity", "place").agg(
             F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms")
         ),
         "near-terms",
