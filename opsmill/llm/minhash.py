@@ -2,18 +2,22 @@
 
 Every document becomes the set of its distinct five-word shingles. Documents with equal
 sets are one class, of which only the first goes on. A class has ``TREES`` paths of ``DEPTH``
-minhash values; each tree is all paths in sorted order, dealt over tasks by range, so that
-a crowded region is cut along its deeper values. Candidates are neighbours in that order.
-How far apart two of them may stand depends on the prefix they share: next neighbours need
-``LEAST`` values, and the more crowded the region, the deeper the prefix must be.
-
-Round one links nearest neighbours in every tree, and marks the classes that have other near
-neighbours. Round two looks at all near neighbours of marked classes that round one left in
-different components; what is in one component already needs no further link, so that
-a large group of near copies costs as many links as it has members, not pairs. In both
-rounds a sketch (the least hash of every bin of hash values, in two bits; finer in round two)
-drops candidates that are surely too far apart, and every other candidate is confirmed on the
-full sets of both texts. Components of the confirmed links come from rounds of joins.
+minhash values; each tree is all paths in sorted order, dealt over tasks by range.
+
+Round one takes next neighbours in every tree that share enough values (``least``), and marks
+the classes that have a neighbour farther off which shares as many. A sketch (the least hash
+of every bin of hash values, in two bits) drops candidates that are surely too far apart.
+
+Round two joins the marked classes exactly, however many there are in a region: the shingles
+of a set are ordered by how often they occur, the rarest first, and two sets that are similar
+enough share one of their first shingles, at places that leave room for the overlap needed.
+In a crowd with a common template these are the shingles that a text does not share with the
+crowd. Pairs that round one has put into one component need no further link, so that a large
+group of near copies costs as many links as it has members, not pairs. Shingles of many sets
+are parted over tasks. The finer sketch drops candidates here.
+
+Every candidate of both rounds is confirmed on the full sets of both texts. Components of the
+confirmed links come from rounds of joins.
 
 Words are the runs of anything but ASCII white space, with A-Z in lower case. Defined
 cases: fewer than five words are one shingle; a document without words, and one with a null
@@ -39,11 +43,14 @@ from opsmill.llm.components import components
 SHINGLE = 5
 TREES = 10
 DEPTH = 8
-LEAST = 3
-#: How far apart in the sorted order two paths may stand that share this many values.
-REACH = {3: 16, 4: 32, 5: 64, 6: 256, 7: 1024, 8: 4096}
-#: How far round one looks for classes to mark: who has a neighbour farther off has nearer ones.
-FIRST_REACH = 2
+#: Chance that no tree shows a link at the threshold.
+MISSED = 1e-4
+#: Frequencies of shingles are counted in so many buckets (a power of two).
+BUCKETS = 1 << 20
+#: Shingles of more sets than this (beyond what buckets usually hold) are parted over tasks.
+CROWD = 512
+#: Pairs of a shingle that are looked at in one step.
+STEP = 1 << 22
 #: Bins of the sketches of both rounds; the finer ones are parts of the coarser.
 COARSE, FINE = 128, 1024
 #: Deviations by which a sketch may fall short of the similarity asked for.
@@ -147,17 +154,16 @@ def _wide(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _neighbours(similarity: float, first_round: bool):
-    """Candidate links (a, b) of a sorted part of the forest, in round one with marked classes (b null).
+def least(similarity: int) -> int:
+    """How many minhash values candidates must share in a tree, by the similarity in hundredths."""
+    missed = lambda depth: (1 - (similarity / 100) ** depth) ** TREES
+    return max((d for d in range(1, DEPTH + 1) if missed(d) <= MISSED), default=1)
 
-    A window of rows is held at a time; it reaches back as far as any link may.
-    """
-    steps = sorted(REACH.items())
-    furthest = steps[-1][1]
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def needed(offset: int) -> int:
-        return next((depth for depth, reach in steps if offset <= reach), DEPTH + 1)
+def _neighbours(similarity: int):
+    """Candidate links (a, b) of a sorted part of the forest, and marked classes (b null)."""
+    enough = least(similarity)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -166,44 +172,161 @@ def _neighbours(similarity: float, first_round: bool):
                 batch.column("tree").to_numpy(),
                 _wide(batch.column("path"), ">u4"),
                 batch.column("node").to_numpy(),
-                batch.column("component").to_numpy(),
                 batch.column("n_shingles").to_numpy().astype(float),
                 _wide(batch.column("sketch"), "<u8"),
             )
             old = 0 if held is None else len(held[0])
             held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
-            tree, path, node, component, sizes, bits = held
-            same = np.cumprod(path[1:] == path[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
-            # shared[i]: values that rows i and i + offset share, for the rows i that still have some.
-            at, offset = np.arange(len(same)), 1
-            shared = same.copy()
-            while len(at):
-                open_ = shared >= needed(offset)
-                at, shared = at[open_], shared[open_]
-                late = at + offset >= old
-                left, right = at[late], at[late] + offset
-                link = component[left] != component[right]
-                left, right = left[link], right[link]
-                if len(left):
-                    near = ~far_apart(bits[left], bits[right], sizes[left], sizes[right], similarity)
-                    a, b = node[left[near]], node[right[near]]
-                    if first_round and offset > 1:
-                        marked = np.unique(np.concatenate((a, b)))
-                        yield batch_of(schema, [marked, pa.nulls(len(marked), pa.int64())])
-                    elif len(a):
-                        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                        yield batch_of(schema, [pair[:, 0], pair[:, 1]])
-                if offset >= furthest or first_round and offset >= FIRST_REACH:
-                    break
-                go_on = at + offset < len(same)
-                at, shared = at[go_on], shared[go_on]
-                shared = np.minimum(shared, same[at + offset])
-                offset += 1
-            # Rows that later ones may still link to: those that share enough with the last row.
-            tail = np.minimum.accumulate(same[::-1])[::-1] if len(same) else same
-            keep = np.append(tail >= LEAST, True)
-            start = max(int(np.argmax(keep)), len(keep) - furthest)
-            held = tuple(x[start:] for x in held)
+            tree, path, node, sizes, bits = held
+            same = (path[1:, :enough] == path[:-1, :enough]).all(axis=1) & (tree[1:] == tree[:-1])
+            left = np.flatnonzero(same & (node[1:] != node[:-1]))
+            left = left[left + 1 >= old]
+            near = ~far_apart(bits[left], bits[left + 1], sizes[left], sizes[left + 1], similarity / 100)
+            a, b = node[left[near]], node[left[near] + 1]
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield batch_of(schema, [pair[:, 0], pair[:, 1]])
+            far = np.flatnonzero(same[1:] & same[:-1])
+            far = far[far + 2 >= old]
+            marked = np.unique(np.concatenate((node[far], node[far + 2])))
+            yield batch_of(schema, [marked, pa.nulls(len(marked), pa.int64())])
+            held = tuple(x[-2:] for x in held)
+
+    return run
+
+
+_SETS_ARROW = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("found", pa.binary())])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(text).tobytes() for text in as_bytes(batch.column("text"))]
+        yield batch_of(_SETS_ARROW, [batch.column("node"), batch.column("component"), found])
+
+
+def _buckets(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a task have shingles in each bucket."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for data in batch.column("found").to_pylist():
+            np.add.at(total, _buckets(np.frombuffer(data, np.uint64)), 1)
+    held = np.flatnonzero(total)
+    yield batch_of(pa.schema([("bucket", pa.int64()), ("n", pa.int64())]), [held, total[held]])
+
+
+_FIRST = "shingle long, shard int, node long, component long, size long, room long, shorter boolean, longer boolean"
+_FIRST_ARROW = pa.schema(
+    [("shingle", pa.int64()), ("shard", pa.int32())]
+    + [(c, pa.int64()) for c in ("node", "component", "size", "room")]
+    + [("shorter", pa.bool_()), ("longer", pa.bool_())]
+)
+
+
+def _first_shingles(counts, similarity: int):
+    """The rarest shingles of every set, with how many there are from each on (``room``).
+
+    The shorter of two sets needs more room than the longer. A frequent shingle is parted over shards:
+    sets go to one of them, and those with room enough to be the shorter go to all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        usual = int(np.median(often[often > 0])) if often.any() else 0
+        for batch in batches:
+            parts = []
+            for node, component, data in zip(*(batch.column(c).to_pylist() for c in _SETS_ARROW.names), strict=True):
+                found = np.frombuffer(data, np.uint64)
+                size = len(found)
+                n = often[_buckets(found)]
+                order = np.lexsort((found, n))[: size + (-similarity * size // 100) + 1]
+                first, n = found[order], n[order]
+                room = size - np.arange(len(first))
+                shorter = room * (100 + similarity) >= 2 * similarity * size
+                shards = np.maximum(1, -(-(n - 4 * usual) // CROWD))
+                own = (hash((node, size, data[:8])) & 0x7FFFFFFF) % shards
+                times = np.where(shorter, shards, 1)
+                at = np.repeat(np.arange(len(first)), times)
+                shard = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                shard = np.where(shorter[at], shard, own[at])
+                same = np.full(len(at), 1)
+                parts.append(
+                    (first[at].view(np.int64), shard.astype(np.int32), same * node, same * component, same * size,
+                     room[at], shorter[at], shard == own[at])
+                )
+            if parts:
+                yield batch_of(_FIRST_ARROW, [np.concatenate(c) for c in zip(*parts, strict=True)])
+
+    return run
+
+
+def _meeting(similarity: int):
+    """Pairs (a, b) of different components whose first shingles meet where they have room for the overlap."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(rows: tuple) -> Iterator[np.ndarray]:
+        shingle, shard, node, component, size, room, shorter, longer = rows
+        begins = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (shard[1:] != shard[:-1])))
+        ends = np.append(begins[1:], len(shingle))
+        mixed = np.minimum.reduceat(component, begins) < np.maximum.reduceat(component, begins)
+        for begin, end in zip(begins[mixed], ends[mixed], strict=True):
+            x = begin + np.flatnonzero(shorter[begin:end])
+            y = begin + np.flatnonzero(longer[begin:end])
+            step = max(1, STEP // max(1, len(y)))
+            for part in (x[k : k + step, None] for k in range(0, len(x), step)):
+                fits = (component[part] != component[y]) & (size[part] <= size[y])
+                fits &= 100 * size[part] >= similarity * size[y]
+                fits &= np.minimum(room[part], room[y]) * (100 + similarity) >= similarity * (size[part] + size[y])
+                i, j = np.nonzero(fits)
+                a, b = node[part[i, 0]], node[y[j]]
+                yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
+    def out(parts: list) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for found in pairs(tuple(np.concatenate(c) for c in zip(*parts, strict=True))):
+            held.append(found)
+            n += len(found)
+            if n > STEP:
+                found = np.unique(np.concatenate(held), axis=0)
+                yield batch_of(schema, [found[:, 0], found[:, 1]])
+                held, n = [], 0
+        if n:
+            found = np.unique(np.concatenate(held), axis=0)
+            yield batch_of(schema, [found[:, 0], found[:, 1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in _FIRST_ARROW.names)
+            # Up to the last shingle of the batch all are complete.
+            last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
+            begin = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+            if begin or parts and (parts[-1][0][-1], parts[-1][1][-1]) != (rows[0][0], rows[1][0]):
+                if begin:
+                    parts.append(tuple(c[:begin] for c in rows))
+                yield from out(parts)
+                parts = []
+            parts.append(tuple(c[begin:] for c in rows))
+        if parts:
+            yield from out(parts)
+
+    return run
+
+
+def _close(similarity: int):
+    """Pairs whose finer sketches are not surely too far apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                sizes = [batch.column(f"size_{s}").to_numpy().astype(float) for s in "ab"]
+                bits = [_wide(batch.column(f"fine_{s}"), "<u8") for s in "ab"]
+                keep = ~far_apart(*bits, *sizes, similarity / 100)
+                yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     return run
 
@@ -243,23 +366,48 @@ def _confirm(docs: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
     )
 
 
-def _candidates(classes: DataFrame, similarity: int, first_round: bool) -> DataFrame:
-    """The distinct candidates (a, b) among classes with node and component."""
+def _next_ones(classes: DataFrame, similarity: int) -> DataFrame:
+    """The distinct candidates (a, b) of round one, and the marked classes (b null)."""
     step = DEPTH * 4
     paths = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.col("paths").substr(k * step + 1, F.lit(step))
     )
-    bits = F.col("coarse" if first_round else "fine").alias("sketch")
-    forest = classes.select("node", "component", "n_shingles", bits, F.posexplode(paths).alias("tree", "path"))
+    forest = classes.select("node", "n_shingles", F.col("coarse").alias("sketch"), F.posexplode(paths).alias("tree", "path"))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         forest.repartitionByRange(parts, "tree", "path", "node")
         .sortWithinPartitions("tree", "path", "node")
-        .mapInArrow(_neighbours(similarity / 100, first_round), "a long, b long")
+        .mapInArrow(_neighbours(similarity), "a long, b long")
         .distinct()
     )
 
 
+def _all_near(docs: DataFrame, classes: DataFrame, marked: DataFrame, similarity: int) -> DataFrame:
+    """The distinct candidates (a, b) among the marked classes (node, component), without a limit."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(marked, "node")
+    sets = written(
+        texts.select("node", "component", "text").mapInArrow(_sets, "node long, component long, found binary")
+        .filter(F.length("found") > 0),
+        "sets",
+    )
+    totals = sets.mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[totals.column("bucket").to_numpy()] = totals.column("n").to_numpy()
+    pairs = (
+        sets.mapInArrow(_first_shingles(spark.sparkContext.broadcast(counts), similarity), _FIRST)
+        .repartition("shingle", "shard").sortWithinPartitions("shingle", "shard")
+        .mapInArrow(_meeting(similarity), "a long, b long")
+        .distinct()
+    )
+    for side in "ab":
+        own = classes.select(
+            F.col("node").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("fine").alias(f"fine_{side}")
+        )
+        pairs = pairs.join(own, side)
+    return pairs.mapInArrow(_close(similarity), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; similarity is in hundredths."""
     spark = docs.sparkSession
@@ -276,14 +424,12 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
         .groupBy("digest").agg(F.min("doc_id").alias("node"), *of_class),
         "classes",
     )
-    ones = classes.withColumn("component", F.col("node"))
-    found = written(_candidates(ones, similarity, True), "candidates")
+    found = written(_next_ones(classes, similarity), "candidates")
     links = written(_confirm(docs, found.filter("b is not null"), similarity), "links")
     labels = written(components(links), "labels")
-    marked = found.filter("b is null").select(F.col("a").alias("node"))
-    ones = classes.join(marked, "node", "left_semi").join(labels, "node", "left")
-    ones = ones.withColumn("component", F.coalesce("component", "node"))
-    found = written(_candidates(ones, similarity, False), "candidates")
+    marked = found.filter("b is null").select(F.col("a").alias("node")).join(labels, "node", "left")
+    marked = marked.withColumn("component", F.coalesce("component", "node"))
+    found = written(_all_near(docs, classes, marked, similarity), "candidates")
     links = written(links.unionByName(_confirm(docs, found, similarity)), "links")
     labels = written(components(links), "labels")
     own = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

@@ -111,3 +111,17 @@ def test_components(spark, rng):
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert {r.node: r.component for r in components(links).collect()} == {k: v for k, v in wanted.items() if k in linked}
     assert alone - linked
+
+
+def test_template_crowd(make_docs, rng):
+    """Texts with one template are no links, but some pairs of them differ in little else."""
+    words = [f"t{n}" for n in range(94)]
+    rows, pairs = [], []
+    for k in range(20_000):
+        rows.append((k, " ".join([*words, *(f"o{k}x{n}" for n in range(10))])))
+    for n in range(100):
+        text = rows[n * 150][1].split()
+        rows.append((20_000 + n, " ".join([*text[:-2], f"p{n}", f"q{n}"])))
+        pairs.append((n * 150, 20_000 + n))
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(make_docs(rows)).collect()}
+    assert found == union(pairs, {i for i, _ in rows})
