@@ -2,7 +2,8 @@
 
 Every document becomes the set of its distinct five-word shingles. Documents with equal
 sets are one class, of which only the first goes on. A class has ``TREES`` paths of ``DEPTH``
-minhash values; each tree is all paths in sorted order, dealt over tasks by range.
+minhash values; each tree is all paths in sorted order, dealt over tasks by range, and rows
+at the borders of the ranges are compared across them.
 
 Round one takes next neighbours in every tree that share enough values (``least``), and marks
 the classes that have a neighbour farther off which shares as many. A sketch (the least hash
@@ -160,14 +161,38 @@ def least(similarity: int) -> int:
     return max((d for d in range(1, DEPTH + 1) if missed(d) <= MISSED), default=1)
 
 
+_ROWS = {"tree": pa.int32(), "path": pa.binary(), "node": pa.int64(), "n_shingles": pa.int64(), "sketch": pa.binary()}
+_FOUND = "a long, b long, tree int, path binary, node long, n_shingles long, sketch binary"
+_FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), *_ROWS.items()])
+
+
 def _neighbours(similarity: int):
-    """Candidate links (a, b) of a sorted part of the forest, and marked classes (b null)."""
+    """Candidate links (a, b) of a sorted part of the forest, marked classes (b null), and its border rows (a null).
+
+    The border rows are the first and the last two, which have neighbours in other parts.
+    """
     enough = least(similarity)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(a, b) -> pa.RecordBatch:
+        return batch_of(_FOUND_ARROW, [a, b, *(pa.nulls(len(a), kind) for kind in _ROWS.values())])
+
+    def border(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in rows.combine_chunks().to_batches():
+            none = pa.nulls(len(batch), pa.int64())
+            yield batch_of(_FOUND_ARROW, [none, none, *(batch.column(c).cast(k) for c, k in _ROWS.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, last, n = None, None, 0
         for batch in batches:
+            if not len(batch):
+                continue
+            if n < 2:
+                yield from border(pa.Table.from_batches([batch.slice(0, 2 - n)]))
+            # Rows that are among the first two are not listed again among the last.
+            later = pa.Table.from_batches([batch.slice(max(0, 2 - n))])
+            last = later if last is None else pa.concat_tables([last, later])
+            last = last.slice(max(0, len(last) - 2))
+            n += len(batch)
             new = (
                 batch.column("tree").to_numpy(),
                 _wide(batch.column("path"), ">u4"),
@@ -184,12 +209,14 @@ def _neighbours(similarity: int):
             near = ~far_apart(bits[left], bits[left + 1], sizes[left], sizes[left + 1], similarity / 100)
             a, b = node[left[near]], node[left[near] + 1]
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield batch_of(schema, [pair[:, 0], pair[:, 1]])
+            yield links(pair[:, 0], pair[:, 1])
             far = np.flatnonzero(same[1:] & same[:-1])
             far = far[far + 2 >= old]
             marked = np.unique(np.concatenate((node[far], node[far + 2])))
-            yield batch_of(schema, [marked, pa.nulls(len(marked), pa.int64())])
+            yield links(marked, pa.nulls(len(marked), pa.int64()))
             held = tuple(x[-2:] for x in held)
+        if last is not None:
+            yield from border(last)
 
     return run
 
@@ -367,19 +394,25 @@ def _confirm(docs: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
 
 
 def _next_ones(classes: DataFrame, similarity: int) -> DataFrame:
-    """The distinct candidates (a, b) of round one, and the marked classes (b null)."""
+    """The candidates (a, b) of round one, and the marked classes (b null).
+
+    Parts have no neighbours in common, so the rows at their borders, four of each at most,
+    are gone through once more. What is not next to each other there only adds candidates.
+    """
     step = DEPTH * 4
     paths = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.col("paths").substr(k * step + 1, F.lit(step))
     )
     forest = classes.select("node", "n_shingles", F.col("coarse").alias("sketch"), F.posexplode(paths).alias("tree", "path"))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        forest.repartitionByRange(parts, "tree", "path", "node")
-        .sortWithinPartitions("tree", "path", "node")
-        .mapInArrow(_neighbours(similarity), "a long, b long")
-        .distinct()
+    order = ["tree", "path", "node"]
+    found = written(
+        forest.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(similarity), _FOUND),
+        "neighbours",
     )
+    borders = found.filter("a is null").select(*_ROWS)
+    across = borders.repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours(similarity), _FOUND)
+    return found.unionByName(across).filter("a is not null").select("a", "b").distinct()
 
 
 def _all_near(docs: DataFrame, classes: DataFrame, marked: DataFrame, similarity: int) -> DataFrame:

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from opsmill.llm import minhash
 from opsmill.llm.components import components
 
@@ -125,3 +127,19 @@ def test_template_crowd(make_docs, rng):
         pairs.append((n * 150, 20_000 + n))
     found = {r.doc_id: r.component_id for r in minhash.near_duplicates(make_docs(rows)).collect()}
     assert found == union(pairs, {i for i, _ in rows})
+
+
+@pytest.mark.parametrize("n", [5, 50])
+def test_more_tasks_than_rows(spark, make_docs, n):
+    """Neighbours that the deal by range has put into different tasks."""
+    rows = []
+    for k in range(n):
+        words = [f"d{k}w{i}" for i in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "other"]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        found = {r.doc_id: r.component_id for r in minhash.near_duplicates(make_docs(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == {i: i - i % 2 for i, _ in rows}
