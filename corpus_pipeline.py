@@ -25,8 +25,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return minhash.keep_one(docs)
+    """One document of each group of near-duplicates, which here share 80 hundredths of their shingles."""
+    return minhash.keep_one(docs, similarity=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,13 @@ def test_whole_result(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     source = "pages" if name.startswith("op5") else "documents"
     assert df.count() == table(spark, sf_dir, source).count()
+
+
+def test_near_copies_from_eighty_hundredths(spark, make_docs):
+    """Of 96 shingles the copies share 96 - k: 0.83 for k = 9, 0.78 for k = 12."""
+    rows = []
+    for k, changed in enumerate([9, 12, 9, 9]):
+        words = [f"d{k}w{n}" for n in range(100)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-changed], *(f"n{k}x{n}" for n in range(changed))]))]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, make_docs(rows), "").collect()}
+    assert kept == {0, 2, 3, 4, 6}
