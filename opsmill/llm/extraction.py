@@ -7,7 +7,8 @@ wrapper. Tasks align the pages that they read, host by host; what they found, on
 wrapper for each host and task, is merged in two rounds, so that a host with a third of all
 pages is no large group. The wrapper tells which of its elements hold the article: the
 article element if the host has one, else its main element, else the element with most
-varying blocks; template texts that never vary are then left out as well.
+varying blocks; texts that never vary and that most pages have, two at least, are then left
+out as template.
 
 Each page goes through the rules of its host's wrapper; a page that has none of the wrapper's
 places is its own wrapper. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
@@ -73,20 +74,24 @@ _DROP_WORDS = re.compile(
 
 
 class Node:
-    """An element (or a text, whose label is empty) with how often it stands there: '', '?', '+' or '*'."""
+    """An element (or a text, whose label is empty) with how often it stands there: '', '?', '+' or '*'.
 
-    __slots__ = ("label", "often", "parts", "text")
+    ``pages`` is how many pages have it.
+    """
 
-    def __init__(self, label: str, often: str = "", parts: list | None = None, text: str | None = None):
+    __slots__ = ("label", "often", "parts", "text", "pages")
+
+    def __init__(self, label: str, often: str = "", parts: list | None = None, text: str | None = None, pages: int = 1):
         self.label, self.often, self.parts, self.text = label, often, parts if parts is not None else [], text
+        self.pages = pages
 
     def packed(self) -> list:
-        return [self.label, self.often, [p.packed() for p in self.parts] if self.label else self.text]
+        return [self.label, self.often, [p.packed() for p in self.parts] if self.label else self.text, self.pages]
 
 
 def unpacked(data: list) -> Node:
-    label, often, rest = data
-    return Node(label, often, [unpacked(p) for p in rest]) if label else Node("", often, text=rest)
+    label, often, rest, pages = data
+    return Node(label, often, [unpacked(p) for p in rest], pages=pages) if label else Node("", often, text=rest, pages=pages)
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -192,7 +197,7 @@ def _folded(parts: list[Node]) -> list[Node]:
                 merged = block
                 for k in range(1, times):
                     others = parts[at + k * width : at + (k + 1) * width]
-                    merged = [_merged(a, b) for a, b in zip(merged, others, strict=True)]
+                    merged = [_merged(a, b, True) for a, b in zip(merged, others, strict=True)]
                 if width == 1:
                     merged[0].often = "+" if "?" not in merged[0].often and merged[0].often != "*" else "*"
                     out.append(merged[0])
@@ -211,22 +216,23 @@ def _often(a: str, b: str) -> str:
     return ("*" if opt else "+") if rep else ("?" if opt else "")
 
 
-def _merged(a: Node, b: Node) -> Node:
-    """The expression that covers two that have one label."""
+def _merged(a: Node, b: Node, one_page: bool = False) -> Node:
+    """The expression that covers two that have one label, of different pages or of ``one_page``."""
     often = _often(a.often, b.often)
+    pages = max(a.pages, b.pages) if one_page else a.pages + b.pages
     if not a.label:
-        return Node("", often, text=a.text if a.text == b.text else None)
-    return Node(a.label, often, aligned(a.parts, b.parts))
+        return Node("", often, text=a.text if a.text == b.text else None, pages=pages)
+    return Node(a.label, often, aligned(a.parts, b.parts, one_page), pages=pages)
 
 
 def _optional(node: Node) -> Node:
-    return Node(node.label, _often(node.often, "?"), node.parts, node.text)
+    return Node(node.label, _often(node.often, "?"), node.parts, node.text, node.pages)
 
 
-def aligned(a: list[Node], b: list[Node]) -> list[Node]:
+def aligned(a: list[Node], b: list[Node], one_page: bool = False) -> list[Node]:
     """Two sequences as one: what both have is merged, what one has is optional."""
     if [x.label for x in a] == [y.label for y in b]:
-        return [_merged(x, y) for x, y in zip(a, b, strict=True)]
+        return [_merged(x, y, one_page) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -238,7 +244,7 @@ def aligned(a: list[Node], b: list[Node]) -> list[Node]:
     out, i, j = [], 0, 0
     while i < n and j < m:
         if a[i].label == b[j].label and best[i][j] == best[i + 1][j + 1] + (2 if a[i].label else 1):
-            out.append(_merged(a[i], b[j]))
+            out.append(_merged(a[i], b[j], one_page))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             out.append(_optional(a[i]))
@@ -288,9 +294,12 @@ def rules(wrapper: Node) -> dict:
     ]
     path = max(rich, key=len, default=())
     template: set[str] = set()
+    # A text of one page, or of few of the host's, is no template.
+    several = max(2, wrapper.pages // 2 + 1)
     if not fixed:
         for _, node in found:
-            template |= {p.text for p in node.parts if not p.label and p.text is not None and p.often in ("", "?")}
+            texts = [p for p in node.parts if not p.label and p.text is not None and p.often in ("", "?")]
+            template |= {p.text for p in texts if p.pages >= several}
     return {"roots": [path], "template": sorted(template)}
 
 

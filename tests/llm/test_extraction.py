@@ -76,3 +76,16 @@ def test_given_pages(spark, size):
         article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         parts = (re.sub(r"<[^>]*>", " ", p) for p in re.split(r"</?p>|</?h1>", article))
         assert texts[r.page_id] == "\n\n".join(t for p in parts if (t := " ".join(entities.unescape(p).split())))
+
+
+def test_texts_of_one_page_are_no_template(spark):
+    """Pages without an article: one on its own host, and two of which one has more."""
+    body = "<html><body><div class=body><h1>{}</h1><p>{}</p><p>{}</p>{}</div></body></html>"
+    rows = [
+        (1, "http://one.example/", body.format("T", "a", "b", "")),
+        (2, "http://two.example/1", body.format("U", "c", "d", "")),
+        (3, "http://two.example/2", body.format("V", "e", "f", "<blockquote>q</blockquote><p>g</p>")),
+    ]
+    assert ex.main_text(rows[0][2], None) == "T\n\na\n\nb"
+    found = {r.page_id: r.text.split("\n\n") for r in ex.extract(pages(spark, rows)).collect()}
+    assert found == {1: ["T", "a", "b"], 2: ["U", "c", "d"], 3: ["V", "e", "f", "q", "g"]}
