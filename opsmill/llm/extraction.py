@@ -12,7 +12,8 @@ out as template.
 
 Each page goes through the rules of its host's wrapper; a page that has none of the wrapper's
 places is its own wrapper. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments are recognised by element, role or class, wherever they stand.
+and comments are recognised by element, role or class, wherever they stand, but for elements
+that hold every article of the page, or without one most of what varies.
 
 Blocks are block elements, in page order; white space inside a block becomes one space.
 Defined cases: null or empty html has no text; unclosed and stray tags are read as browsers
@@ -66,11 +67,22 @@ _CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 _DROP_TAGS = _RAW | set("head nav header footer aside form menu button select input label dialog object".split())
-_DROP_WORDS = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|notification|alert|popup|modal"
+_PART = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|notification|alert|popup|modal"
     r"|comments?|replies|disqus|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead"
-    r"|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|toolbar)(?:$|[-_ ])"
+    r"|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|toolbar)"
 )
+_BEFORE = (
+    r"(?:site|page|main|top|bottom|left|right|upper|lower|primary|secondary|global|local|post|article|entry|user|web|blog"
+    r"|sub|mobile|footer|header|inline|sticky|floating|google|gdpr|email|mail|wp|js|c|l|m|o)"
+)
+_AFTER = (
+    r"(?:area|bar|block|body|box|bottom|button|buttons|col|column|container|content|footer|form|group|header|holder|icons"
+    r"|inner|item|items|label|left|links?|list|main|outer|overlay|panel|policy|posts|primary|right|row|section|slot"
+    r"|text|title|toggle|top|unit|wrap|wrapper)"
+)
+#: Whole words of class, id or role: a listed part, or several, with words that only say where or in what it stands.
+_DROP_WORDS = re.compile(rf"(?:^| )(?:{_BEFORE}[-_]+)*{_PART}(?:[-_]+(?:{_PART}|{_AFTER}))*[-_]*(?=$| )")
 
 
 class Node:
@@ -255,42 +267,81 @@ def aligned(a: list[Node], b: list[Node], one_page: bool = False) -> list[Node]:
     return _folded([*out, *map(_optional, a[i:]), *map(_optional, b[j:])])
 
 
-def _walk(node: Node, path: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], Node]]:
+def _walk(node: Node, path: tuple[str, ...], kept: frozenset = frozenset()) -> Iterator[tuple[tuple[str, ...], Node]]:
     """Elements that may belong to the text, with their paths; groups are passed through."""
-    for part in node.parts:
-        if part.label == "()":
-            yield from _walk(part, path)
-        elif part.label and not dropped(part.label):
-            own = (*path, part.label)
-            yield own, part
-            yield from _walk(part, own)
+    todo = [(part, path) for part in reversed(node.parts)]
+    while todo:
+        part, path = todo.pop()
+        if not part.label:
+            continue
+        if part.label != "()":
+            path = (*path, part.label)
+            if id(part) not in kept and dropped(part.label):
+                continue
+            yield path, part
+        todo += [(p, path) for p in reversed(part.parts)]
+
+
+def _inside(node: Node) -> list[Node]:
+    """An element and all elements and groups below it, each before what it holds."""
+    out = [node]
+    for own in out:
+        out += [p for p in own.parts if p.label]
+    return out
 
 
-def _texts(node: Node, fixed: bool) -> float:
-    """Varying texts (or, if ``fixed``, all) in blocks below an element; repeated ones weigh more."""
-    total = 0.0
-    for part in node.parts:
-        if not part.label:
-            total += fixed or part.text is None
-        elif part.label == "()" or not dropped(part.label):
-            total += _texts(part, fixed) * (4 if part.often in ("+", "*") else 1)
+def _texts(node: Node, fixed: bool, kept: frozenset | None = frozenset()) -> dict[int, float]:
+    """Varying texts (or, if ``fixed``, all) in blocks below each element; repeated ones weigh more.
+
+    What is dropped does not count, unless it is in ``kept`` or that is None.
+    """
+    total: dict[int, float] = {}
+    for own in reversed(_inside(node)):
+        n = 0.0
+        for part in own.parts:
+            if not part.label:
+                n += fixed or part.text is None
+            elif part.label == "()" or kept is None or id(part) in kept or not dropped(part.label):
+                n += total[id(part)] * (4 if part.often in ("+", "*") else 1)
+        total[id(own)] = n
     return total
 
 
+def _never_dropped(wrapper: Node) -> frozenset:
+    """Elements that hold all articles and main elements, or without these most of what varies."""
+    inside = _inside(wrapper)
+    held: dict[int, int] = {}
+    for own in reversed(inside):
+        held[id(own)] = (own.label.split(" ")[0] in ("article", "main")) + sum(held[id(p)] for p in own.parts if p.label)
+    every = held[id(wrapper)]
+    if every:
+        return frozenset(id(n) for n in inside if held[id(n)] == every)
+    # Elements that are dropped by their tag, such as menus, have no say in what varies.
+    tags = frozenset(id(n) for n in inside if n.label.split(" ")[0] not in _DROP_TAGS)
+    varying = _texts(wrapper, False, tags)
+    if not varying[id(wrapper)]:
+        varying = _texts(wrapper, True, tags)
+    return frozenset(i for i in tags if varying[i] > 0.5 * varying[id(wrapper)])
+
+
 def rules(wrapper: Node) -> dict:
     """Paths of the elements that hold the article, and checksums of template texts to leave out."""
-    found = list(_walk(wrapper, ()))
+    kept = _never_dropped(wrapper)
+    found = list(_walk(wrapper, (), kept))
+    spared = sorted({path for path, node in found if dropped(node.label)})
+    more = {"kept": spared} if spared else {}
     for tag in ("article", "main"):
         roots = [path for path, node in found if node.label.split(" ")[0] == tag]
         outer = [p for p in roots if not any(p != q and p[: len(q)] == q for q in roots)]
         if outer:
-            return {"roots": sorted(set(outer)), "template": []}
+            return {"roots": sorted(set(outer)), "template": [], **more}
     # The innermost block that still has most of what varies, or of all texts if nothing does.
-    fixed = not _texts(wrapper, False)
-    whole = _texts(wrapper, fixed)
+    fixed = not _texts(wrapper, False, kept)[id(wrapper)]
+    texts = _texts(wrapper, fixed, kept)
+    whole = texts[id(wrapper)]
     rich = [
         path for path, node in found
-        if node.label.split(" ")[0] in _BLOCK and _texts(node, fixed) >= 0.7 * whole
+        if node.label.split(" ")[0] in _BLOCK and texts[id(node)] >= 0.7 * whole
     ]
     path = max(rich, key=len, default=())
     template: set[str] = set()
@@ -298,14 +349,15 @@ def rules(wrapper: Node) -> dict:
     several = max(2, wrapper.pages // 2 + 1)
     if not fixed:
         for _, node in found:
-            texts = [p for p in node.parts if not p.label and p.text is not None and p.often in ("", "?")]
-            template |= {p.text for p in texts if p.pages >= several}
-    return {"roots": [path], "template": sorted(template)}
+            same = [p for p in node.parts if not p.label and p.text is not None and p.often in ("", "?")]
+            template |= {p.text for p in same if p.pages >= several}
+    return {"roots": [path], "template": sorted(template), **more}
 
 
 def blocks(root: Node, rule: dict) -> list[str]:
     """Texts of the blocks of a page that its rule takes."""
     roots, template = {tuple(p) for p in rule["roots"]}, set(rule["template"])
+    kept = {tuple(p) for p in rule.get("kept", [])}
     out: list[str] = []
     held: list[str] = []
 
@@ -328,7 +380,7 @@ def blocks(root: Node, rule: dict) -> list[str]:
             if inside:
                 held.append(node.text)
             continue
-        if path and dropped(node.label):
+        if path and dropped(node.label) and path not in kept:
             continue
         inside = inside or path in roots
         block = node.label.split(" ")[0] in _BLOCK
@@ -336,7 +388,7 @@ def blocks(root: Node, rule: dict) -> list[str]:
             close()
             todo.append(None)
         for part in reversed(node.parts):
-            todo.append((part, (*path, part.label) if part.label and not inside else path, inside))
+            todo.append((part, (*path, part.label) if part.label and (kept or not inside) else path, inside))
     close()
     return out
 

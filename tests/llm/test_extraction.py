@@ -89,3 +89,18 @@ def test_texts_of_one_page_are_no_template(spark):
     assert ex.main_text(rows[0][2], None) == "T\n\na\n\nb"
     found = {r.page_id: r.text.split("\n\n") for r in ex.extract(pages(spark, rows)).collect()}
     assert found == {1: ["T", "a", "b"], 2: ["U", "c", "d"], 3: ["V", "e", "f", "q", "g"]}
+
+
+@pytest.mark.parametrize("words", ["content has-sidebar", "no-sidebar wrap", "comments-open post", "page header-fixed"])
+def test_layout_words_drop_nothing(words):
+    for tag in ("article", "div"):
+        html = f"<body><div class='{words}'><{tag}><h1>T</h1><p>a</p><p>b</p></{tag}></div><div class=sidebar><p>s</p></div>"
+        assert ex.main_text(html, None) == "T\n\na\n\nb"
+
+
+def test_elements_that_hold_the_article_stay():
+    text = "<h1>T</h1><p>a</p><p>b</p><p>c</p>"
+    aside = "<aside>x</aside><div class=sidebar><p>s</p></div>"
+    assert ex.main_text(f"<body><div class=widget><article>{text}</article></div>{aside}", None) == "T\n\na\n\nb\n\nc"
+    assert ex.main_text(f"<body><form><main>{text}</main></form>{aside}", None) == "T\n\na\n\nb\n\nc"
+    assert ex.main_text(f"<body><div class=widget>{text}</div>{aside}", None) == "T\n\na\n\nb\n\nc"
