@@ -98,12 +98,39 @@ class Node:
         self.pages = pages
 
     def packed(self) -> list:
-        return [self.label, self.often, [p.packed() for p in self.parts] if self.label else self.text, self.pages]
+        """Depth, label, often, text and pages of this and all below, in page order."""
+        out, todo = [], [(self, 0)]
+        while todo:
+            node, depth = todo.pop()
+            out.append([depth, node.label, node.often, node.text, node.pages])
+            todo += [(p, depth + 1) for p in reversed(node.parts)]
+        return out
 
 
 def unpacked(data: list) -> Node:
-    label, often, rest, pages = data
-    return Node(label, often, [unpacked(p) for p in rest], pages=pages) if label else Node("", often, text=rest, pages=pages)
+    above: list[Node] = []
+    for depth, label, often, text, pages in data:
+        node = Node(label, often, text=text, pages=pages)
+        del above[depth:]
+        if above:
+            above[-1].parts.append(node)
+        above.append(node)
+    return above[0]
+
+
+def _deep(task):
+    """The result of a generator that yields such generators for the results it needs; depth costs no Python stack."""
+    stack, value = [task], None
+    while stack:
+        try:
+            task = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(task)
+            value = None
+    return value
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -185,16 +212,20 @@ def dropped(label: str) -> bool:
 
 def expression(node: Node) -> Node:
     """The union-free expression of one page: texts by checksum, repeated neighbours folded."""
+    return _deep(_expression(node))
+
+
+def _expression(node: Node):
     parts = []
     for part in node.parts:
         if part.label:
-            parts.append(expression(part))
+            parts.append((yield _expression(part)))
         elif part.text.strip():
             parts.append(Node("", text=f"{zlib.crc32(' '.join(part.text.split()).encode()):08x}"))
-    return Node(node.label, node.often, _folded(parts))
+    return Node(node.label, node.often, (yield _folded(parts)))
 
 
-def _folded(parts: list[Node]) -> list[Node]:
+def _folded(parts: list[Node]):
     """Neighbours that repeat (one, two or three at a time) as one repeated group."""
     out: list[Node] = []
     at = 0
@@ -209,7 +240,9 @@ def _folded(parts: list[Node]) -> list[Node]:
                 merged = block
                 for k in range(1, times):
                     others = parts[at + k * width : at + (k + 1) * width]
-                    merged = [_merged(a, b, True) for a, b in zip(merged, others, strict=True)]
+                    pairs, merged = zip(merged, others, strict=True), []
+                    for a, b in pairs:
+                        merged.append((yield _merging(a, b, True)))
                 if width == 1:
                     merged[0].often = "+" if "?" not in merged[0].often and merged[0].often != "*" else "*"
                     out.append(merged[0])
@@ -228,23 +261,30 @@ def _often(a: str, b: str) -> str:
     return ("*" if opt else "+") if rep else ("?" if opt else "")
 
 
-def _merged(a: Node, b: Node, one_page: bool = False) -> Node:
-    """The expression that covers two that have one label, of different pages or of ``one_page``."""
+def _merged(a: Node, b: Node) -> Node:
+    """The expression that covers two of different pages that have one label."""
+    return _deep(_merging(a, b, False))
+
+
+def _merging(a: Node, b: Node, one_page: bool):
     often = _often(a.often, b.often)
     pages = max(a.pages, b.pages) if one_page else a.pages + b.pages
     if not a.label:
         return Node("", often, text=a.text if a.text == b.text else None, pages=pages)
-    return Node(a.label, often, aligned(a.parts, b.parts, one_page), pages=pages)
+    return Node(a.label, often, (yield _aligned(a.parts, b.parts, one_page)), pages=pages)
 
 
 def _optional(node: Node) -> Node:
     return Node(node.label, _often(node.often, "?"), node.parts, node.text, node.pages)
 
 
-def aligned(a: list[Node], b: list[Node], one_page: bool = False) -> list[Node]:
+def _aligned(a: list[Node], b: list[Node], one_page: bool):
     """Two sequences as one: what both have is merged, what one has is optional."""
     if [x.label for x in a] == [y.label for y in b]:
-        return [_merged(x, y, one_page) for x, y in zip(a, b, strict=True)]
+        both = []
+        for x, y in zip(a, b, strict=True):
+            both.append((yield _merging(x, y, one_page)))
+        return both
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -256,7 +296,7 @@ def aligned(a: list[Node], b: list[Node], one_page: bool = False) -> list[Node]:
     out, i, j = [], 0, 0
     while i < n and j < m:
         if a[i].label == b[j].label and best[i][j] == best[i + 1][j + 1] + (2 if a[i].label else 1):
-            out.append(_merged(a[i], b[j], one_page))
+            out.append((yield _merging(a[i], b[j], one_page)))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             out.append(_optional(a[i]))
@@ -264,7 +304,7 @@ def aligned(a: list[Node], b: list[Node], one_page: bool = False) -> list[Node]:
         else:
             out.append(_optional(b[j]))
             j += 1
-    return _folded([*out, *map(_optional, a[i:]), *map(_optional, b[j:])])
+    return (yield _folded([*out, *map(_optional, a[i:]), *map(_optional, b[j:])]))
 
 
 def _walk(node: Node, path: tuple[str, ...], kept: frozenset = frozenset()) -> Iterator[tuple[tuple[str, ...], Node]]:

@@ -104,3 +104,13 @@ def test_elements_that_hold_the_article_stay():
     assert ex.main_text(f"<body><div class=widget><article>{text}</article></div>{aside}", None) == "T\n\na\n\nb\n\nc"
     assert ex.main_text(f"<body><form><main>{text}</main></form>{aside}", None) == "T\n\na\n\nb\n\nc"
     assert ex.main_text(f"<body><div class=widget>{text}</div>{aside}", None) == "T\n\na\n\nb\n\nc"
+
+
+def test_elements_left_open(spark):
+    """5,000 nested elements, twice on one host, so that they are merged as well."""
+    rows = [(k, "http://deep.example/", f"<body><h1>T{k}</h1>" + "<font>" * 5000 + f"<p>a{k}</p><p>b</p>") for k in range(2)]
+    both = ex._merged(*(ex.expression(ex.tree(html)) for _, _, html in rows))
+    assert ex.unpacked(both.packed()).packed() == both.packed()
+    assert ex.main_text(rows[0][2], ex.rules(both)).startswith("T0")
+    found = {r.page_id: r.text for r in ex.extract(pages(spark, rows)).collect()}
+    assert set(found) == {0, 1} and all(f"a{k}" in found[k] for k in found)
