@@ -9,10 +9,13 @@ from opsmill.llm import (
     exact_dedup,
     extraction,
     minhash,
+    negatives,
     pii,
+    quality,
     sharding,
     toxicity,
     warc,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_pii_disclosure": pii.op8,
     "op9_byte_shards": sharding.op9,
     "op10_exact_dedup": exact_dedup.op10,
+    "op11_hard_negatives": negatives.op11,
+    "op12_whitening": whitening.op12,
+    "op13_quality_neighbours": quality.op13,
 }
 
 ORACLES = {
@@ -33,4 +39,5 @@ ORACLES = {
     "op3_decontamination": decontamination.OP3_SQL,
     "op7_warc_bundles": warc.OP7_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
 }
