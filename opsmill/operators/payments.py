@@ -349,6 +349,18 @@ def joined_columns(acknowledged: bool) -> list[Column]:
     ]
 
 
+def status_pairs(transfers: DataFrame, acks: DataFrame) -> DataFrame:
+    """Transfers with their acknowledgements, without those that have none; see ``join_status``."""
+    p, a = transfers.alias("p"), acks.alias("a")
+    same_message = F.col("p.message_id") == F.col("a.original_message_id")
+    same_end = F.col("p.end_to_end_id") == F.col("a.original_end_to_end_id")
+    same_txn = F.col("p.transaction_id") == F.col("a.original_transaction_id")
+    by_end = p.join(a, same_message & same_end)
+    by_txn = p.join(a, same_message & same_txn & ~F.coalesce(same_end, F.lit(False)))
+    own = F.col("p.transaction_id").alias("transaction_id")
+    return by_end.select(own, *joined_columns(True)).unionByName(by_txn.select(own, *joined_columns(True)))
+
+
 def join_status(transfers: DataFrame, acks: DataFrame) -> DataFrame:
     """Transfers with their acknowledgements; transfers without any keep NULLs.
 

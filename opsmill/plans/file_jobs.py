@@ -1,7 +1,8 @@
 """Jobs that begin with files: given tables, written the way files land, and read back.
 
 A landing file holds ``FILE_ROWS`` rows of its table at most, so that no file is long
-and the number of files follows the table.
+and the number of files follows the table. Where a reader takes files by their name, every
+second file has a name that it must refuse.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from opsmill.session import fresh_path
 from opsmill.sources import files
 from opsmill.streaming import refresh
 
-FILE_ROWS = 1000
+FILE_ROWS = 100
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,7 +57,7 @@ def _base(path: Column) -> Column:
 
 
 _FILE = f"CAST(p_partkey DIV {FILE_ROWS} AS STRING)"
-_XML = f"'batch_', {_FILE}, CASE WHEN p_partkey DIV {FILE_ROWS} % 5 = 4 THEN '.txt' ELSE '.xml' END"
+_XML = f"'batch_', {_FILE}, CASE WHEN p_partkey DIV {FILE_ROWS} % 2 = 1 THEN '.txt' ELSE '.xml' END"
 _XML_LINE = """'<m id="', CAST(p_partkey AS STRING), '">', p_brand, '</m>'"""
 
 
@@ -82,7 +83,7 @@ def files_landing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _message_rows(spark.read.parquet(target))
 
 
-_SQL = f"CASE WHEN p_partkey DIV {FILE_ROWS} % 5 = 4 THEN 'other_' ELSE 'drop_' END, {_FILE}, CASE WHEN p_partkey DIV {FILE_ROWS} % 5 = 4 THEN '.sqlx' ELSE '.sql' END"
+_SQL = f"CASE WHEN p_partkey DIV {FILE_ROWS} % 2 = 1 THEN 'other_' ELSE 'drop_' END, {_FILE}, CASE WHEN p_partkey DIV {FILE_ROWS} % 2 = 1 THEN '.sqlx' ELSE '.sql' END"
 _SQL_LINE = "CASE p_size % 3 WHEN 0 THEN 'DROP TABLE t' WHEN 1 THEN 'DROP TABLE IF EXISTS t' ELSE 'USE ROLE r' END, CAST(p_partkey AS STRING), ';'"
 
 
@@ -125,7 +126,7 @@ _CASE_LINE = """'<testcase name="', p_brand, '" time="0.', CAST(p_size + 10 AS S
 
 @query
 def files_junit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"CASE WHEN p_partkey DIV {FILE_ROWS} % 5 = 4 THEN 'OTHER_' ELSE 'TEST_' END, {_FILE}, '.xml'"
+    name = f"CASE WHEN p_partkey DIV {FILE_ROWS} % 2 = 1 THEN 'OTHER_' ELSE 'TEST_' END, {_FILE}, '.xml'"
     landing = _landed(spark, sf_dir, _CASE_LINE, name, '<testsuite name="parts" time="2">', "</testsuite>")
     tests = reports.report_tests(reports.convert_junit(files.read_junit(spark, landing)))
     return tests.withColumn("path", _base(F.col("path")))
@@ -204,7 +205,7 @@ SELECT file_name, length(text) AS characters, md5(text) AS digest FROM lines WHE
 _SCRIPTS = f"""
 WITH {_PARTS}
 SELECT concat('drop_', file_no, '.sql') AS file, CASE WHEN p_size % 3 = 0 THEN 'DO05' ELSE 'DO06' END AS rule, nth AS line
-FROM parts WHERE p_partkey // {FILE_ROWS} % 5 <> 4 AND p_size % 3 <> 1
+FROM parts WHERE p_partkey // {FILE_ROWS} % 2 <> 1 AND p_size % 3 <> 1
 """
 ORACLES = {
     "files_messages": _MESSAGES,
@@ -221,7 +222,7 @@ WITH {_PARTS}
 SELECT concat('TEST_', file_no, '.xml') AS path, CAST(nth AS INTEGER) AS seq, p_brand AS name,
   CASE WHEN p_size % 4 = 0 THEN 'failed' WHEN p_size % 4 = 1 THEN 'skipped' ELSE 'passed' END AS status,
   CAST((p_size + 10) * 10 AS BIGINT) AS duration, CASE WHEN p_size % 4 = 0 THEN 'bad' ELSE '' END AS message, 'parts' AS suite
-FROM parts WHERE p_partkey // {FILE_ROWS} % 5 <> 4
+FROM parts WHERE p_partkey // {FILE_ROWS} % 2 <> 1
 """,
     "files_reports": f"""
 WITH {_PARTS}

@@ -22,6 +22,14 @@ def derive(base: DataFrame, columns: dict[str, str]) -> DataFrame:
     return base.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
+def dealt(base: DataFrame, key: str) -> DataFrame:
+    """``base`` dealt over tasks by a key, before its rows are made into much longer ones.
+
+    The number of tasks is given, because Spark would put short rows together again.
+    """
+    return base.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def derived_sql(columns: dict[str, str], base: str) -> str:
     return "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + f" FROM {base}"
 
@@ -171,7 +179,7 @@ def ack_facts(facts: DataFrame) -> DataFrame:
 
 def messages(orders: DataFrame) -> DataFrame:
     """Raw messages ``(file_name, load_ts, raw_xml)``: transfers and acknowledgements."""
-    facts = payment_facts(orders)
+    facts = dealt(payment_facts(orders), "k")
     transfers = derive(facts.selectExpr(*_with(PAYMENT_TEXTS)), TRANSFER_MESSAGES)
     acks = derive(ack_facts(facts).selectExpr(*_with(ACK_TEXTS)), ACK_MESSAGES)
     return transfers.unionByName(acks).withColumn(

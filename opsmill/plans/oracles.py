@@ -664,6 +664,15 @@ SNAPSHOT_REGRESSION = " UNION ALL ".join(
 )
 CATALOG_INVENTORY = "SELECT CAST(3 AS BIGINT) AS tables, CAST(1 AS BIGINT) AS views"
 
+STREAM_GRAPH = f"""
+WITH counted AS (
+  SELECT 'transfers' AS name, count(*) AS rows FROM ({PAY_PARSE_008}) AS t
+  UNION ALL SELECT 'acks', count(*) FROM ({PAY_PARSE_002}) AS t
+  UNION ALL SELECT 'joined', count(*) FROM ({PAY_STATUS_JOIN}) AS t
+)
+SELECT name, TRUE AS after_inputs, CAST(2 AS BIGINT) AS batches, CAST(3600 AS DOUBLE) AS lag_seconds, TRUE AS in_lag, rows FROM counted
+"""
+
 ORACLES: dict[str, str] = {
     "iot_geo_join": IOT_GEO_JOIN,
     "iot_hourly": IOT_HOURLY,
@@ -716,4 +725,5 @@ ORACLES: dict[str, str] = {
     "stream_parse_008": PAY_PARSE_008,
     "stream_parse_002": PAY_PARSE_002,
     "stream_status_join": PAY_STATUS_JOIN,
+    "stream_graph": STREAM_GRAPH,
 }

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsmill import places
 from opsmill.functions.text import (
     domain_prefix,
     fill_tight,
@@ -35,6 +36,7 @@ from opsmill.session import fresh_path, materialize
 from opsmill.sources import catalog, files, generators
 from opsmill.sources.geo import sensor_places
 from opsmill.streaming import refresh
+from opsmill.streaming.graph import RefreshGraph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,7 +140,20 @@ def deps_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw message table, written once as it is when messages land."""
-    return materialize(inputs.messages(table(spark, sf_dir, "orders")), "messages")
+    return spark.read.schema(refresh.MESSAGE_SCHEMA).parquet(_message_folder(spark, sf_dir))
+
+
+_MESSAGE_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def _message_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Where the messages of these test tables are; one folder serves all queries of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MESSAGE_FOLDERS or not places.exists(spark, f"{_MESSAGE_FOLDERS[key]}/_SUCCESS"):
+        path = fresh_path(spark, "messages")
+        inputs.messages(table(spark, sf_dir, "orders")).write.parquet(path)
+        _MESSAGE_FOLDERS[key] = path
+    return _MESSAGE_FOLDERS[key]
 
 
 def _transfer_output(parsed: DataFrame) -> DataFrame:
@@ -367,7 +382,7 @@ def dq_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _junit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = derive(table(spark, sf_dir, "orders"), inputs.JUNIT_FACTS)
+    facts = derive(inputs.dealt(table(spark, sf_dir, "orders"), "o_orderkey"), inputs.JUNIT_FACTS)
     texts = facts.selectExpr("*", *[f"{sql} AS {n}" for n, sql in inputs.JUNIT_TEXTS.items()])
     return reports.convert_junit(derive(texts, inputs.JUNIT_FILES))
 
@@ -461,7 +476,7 @@ def render_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ddl_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.format_ddl(derive(table(spark, sf_dir, "part"), inputs.DDL))
+    return scripts.format_ddl(derive(inputs.dealt(table(spark, sf_dir, "part"), "p_partkey"), inputs.DDL))
 
 
 @query
@@ -585,9 +600,7 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "landing")
-    inputs.messages(table(spark, sf_dir, "orders")).write.parquet(path)
-    return refresh.stream_table(spark, path, refresh.MESSAGE_SCHEMA, files_per_trigger=8)
+    return refresh.stream_table(spark, _message_folder(spark, sf_dir), refresh.MESSAGE_SCHEMA, files_per_trigger=8)
 
 
 @query
@@ -623,3 +636,20 @@ def stream_status_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         lag=None,
     ).awaitTermination()
     return _joined_output(refresh.current_status_join(spark, target))
+
+
+@query
+def stream_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three maintained tables, two of them inputs of the third, fed twice: order, batch, lag and rows."""
+    raw, landing = _messages(spark, sf_dir), fresh_path(spark, "landing")
+    graph = RefreshGraph(spark, fresh_path(spark, "graph"), refresh.payment_tables())
+    progress = fresh_path(spark, "progress")
+    for half in (0, 1):
+        raw.where(F.pmod(F.xxhash64("file_name"), F.lit(2)) == half).write.mode("append").parquet(landing)
+        graph.start(refresh.stream_table(spark, landing, refresh.MESSAGE_SCHEMA), progress, once=True).awaitTermination()
+    rows = {"transfers": graph.read("transfers"), "acks": graph.read("acks"), "joined": refresh.latest_status(graph.read("joined"))}
+    counts = [df.select(F.lit(name).alias("name")).groupBy("name").agg(F.count("*").alias("rows")) for name, df in rows.items()]
+    status = graph.status().withColumn("after_inputs", (F.col("place") == 2) == (F.col("name") == "joined"))
+    return status.join(reduce(DataFrame.unionByName, counts), "name").select(
+        "name", "after_inputs", (F.col("batch") + 1).alias("batches"), F.col("lag").alias("lag_seconds"), "in_lag", "rows"
+    )

@@ -6,13 +6,17 @@ table may be behind; None processes what is there and stops.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from opsmill.operators.payments import joined_columns, parse_acknowledgements, parse_transfers
+from opsmill.operators.payments import joined_columns, parse_acknowledgements, parse_transfers, status_pairs
 from opsmill.sources.files import as_messages
+from opsmill.streaming.graph import BASE, Batch, Maintained, RefreshGraph
+from opsmill.streaming.runs import ORDER, RunTable
 
 MESSAGE_SCHEMA = "file_name string, load_ts timestamp, raw_xml string"
 DEFAULT_LAG = "60 minutes"
@@ -69,8 +73,9 @@ def maintain_hourly(
 ) -> StreamingQuery:
     """Keep hourly means up to date; read them with ``current_hourly``.
 
-    Each batch writes the hours it changed. Without ``lateness`` any reading
-    still counts, and the state keeps one row per sensor and hour; with it,
+    Each batch writes the hours it changed, as a run of the target; runs are merged so that what
+    is stored and read goes by the number of hours, not of batches. Without ``lateness`` any
+    reading still counts, and the state keeps one row per sensor and hour; with it,
     hours older than that are closed and leave the state.
     """
     if lateness is not None:
@@ -79,31 +84,67 @@ def maintain_hourly(
         F.avg("reading_value").alias("avg_value"), F.count("*").alias("cnt")
     ).select("sensor_id", F.col("window.start").alias("hour_ts"), "avg_value", "cnt")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
-    writer = hours.writeStream.outputMode("update").foreachBatch(write)
+    table = hourly_table(readings.sparkSession, target)
+    writer = hours.writeStream.outputMode("update").foreachBatch(table.commit)
     return _start(writer.option("checkpointLocation", checkpoint), lag)
 
 
+def _latest_hours(rows: DataFrame) -> DataFrame:
+    """Of the runs' values of a sensor and hour, the newest."""
+    latest = F.max_by(F.struct("avg_value", "cnt"), ORDER).alias("_now")
+    return rows.groupBy("sensor_id", "hour_ts").agg(latest).select("sensor_id", "hour_ts", "_now.avg_value", "_now.cnt")
+
+
+def hourly_table(spark: SparkSession, target: str) -> RunTable:
+    return RunTable(spark, target, merged=_latest_hours)
+
+
 def current_hourly(spark: SparkSession, target: str) -> DataFrame:
     """The latest value of each sensor and hour."""
-    latest = F.max_by(F.struct("avg_value", "cnt"), "batch_id").alias("_now")
-    return (
-        spark.read.parquet(target)
-        .groupBy("sensor_id", "hour_ts")
-        .agg(latest)
-        .select("sensor_id", "hour_ts", "_now.avg_value", "_now.cnt")
+    return hourly_table(spark, target).read()
+
+
+#: Folders into which the rows of a maintained payment table are dealt, by their message.
+BUCKETS = 64
+
+
+def _in_buckets(rows: DataFrame, message: str) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(message), F.lit(BUCKETS)).cast("int"))
+
+
+def _added_status(batch: Batch) -> DataFrame:
+    """The transfers of a batch, and the pairs that it completes.
+
+    New transfers meet all acknowledgements, new acknowledgements the older transfers, however old.
+    Of the older rows only the folders are read in which the new ones can have partners.
+    """
+
+    def older(name: str, other: str) -> DataFrame:
+        return batch.before(name).where(F.col("bucket").isin([int(b) for b in batch.folders(other) if b.isdigit()]))
+
+    transfers, acks = batch.new("transfers"), batch.new("acks")
+    pairs = status_pairs(transfers, older("acks", "transfers").unionByName(acks)).unionByName(
+        status_pairs(older("transfers", "acks"), acks)
     )
+    silent = transfers.alias("p").select(F.col("p.transaction_id").alias("transaction_id"), *joined_columns(False))
+    return pairs.withColumn("part", F.lit("pair")).unionByName(silent.withColumn("part", F.lit("transfer")))
 
 
-def _match_keys(kind_columns: dict[str, Column], message: Column) -> Column:
-    """The keys under which a row can be found: its message with each reference it has."""
-    keys = [
-        F.when(message.isNotNull() & ref.isNotNull(), F.struct(F.lit(kind).alias("kind"), message.alias("message"), ref.alias("ref")))
-        for kind, ref in kind_columns.items()
+def payment_tables(
+    transfers: Callable[[DataFrame], DataFrame] = parse_transfers,
+    acks: Callable[[DataFrame], DataFrame] = parse_acknowledgements,
+    lag: float | None = 3600,
+    **joined: object,
+) -> list[Maintained]:
+    """The two tables of parsed messages and the status join built on them.
+
+    The functions take the rows of the base. The join decides how fresh the other two must be.
+    """
+    return [
+        Maintained("joined", ("transfers", "acks"), _added_status, lag, ("part",), **joined),
+        Maintained("transfers", (BASE,), lambda b: _in_buckets(transfers(b.base), "message_id"), None, ("bucket",)),
+        Maintained("acks", (BASE,), lambda b: _in_buckets(acks(b.base), "original_message_id"), None, ("bucket",)),
     ]
-    return F.explode(F.array_compact(F.array(*keys)))
 
 
 def maintain_status_join(
@@ -115,38 +156,32 @@ def maintain_status_join(
 ) -> StreamingQuery:
     """Keep the join of two streams of parsed rows up to date, with no time bound.
 
-    Both sides are kept in the state store under message *and* reference, so that a batch
-    reads and writes what is new and its matches, and a message id that many rows share is
-    spread by their references. Nothing that is written changes later: a batch appends its
+    Nothing is in the state store: the rows of both sides are tables of runs below the target,
+    dealt into folders by their message, and a batch looks its new rows up in them.
+    Nothing that is written changes later: a batch appends its
     transfers and its new pairs, and ``current_status_join`` finds the transfers that
-    have no pair. The sink's log makes a batch visible as a whole or not at all, and a
-    replayed batch counts once. How the state is dealt out is part of the checkpoint.
+    have no pair. A version makes a batch visible as a whole or not at all, and a
+    replayed batch counts once.
     """
-    p = transfers.withColumn(
-        "_key",
-        _match_keys({"end": F.col("end_to_end_id"), "txn": F.col("transaction_id")}, F.col("message_id")),
-    ).alias("p")
-    a = acks.withColumn(
-        "_key",
-        _match_keys(
-            {"end": F.col("original_end_to_end_id"), "txn": F.col("original_transaction_id")},
-            F.col("original_message_id"),
-        ),
-    ).alias("a")
-    same_end = F.coalesce(F.col("p.end_to_end_id") == F.col("a.original_end_to_end_id"), F.lit(False))
-    once = (F.col("p._key.kind") == "end") | ~same_end
-    pairs = p.join(a, F.col("p._key") == F.col("a._key")).where(once)
-    transaction = F.col("p.transaction_id").alias("transaction_id")
-    rows = pairs.select(F.lit("pair").alias("part"), transaction, *joined_columns(True)).unionByName(
-        transfers.alias("p").select(F.lit("transfer").alias("part"), transaction, *joined_columns(False))
+    both = transfers.select(F.struct("*").alias("p")).unionByName(
+        acks.select(F.struct("*").alias("a")), allowMissingColumns=True
     )
-    writer = rows.writeStream.format("parquet").partitionBy("part").option("path", target)
-    return _start(writer.option("checkpointLocation", checkpoint), lag)
+    tables = payment_tables(
+        lambda base: base.where("p IS NOT NULL").select("p.*"),
+        lambda base: base.where("a IS NOT NULL").select("a.*"),
+        folder=target, merge_below=0,
+    )
+    graph = RefreshGraph(transfers.sparkSession, f"{target}/_inputs", tables)
+    return _start(both.writeStream.foreachBatch(graph.refresh).option("checkpointLocation", checkpoint), lag)
 
 
 def current_status_join(spark: SparkSession, target: str) -> DataFrame:
     """The pairs, and the transfers whose ids are in no pair."""
-    rows = spark.read.parquet(target)
+    return latest_status(RunTable(spark, target).read())
+
+
+def latest_status(rows: DataFrame) -> DataFrame:
+    """The pairs, and the transfers whose ids are in no pair, of a maintained status join."""
     ids = ["pacs008_message_id", "pacs008_end_to_end_id", "transaction_id"]
     # A struct is never NULL itself, so that missing ids compare equal.
     rows = rows.withColumn("_ids", F.struct(*ids))
