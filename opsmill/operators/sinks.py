@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from hashlib import sha256
+from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, StructType
+
+from opsmill import places
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
@@ -99,22 +104,74 @@ def _create_views(spark: SparkSession, schema: str, target: str, views: dict[str
         spark.catalog.setCurrentDatabase(current)
 
 
+def _leaves(spark: SparkSession, place: str, layout: str, schema: StructType, depth: int) -> dict[str, str]:
+    """The folders of a table that hold files, from below its place, each with the name of its copy.
+
+    The name is a digest of the table's layout and of the names, sizes and times of the folder's files.
+    """
+    files: dict[str, list] = {}
+    for entry in places.files_below(spark, place):
+        parts = entry.path.rsplit("/", depth + 1)[1:-1]
+        files.setdefault("/".join(parts), []).append((entry.name, entry.size, entry.modified))
+    shape = [layout, schema.json()]
+    return {leaf: sha256(json.dumps([shape, sorted(f)]).encode()).hexdigest()[:32] for leaf, f in files.items()}
+
+
+def _copy_leaves(
+    spark: SparkSession, source: str, place: str, layout: str, copies: str, leaves: dict[str, str], parts: list[str]
+) -> None:
+    """Copy the folders of a table that have no copy yet, in one job."""
+    new = {leaf: name for leaf, name in leaves.items() if not places.exists(spark, f"{copies}/{name}/_SUCCESS")}
+    if not new:
+        return
+    draft = f"{copies}/_draft-{uuid.uuid4().hex}"
+    path = F.split(F.col("_metadata.file_path"), "/")
+    leaf = F.array_join(F.slice(path, -1 - len(parts), len(parts)), "/") if parts else F.lit("")
+    known = spark.createDataFrame(list(new.items()), "_leaf string, _copy string")
+    rows = spark.table(source)
+    if parts and len(new) < len(leaves) and layout in ("parquet", "orc"):
+        # Only the folders that have changed are read. Other formats may have options of their table.
+        reader = spark.read.format(layout).schema(rows.schema).option("basePath", place)
+        rows = reader.load([f"{place}/{leaf}" for leaf in sorted(new)])
+    # Paths in the metadata are encoded as in a URL.
+    kept = rows.withColumn("_leaf", F.url_decode(F.replace(leaf, F.lit("+"), F.lit("%2B"))))
+    changed = kept.join(known, "_leaf").drop("_leaf", *parts)
+    changed.write.format(layout).partitionBy("_copy").save(draft)
+    for name in new.values():
+        # A folder whose files hold no rows has no part in the draft.
+        places.move_folder(spark, f"{draft}/_copy={name}", f"{copies}/{name}")
+        places.publish(spark, f"{copies}/{name}/_SUCCESS", "")
+    places.delete(spark, draft)
+
+
+def _partition_clause(leaf: str, copy: str) -> str:
+    pairs = [piece.split("=", 1) for piece in leaf.split("/")]
+    values = ["NULL" if v == "__HIVE_DEFAULT_PARTITION__" else _quoted(unquote(v)) for _, v in pairs]
+    return f"PARTITION ({', '.join(f'`{unquote(n)}` = {v}' for (n, _), v in zip(pairs, values))}) LOCATION '{copy}'"
+
+
 def snapshot_schema(
     spark: SparkSession, schema: str, release: str, location: str | None = None
 ) -> str:
-    """Copy the tables and views of ``schema`` to its release snapshot, replacing an older one.
-
-    Tables keep format, partitioning and comment; views are created again over the
-    copies. All data is written first, into a folder of its own (below ``location``
-    or the warehouse); only then the older snapshot is dropped and the new one
-    registered, so that a copy that fails leaves the older one as it was. Tables are
-    copied by Spark, file by file in parallel; the loop is over catalogue entries.
+    """Keep the tables and views of ``schema`` as a release snapshot, replacing an older one.
+
+    All snapshots of a schema below one ``location`` (the warehouse, if not given) share copies. What is
+    copied is a folder of a table (the table, or one of its partitions); its copy is named by what
+    is in it, so that a release copies only folders that have changed since any release that is
+    still there, and the others are referred to. Tables keep format, partitioning and comment; views are
+    created again over the copies.
+
+    A release says first which copies it needs, which keeps them from being swept; then they
+    are made, and only then is the older snapshot dropped and the new one registered, so that
+    a copy that fails leaves the older one as it was. Rows are copied by Spark, one job for
+    each table that has changed; the loops are over catalogue entries and folders.
     """
     target = snapshot_name(schema, release)
     if target == schema:
         raise ValueError("a snapshot needs a release other than 0")
-    above = location or f"{spark.conf.get('spark.sql.warehouse.dir')}/{target}.db"
-    folder = f"{above.rstrip('/')}/{uuid.uuid4().hex}"
+    above = location or spark.conf.get("spark.sql.warehouse.dir")
+    shared = f"{above.rstrip('/')}/{schema}.copies"
+    folder = f"{shared}/releases/{uuid.uuid4().hex}"
     tables, views = {}, {}
     for table in spark.catalog.listTables(schema):
         if table.isTemporary:
@@ -125,29 +182,63 @@ def snapshot_schema(
             views[table.name] = details
             continue
         parts = [c.name for c in spark.catalog.listColumns(source) if c.isPartition]
-        layout = details.get("Provider", "parquet")
-        writer = spark.table(source).write.format(layout)
-        (writer.partitionBy(*parts) if parts else writer).save(f"{folder}/{table.name}")
-        tables[table.name] = (spark.table(source).schema, layout, parts, details.get("Comment"))
+        layout, fields = details.get("Provider", "parquet"), spark.table(source).schema
+        leaves = _leaves(spark, details["Location"], layout, fields, len(parts))
+        tables[table.name] = (fields, layout, parts, details, leaves)
+    named = {name: sorted(set(leaves.values())) for name, (*_, leaves) in tables.items()}
+    places.publish(spark, f"{folder}/release.json", json.dumps({"release": target, "copies": named}))
+    try:
+        for name, (_, layout, parts, details, leaves) in tables.items():
+            _copy_leaves(
+                spark, f"`{schema}`.`{name}`", details["Location"], layout, f"{shared}/tables/{name}", leaves, parts
+            )
+    except Exception:
+        places.delete(spark, folder)
+        _sweep_copies(spark, shared)
+        raise
     drop_snapshot(spark, schema, release)
     spark.sql(f"CREATE DATABASE `{target}` LOCATION '{folder}'")
-    for name, (fields, layout, parts, comment) in tables.items():
-        copy = f"`{target}`.`{name}`"
-        spark.catalog.createTable(copy, path=f"{folder}/{name}", source=layout, schema=None if parts else fields)
+    for name, (fields, layout, parts, details, leaves) in tables.items():
+        copy, copies = f"`{target}`.`{name}`", f"{shared}/tables/{name}"
+        whole = f"{folder}/{name}" if parts or not leaves else f"{copies}/{leaves['']}"
+        dealt = f" PARTITIONED BY ({', '.join(f'`{p}`' for p in parts)})" if parts else ""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        spark.sql(f"CREATE TABLE {copy} ({columns}) USING {layout}{dealt} LOCATION '{whole}'")
         if parts:
-            spark.catalog.recoverPartitions(copy)
-        if comment:
-            spark.sql(f"COMMENT ON TABLE {copy} IS {_quoted(comment)}")
+            clauses = [_partition_clause(leaf, f"{copies}/{own}") for leaf, own in sorted(leaves.items())]
+            for k in range(0, len(clauses), 200):
+                spark.sql(f"ALTER TABLE {copy} ADD {' '.join(clauses[k : k + 200])}")
+        if details.get("Comment"):
+            spark.sql(f"COMMENT ON TABLE {copy} IS {_quoted(details['Comment'])}")
     _create_views(spark, schema, target, views)
     return target
 
 
+def _sweep_copies(spark: SparkSession, shared: str) -> None:
+    """Delete the copies that no release of a schema needs."""
+    needed: set[tuple[str, str]] = set()
+    for entry in places.entries(spark, f"{shared}/releases"):
+        if places.exists(spark, f"{entry.path}/release.json"):
+            held = json.loads(places.read_text(spark, f"{entry.path}/release.json"))["copies"]
+            needed |= {(table, name) for table, names in held.items() for name in names}
+    for table in places.entries(spark, f"{shared}/tables"):
+        for copy in places.entries(spark, table.path):
+            if (table.name, copy.name) not in needed:
+                places.delete(spark, copy.path)
+
+
 def drop_snapshot(spark: SparkSession, schema: str, release: str) -> None:
-    """Drop a release snapshot with its tables, if there is one."""
+    """Drop a release snapshot, if there is one, with the copies that no other release needs."""
     target = snapshot_name(schema, release)
     if target == schema:
         raise ValueError("a snapshot needs a release other than 0")
-    spark.sql(f"DROP DATABASE IF EXISTS `{target}` CASCADE")
+    if not spark.catalog.databaseExists(target):
+        return
+    folder = spark.catalog.getDatabase(target).locationUri.rstrip("/")
+    spark.sql(f"DROP DATABASE `{target}` CASCADE")
+    if "/releases/" in folder:
+        places.delete(spark, folder)
+        _sweep_copies(spark, folder.rsplit("/releases/", 1)[0])
 
 
 def stamped(df: DataFrame, column: str, now: Column | None = None) -> DataFrame:

@@ -86,3 +86,15 @@ def publish(spark: SparkSession, path: str, text: str) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     system, place = _opened(spark, path)
     system.delete(place, True)
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Put a folder in its place; an empty one if there is none, and nothing of an older one stays."""
+    system, place = _opened(spark, target)
+    system.delete(place, True)
+    system.mkdirs(place.getParent())
+    origin = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    if not system.exists(origin):
+        system.mkdirs(place)
+    elif not system.rename(origin, place):
+        raise OSError(f"{source} could not become {target}")

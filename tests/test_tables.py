@@ -139,3 +139,40 @@ def test_a_failed_copy_leaves_the_older_snapshot(spark, tmp_path):
     assert spark.table("kept_1.a").count() == 4
     sinks.drop_snapshot(spark, "kept", "1")
     spark.sql("DROP DATABASE kept CASCADE")
+
+
+def test_a_release_copies_only_what_has_changed(spark, tmp_path):
+    def stored():
+        found = {p.relative_to(tmp_path) for p in (tmp_path / "grown.copies" / "tables").rglob("part-*")}
+        return {(p.parts[2], p.parts[3]) for p in found}
+
+    spark.sql("CREATE DATABASE grown")
+    rows = spark.range(90).selectExpr("id", "CASE id % 3 WHEN 0 THEN 'a b' WHEN 1 THEN 'x=%/+' END AS kind", "id % 2 AS n")
+    rows.write.partitionBy("kind", "n").saveAsTable("grown.events")
+    rows.write.saveAsTable("grown.whole")
+    spark.range(0).write.saveAsTable("grown.none")
+    spark.sql("CREATE VIEW grown.odd AS SELECT id FROM grown.events WHERE n = 1")
+    sinks.snapshot_schema(spark, "grown", "1", location=str(tmp_path))
+    first = stored()
+    assert len(first) == 7  # six partitions, and the table without
+    sinks.snapshot_schema(spark, "grown", "2", location=str(tmp_path))
+    assert stored() == first
+    spark.sql("INSERT INTO grown.events VALUES (100, 'a b', 1)")
+    sinks.snapshot_schema(spark, "grown", "3", location=str(tmp_path))
+    assert len(stored() - first) == 1 and first <= stored()
+    for release, count in (("1", 90), ("2", 90), ("3", 91)):
+        kept = spark.table(f"grown_{release}.events")
+        assert kept.count() == count and kept.columns == ["id", "kind", "n"]
+        assert kept.where("kind IS NULL").count() == 30 and kept.where("kind = 'x=%/+' AND n = 1").count() == 15
+        assert spark.table(f"grown_{release}.odd").count() == count - 45
+        assert spark.table(f"grown_{release}.whole").exceptAll(rows).isEmpty()
+        assert spark.table(f"grown_{release}.none").columns == ["id"]
+    plan = spark.table("grown_3.events").where("n = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(n" in plan
+    spark.sql("DROP DATABASE grown CASCADE")
+    sinks.drop_snapshot(spark, "grown", "1")
+    sinks.drop_snapshot(spark, "grown", "3")
+    assert stored() == first
+    assert spark.table("grown_2.events").count() == 90 and spark.table("grown_2.odd").count() == 45
+    sinks.drop_snapshot(spark, "grown", "2")
+    assert stored() == set()
