@@ -721,6 +721,10 @@ ORACLES: dict[str, str] = {
     "snapshot_roundtrip": SNAPSHOT_ROUNDTRIP,
     "snapshot_regression": SNAPSHOT_REGRESSION,
     "catalog_inventory": CATALOG_INVENTORY,
+    "csv_load_twice": """
+SELECT c_mktsegment, count(*) AS rows, count(DISTINCT c_custkey) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance
+FROM customer WHERE c_custkey % 9 <> 0 GROUP BY 1
+""",
     "stream_hourly": IOT_HOURLY,
     "stream_parse_008": PAY_PARSE_008,
     "stream_parse_002": PAY_PARSE_002,

@@ -35,6 +35,7 @@ from opsmill.plans.inputs import derive, table
 from opsmill.session import fresh_path, materialize
 from opsmill.sources import catalog, files, generators
 from opsmill.sources.geo import sensor_places
+from opsmill.sources.loads import StageTable
 from opsmill.streaming import refresh
 from opsmill.streaming.graph import RefreshGraph
 
@@ -517,6 +518,25 @@ def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
 
 
+@query
+def csv_load_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a stage in two parts, each loaded twice: every row once, and what a load did."""
+    customer = table(spark, sf_dir, "customer")
+    spoiled = customer.withColumn(
+        "c_acctbal", F.when(F.col("c_custkey") % 9 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    )
+    stage = fresh_path(spark, "stage")
+    loaded = StageTable(spark, fresh_path(spark, "loaded"), CUSTOMER_SCHEMA)
+    for half in (0, 1):
+        sinks.write_csv(spoiled.where(F.col("c_custkey") % 2 == half), f"{stage}/half_{half}")
+        for _ in range(2):
+            loaded.load(stage)
+    return loaded.read().groupBy("c_mktsegment").agg(
+        F.count("*").alias("rows"), F.count_distinct("c_custkey").alias("customers"),
+        F.sum("c_acctbal").cast("double").alias("balance"),
+    )
+
+
 def _new_schema(spark: SparkSession, label: str) -> tuple[str, str]:
     location = fresh_path(spark, label)
     name = location.rsplit("/", 1)[-1].replace("-", "_")

@@ -55,12 +55,18 @@ def read_messages(spark: SparkSession, path: str, strip_outer: bool = False) ->
     return as_messages(_whole_texts(spark, path, "*.xml"), strip_outer)
 
 
+def plain_path(path: Column) -> Column:
+    """A path as file systems write it, of one that is encoded as in a URL."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
 def read_stage_csv_with_rejects(
-    spark: SparkSession, path: str, schema: str, header: bool = True
+    spark: SparkSession, path: str | list[str], schema: str, header: bool = True, source: str | None = None
 ) -> DataFrame:
     """Comma-separated landing files; ``_rejected`` holds the text of rows that do not fit.
 
-    Fields are read as text and cast here, so whether a row fits depends on all
+    ``source`` names a column for the file that a row is from. Fields are read as text and cast here, so whether a row fits depends on all
     its fields and never on the columns a query happens to read.
     """
     fields = DataType.fromDDL(schema).fields
@@ -79,6 +85,7 @@ def read_stage_csv_with_rejects(
     return raw.select(
         *[value.alias(f.name) for f, value in zip(fields, typed)],
         F.when(misfit, text).alias("_rejected"),
+        *([] if source is None else [plain_path(F.col("_metadata.file_path")).alias(source)]),
     )
 
 

@@ -50,6 +50,9 @@ class Version:
     increment: Run | None = None
     #: The table's columns, as JSON.
     schema: str = ""
+    #: Runs and columns of a smaller table that goes with this one, such as what has been loaded.
+    beside: list[Run] = field(default_factory=list)
+    beside_schema: str = ""
 
 
 def appended(rows: DataFrame) -> DataFrame:
@@ -77,9 +80,9 @@ class RunTable:
         if len(paths) <= back:
             return Version()
         raw = json.loads(places.read_text(self.spark, paths[-1 - back]))
-        runs = [Run(**r) for r in raw.pop("runs")]
+        runs, beside = ([Run(**r) for r in raw.pop(name)] for name in ("runs", "beside"))
         increment = raw.pop("increment")
-        return Version(**raw, runs=runs, increment=Run(**increment) if increment else None)
+        return Version(**raw, runs=runs, beside=beside, increment=Run(**increment) if increment else None)
 
     def rows(self, runs: list[Run], schema: StructType) -> DataFrame:
         """The rows of some runs, with their order."""
@@ -95,25 +98,40 @@ class RunTable:
         rows = self.rows(now.runs, StructType.fromJson(json.loads(now.schema)))
         return self.merged(rows) if len(now.runs) > 1 else rows.drop(ORDER)
 
-    def _write(self, rows: DataFrame) -> Run:
+    def read_beside(self) -> DataFrame | None:
+        """The table that goes with this one, as the same version has it; None if there is no version."""
+        now = self.version()
+        if not now.beside:
+            return None
+        return self.rows(now.beside, StructType.fromJson(json.loads(now.beside_schema))).drop(ORDER)
+
+    def _write(self, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> Run:
         path = f"{self.folder}/run={uuid.uuid4().hex}"
         # Small parts are put together, large ones split, by their measured size.
-        writer = rows.hint("rebalance", *self.partition_by).write
-        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(path)
+        writer = rows.hint("rebalance", *partition_by).write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return Run(path, places.bytes_below(self.spark, path))
 
-    def commit(self, rows: DataFrame, batch: int, began: float = 0.0) -> Version:
+    def _taken_in(self, runs: list[Run], added: Run, schema: StructType, merged: Callable, partition_by: tuple = ()) -> list[Run]:
+        """The runs with a new one, which takes in those before it that are not much larger."""
+        runs, taken, size = list(runs), [added], added.size
+        while runs and runs[-1].size < 2 * size and (self.merge_below is None or runs[-1].size < self.merge_below):
+            taken.insert(0, runs.pop())
+            size += taken[0].size
+        return [*runs, self._write(merged(self.rows(taken, schema)), partition_by) if len(taken) > 1 else added]
+
+    def commit(self, rows: DataFrame, batch: int, began: float = 0.0, beside: DataFrame | None = None) -> Version:
         """Add the rows of a batch and make them visible; a batch that is in already changes nothing."""
         now = self.version()
         if now.batch >= batch:
             return now
-        added = self._write(rows)
-        runs, taken, size = list(now.runs), [added], added.size
-        while runs and runs[-1].size < 2 * size and (self.merge_below is None or runs[-1].size < self.merge_below):
-            taken.insert(0, runs.pop())
-            size += taken[0].size
-        runs.append(self._write(self.merged(self.rows(taken, rows.schema))) if len(taken) > 1 else added)
-        new = Version(now.number + 1, batch, began, runs, added, rows.schema.json())
+        added = self._write(rows, self.partition_by)
+        runs = self._taken_in(now.runs, added, rows.schema, self.merged, self.partition_by)
+        others, columns = now.beside, now.beside_schema
+        if beside is not None:
+            others = self._taken_in(others, self._write(beside), beside.schema, appended)
+            columns = beside.schema.json()
+        new = Version(now.number + 1, batch, began, runs, added, rows.schema.json(), others, columns)
         places.publish(self.spark, f"{self.folder}/_versions/{new.number:012d}.json", json.dumps(asdict(new)))
         self._sweep()
         return new
@@ -123,7 +141,8 @@ class RunTable:
         named = set()
         for back in range(min(KEPT, len(paths))):
             version = self.version(back)
-            named |= {r.path.rsplit("/", 1)[-1] for r in [*version.runs, *filter(None, [version.increment])]}
+            held = [*version.runs, *version.beside, *filter(None, [version.increment])]
+            named |= {r.path.rsplit("/", 1)[-1] for r in held}
         for path in paths[:-KEPT]:
             places.delete(self.spark, path)
         for entry in places.entries(self.spark, self.folder):
