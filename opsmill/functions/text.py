@@ -75,3 +75,45 @@ def release_name(schema: Column, release: Column) -> Column:
 def domain_prefix(name: Column) -> Column:
     """The part before the first underscore; empty when there is none."""
     return F.left(name, F.locate("_", name) - 1)
+
+
+def _block_comment(depth: int) -> str:
+    """A pattern for a block comment with others inside, up to a depth; it takes nothing back, so it is linear."""
+    inner = rf"|{_block_comment(depth - 1)}" if depth else ""
+    return rf"/\*(?:[^*/]++|\*(?!/){inner}|/(?!\*))*+\*/"
+
+
+#: Depth to which block comments are followed inside each other.
+COMMENT_DEPTH = 8
+_TOKEN = "(?s)" + "|".join(
+    [
+        r"'(?:[^'\\]++|\\.)*+'",
+        r'"[^"]*+"',
+        r"\$\$.*?\$\$",
+        r"--[^\n]*+",
+        _block_comment(COMMENT_DEPTH),
+        r"/\*.*+",
+        r"[^'\"$/-]++",
+        ".",
+    ]
+)
+_HELD = "\ue000"
+
+
+def split_statements(text: Column) -> Column:
+    """The statements of a script: its code between semicolons.
+
+    A semicolon in a string, a quoted name, a dollar-quoted text or a comment (block comments
+    may hold others) does not end a statement. Comments become blanks, with their line breaks kept, so that
+    words in them are no code and lines keep their numbers. A quote that is never closed is a
+    character like any other; a block comment that is never closed lasts to the end.
+    """
+    is_comment = lambda t: t.startswith("--") | t.startswith("/*")
+    is_quoted = lambda t: (F.length(t) > 1) & F.substring(t, 1, 1).isin("'", '"', "$")
+    code = F.transform(
+        F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)),
+        lambda t: F.when(is_comment(t), F.regexp_replace(t, r"[^\n]+", " "))
+        .when(is_quoted(t), F.translate(t, ";", _HELD))
+        .otherwise(t),
+    )
+    return F.transform(F.split(F.array_join(code, ""), ";"), lambda s: F.translate(s, _HELD, ";"))

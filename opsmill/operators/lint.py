@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsmill.functions.text import strip_space
+from opsmill.functions.text import split_statements, strip_space
 from opsmill.operators.lint_rules import (
     EXTERNAL_SEVERITY,
     SKIPPED_CODES,
@@ -101,14 +101,15 @@ def scan_scripts(scripts: DataFrame, rules: list[Rule] | None = None) -> DataFra
     return scan_lines(split_lines(scripts), rules)
 
 
-def scan_statements(scripts: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+def scan_statements(scripts: DataFrame, rules: list[Rule] | None = None, code: bool = False) -> DataFrame:
     """Findings of statement rules, with the statement's number and the line on which it starts.
 
-    A statement starts at its first visible character. All text before it is
-    counted inside the row, once per script.
+    Scripts are split at every semicolon; with ``code`` only where a statement ends, and
+    comments count as blanks (``split_statements``). A statement starts at its first visible
+    character. All text before it is counted inside the row, once per script.
     """
     rules = STATEMENT_RULES if rules is None else rules
-    pieces = scripts.select("file", F.split("text", ";").alias("_pieces"))
+    pieces = scripts.select("file", (split_statements(F.col("text")) if code else F.split("text", ";")).alias("_pieces"))
     blank = r"^[ \t\n\x0b\f\r]*"
 
     def breaks(text: Column) -> Column:

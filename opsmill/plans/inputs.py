@@ -221,6 +221,20 @@ SCRIPTS = {
     "text": f"concat({_head_sql()}, {_BODY})",
 }
 
+# Scripts in which semicolons and rule words also stand in strings and comments.
+_QUOTING = [
+    "/* a; /* inside; DEFINE TABLE i; */ out;",
+    "*/ DEFINE VIEW quoted_{doc_id} AS SELECT 'a;''b' -- COMMENT; TARGET_LAG",
+    ";SELECT $$ DEFINE TABLE d; $$, \"x;y\";",
+    "-- DEFINE TABLE c;",
+    "  DEFINE TABLE spoken_{doc_id} (a INT) COMMENT = 'one; two';CREATE DYNAMIC TABLE late_{doc_id} /* TARGET_LAG;",
+    "*/ AS SELECT 1;",
+]
+QUOTED_SCRIPTS = {
+    "file": SCRIPTS["file"],
+    "text": "concat(" + ", chr(10), ".join(text_sql(line) for line in _QUOTING) + f", chr(10), {SCRIPTS['text']})",
+}
+
 # External linter output from events, as JSON text with two violations each.
 _EXTERNAL_PATH = (
     "CASE event_id % 10 WHEN 0 THEN 'sources/definitions/' WHEN 1 THEN 'build/out/' WHEN 2 THEN 'a/.scannerwork/' ELSE 'src/' END"

@@ -408,6 +408,27 @@ UNION ALL
 SELECT file, 'ML02', 'CRITICAL', statement, line FROM placed
 WHERE {_has(r"(?is)^\s*(CREATE\s+(OR\s+REPLACE\s+)?|DEFINE\s+)DYNAMIC\s+TABLE\s")} AND {_lacks(r"(?is)DYNAMIC\s+TABLE\s+.*\bTARGET_LAG\b")}
 """
+_SQL_TOKEN = (
+    r"""'(?s)''(?:[^''\\]|\\.)*''|"[^"]*"|\$\$.*?\$\$|--[^\n]*"""
+    r"""|/\*[^*/]*(?:/\*[^*/]*\*/[^*/]*)*\*/|/\*.*|[^''"$/-]+|.'"""
+)
+LINT_STATEMENT_CODE = rf"""
+WITH scripts AS ({derived_sql(inputs.QUOTED_SCRIPTS, 'documents')}),
+tokens AS (SELECT file, regexp_extract_all(text, {_SQL_TOKEN}) AS tokens FROM scripts),
+code AS (SELECT file, array_to_string(list_transform(tokens, lambda t: CASE
+  WHEN t LIKE '--%' OR t LIKE '/*%' THEN regexp_replace(t, '[^\n]+', ' ', 'g')
+  WHEN length(t) > 1 AND t[1] IN ('''', '"', '$') THEN replace(t, ';', chr(57344)) ELSE t END), '') AS text FROM tokens),
+split AS (SELECT file, list_transform(string_split(text, ';'), lambda s: replace(s, chr(57344), ';')) AS parts FROM code),
+pieces AS (SELECT file, unnest(range(1, len(parts) + 1)) AS statement, unnest(parts) AS text,
+  unnest(list_transform(range(1, len(parts) + 1), lambda i: array_to_string(parts[1:i], ';'))) AS upto FROM split),
+placed AS (SELECT file, statement, text, CAST(1 + len(upto) - len(replace(upto, chr(10), ''))
+  - len(ltrim(text, {_BLANKS})) + len(replace(ltrim(text, {_BLANKS}), chr(10), '')) AS BIGINT) AS line FROM pieces)
+SELECT file, 'ML01' AS rule, 'MAJOR' AS severity, statement, line FROM placed
+WHERE {_has(r"(?is)^\s*DEFINE\s+(DYNAMIC\s+)?(TABLE|VIEW)\s")} AND {_lacks(r"(?is)^\s*DEFINE\s+(DYNAMIC\s+)?(TABLE|VIEW)\s+.*\bCOMMENT\b")}
+UNION ALL
+SELECT file, 'ML02', 'CRITICAL', statement, line FROM placed
+WHERE {_has(r"(?is)^\s*(CREATE\s+(OR\s+REPLACE\s+)?|DEFINE\s+)DYNAMIC\s+TABLE\s")} AND {_lacks(r"(?is)DYNAMIC\s+TABLE\s+.*\bTARGET_LAG\b")}
+"""
 LINT_BY_CATEGORY = f"""
 WITH {_CORE_FOUND}
 SELECT category, rule, count(*) AS findings FROM found JOIN rules USING (rule) GROUP BY ROLLUP (category, rule)
@@ -694,6 +715,7 @@ ORACLES: dict[str, str] = {
     "lint_dcm_profile": LINT_DCM_PROFILE,
     "lint_all_profile": LINT_ALL_PROFILE,
     "lint_statement": LINT_STATEMENT,
+    "lint_statement_code": LINT_STATEMENT_CODE,
     "lint_by_category": LINT_BY_CATEGORY,
     "lint_issues": LINT_ISSUES,
     "lint_severity": LINT_SEVERITY,

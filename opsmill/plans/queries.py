@@ -275,6 +275,12 @@ def lint_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", "rule", "severity", "statement", "line")
 
 
+@query
+def lint_statement_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scripts = derive(table(spark, sf_dir, "documents"), inputs.QUOTED_SCRIPTS)
+    return lint.scan_statements(scripts, code=True).select("file", "rule", "severity", "statement", "line")
+
+
 @query
 def lint_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.lint_summary(lint.scan_scripts(_scripts(spark, sf_dir)))

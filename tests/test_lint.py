@@ -1,5 +1,6 @@
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from opsmill.operators import dependencies, lint
 from opsmill.operators.lint_rules import CORE_RULES, STATEMENT_RULES, Rule, rules_for
@@ -166,3 +167,32 @@ def test_external_findings(spark):
     assert lint.external_findings(reports).count() == 6
     lines = {r["line"] for r in lint.external_findings(reports).where("rule = 'ZZ'").collect()}
     assert lines == {0}
+
+
+def test_statements_end_where_code_ends(spark):
+    from opsmill.functions.text import COMMENT_DEPTH, split_statements
+
+    deep = "/*" * (COMMENT_DEPTH + 1) + ";" + "*/" * (COMMENT_DEPTH + 1)
+    cases = {
+        "a;b": ["a", "b"],
+        "a 'x;y' \"p;q\" $$ r;s $$; b": ["a 'x;y' \"p;q\" $$ r;s $$", " b"],
+        "'it''s; so'; b": ["'it''s; so'", " b"],
+        r"'it\'s; so'; b": [r"'it\'s; so'", " b"],
+        "a -- x; 'y\n; b": ["a  \n", " b"],
+        "/* ; /* ; */ '\n ; */ a; b": [" \n  a", " b"],
+        "a / b - c * d $1; e": ["a / b - c * d $1", " e"],
+        "it's; so": ["it's", " so"],
+        "a; /* b; c": ["a", "  "],
+        "": [""],
+        f"{deep}a;b": [" a", "b"],
+        "/*" + "*" * 50_000 + "; */" + "x" * 50_000 + "'" + ";" * 50_000 + "'": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "n int, text string").withColumn("s", split_statements(F.col("text")))
+    found = {r["text"]: r["s"] for r in rows.collect()}
+    for text, wanted in cases.items():
+        if wanted is None:
+            assert len(found[text]) == 1
+        else:
+            assert [s.rstrip(" ") if "/*" in text else s for s in found[text]] == [
+                s.rstrip(" ") if "/*" in text else s for s in wanted
+            ], text
