@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsmill import places
 from opsmill.functions.rows import with_once
 from opsmill.functions.times import report_millis
 from opsmill.functions.xml import drop_prolog, root_name, strip_outer_element
@@ -286,6 +290,32 @@ def write_report_files(lines: DataFrame, path: str, key: str, order: list[str])
     ordered.write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_document_files(lines: DataFrame, path: str, key: str, order: list[str], suffix: str = ".json") -> None:
+    """Write every document as one file, ``path/<key><suffix>``; documents of other keys stay.
+
+    The lines are sorted over tasks and written as ``write_report_files`` does, beside the target. Then
+    the part files of a document are put together by name. Only documents in which the range of a
+    task ends have several, so there are at most as many of them as tasks; the others
+    are renamed.
+    """
+    spark = lines.sparkSession
+    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    write_report_files(lines, staged, key, order)
+    for folder in places.entries(spark, staged):
+        if folder.folder:
+            parts = [e.path for e in places.files_below(spark, folder.path)]
+            name = folder.name.removeprefix(f"{key}=")
+            places.join_files(spark, parts, f"{path.rstrip('/')}/{name}{suffix}")
+    places.delete(spark, staged)
+
+
+def read_document_files(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """``(name, document)`` of the files in a folder, one row per file."""
+    text = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
+    name = F.regexp_replace(F.col("_metadata.file_name"), re.escape(suffix) + "$", "")
+    return text.select(name.alias("name"), F.col("value").alias("document"))
+
+
 def read_report_files(spark: SparkSession, path: str, key: str) -> DataFrame:
     """``(key, document)`` of what ``write_report_files`` has written; for documents that fit in a row."""
     pieces = spark.read.text(path, wholetext=True).select(
@@ -297,6 +327,28 @@ def read_report_files(spark: SparkSession, path: str, key: str) -> DataFrame:
     return pieces.groupBy(key).agg(joined.alias("document"))
 
 
+ISSUE_SCHEMA = (
+    "issues array<struct<engineId:string,ruleId:string,severity:string,type:string,"
+    "primaryLocation:struct<message:string,filePath:string,textRange:struct<startLine:bigint>>>>"
+)
+
+
+def parse_issues(documents: DataFrame) -> DataFrame:
+    """The issues of issue documents, one row each, beside the other columns."""
+    others = [c for c in documents.columns if c != "document"]
+    each = documents.select(*others, F.explode(F.from_json("document", ISSUE_SCHEMA)["issues"]).alias("i"))
+    return each.select(
+        *others,
+        F.col("i.engineId").alias("engine_id"),
+        F.col("i.ruleId").alias("rule_id"),
+        "i.severity",
+        "i.type",
+        F.col("i.primaryLocation.message").alias("message"),
+        F.col("i.primaryLocation.filePath").alias("file_path"),
+        F.col("i.primaryLocation.textRange.startLine").alias("start_line"),
+    )
+
+
 def parse_reports(documents: DataFrame) -> DataFrame:
     """Report documents as columns; one that is no document gives NULLs."""
     others = [c for c in documents.columns if c != "document"]

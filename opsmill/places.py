@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import SparkSession
 
 
@@ -98,3 +99,35 @@ def move_folder(spark: SparkSession, source: str, target: str) -> None:
         system.mkdirs(place)
     elif not system.rename(origin, place):
         raise OSError(f"{source} could not become {target}")
+
+
+def join_files(spark: SparkSession, sources: list[str], target: str) -> None:
+    """Make one file of several, in their order; the sources are gone then, an older target is replaced.
+
+    One source is renamed. More are concatenated by the file system if it can do that, else they are
+    copied one after another, a buffer at a time.
+    """
+    jvm = spark.sparkContext._jvm
+    system, place = _opened(spark, target)
+    parts = [jvm.org.apache.hadoop.fs.Path(s) for s in sources]
+    whole = parts[0]
+    if len(parts) > 1:
+        try:
+            rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+            for k, part in enumerate(parts[1:]):
+                rest[k] = part
+            system.concat(parts[0], rest)
+        except UnsupportedOperationException:
+            whole = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+            out = system.create(whole, False)
+            for part in parts:
+                data = system.open(part)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(data, out, 1 << 16, False)
+                data.close()
+            out.close()
+            for part in parts:
+                system.delete(part, False)
+    system.mkdirs(place.getParent())
+    system.delete(place, False)
+    if not system.rename(whole, place):
+        raise OSError(f"{target} could not be written")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from opsmill.operators import assertions, history, lint, reports
 from opsmill.operators.lint_rules import rules_for
-from opsmill.plans.inputs import table
+from opsmill.plans import inputs, oracles
+from opsmill.plans.inputs import derive, table
 from opsmill.session import fresh_path
 from opsmill.sources import files
 from opsmill.streaming import refresh
@@ -166,9 +167,8 @@ def files_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("seq", "name", "query", "expected").agg(F.count("*").alias("files"))
 
 
-@query
-def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of all days written as documents and read back."""
+def _day_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a report for each day of events."""
     events = table(spark, sf_dir, "events")
     tests = events.select(
         F.substring(F.col("ts").cast("string"), 1, 10).alias("report"),
@@ -179,12 +179,12 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("message"),
         F.lit(assertions.SUITE).alias("suite"),
     )
-    folder = fresh_path(spark, "reports")
-    lines = reports.report_lines(tests, "report", ["event_id"], tool="table-checks")
-    reports.write_report_files(lines, folder, "report", ["event_id"])
-    parsed = reports.parse_reports(reports.read_report_files(spark, folder, "report"))
+    return reports.report_lines(tests, "report", ["event_id"], tool="table-checks")
+
+
+def _report_facts(documents: DataFrame) -> DataFrame:
     names = F.transform("results.tests", lambda t: t["name"])
-    return parsed.select(
+    return reports.parse_reports(documents).select(
         F.col("report").cast("string").alias("report"),
         F.col("results.summary.tests").alias("tests"),
         F.col("results.summary.failed").alias("failed"),
@@ -192,6 +192,37 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all days written as documents and read back."""
+    folder = fresh_path(spark, "reports")
+    reports.write_report_files(_day_lines(spark, sf_dir), folder, "report", ["event_id"])
+    return _report_facts(reports.read_report_files(spark, folder, "report"))
+
+
+@query
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all days, each written as one file and read as one."""
+    folder = fresh_path(spark, "documents")
+    reports.write_document_files(_day_lines(spark, sf_dir), folder, "report", ["event_id"])
+    return _report_facts(reports.read_document_files(spark, folder).withColumnRenamed("name", "report"))
+
+
+@query
+def issue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of external findings, a file for each kind of event, read back."""
+    facts = derive(table(spark, sf_dir, "events"), inputs.EXTERNAL_FACTS)
+    parsed = derive(facts, inputs.EXTERNAL_JSON).select(F.from_json("document", files.LINT_SCHEMA).alias("d")).select("d.*")
+    issues = lint.external_issues(parsed).withColumn("report", F.regexp_extract("file_path", r"/([a-z]+)_[^/]*$", 1))
+    order = ["file_path", "message", "start_line", "rule_id"]
+    folder = fresh_path(spark, "issues")
+    reports.write_document_files(reports.issue_lines(issues, "report", order), folder, "report", order)
+    found = reports.parse_issues(reports.read_document_files(spark, folder))
+    return found.groupBy(F.col("name").alias("report"), "severity", "rule_id").agg(
+        F.count("*").alias("issues"), F.sum("start_line").alias("lines"), F.count_distinct("file_path").alias("files")
+    )
+
+
 def _sql(line: str) -> str:
     """An expression of the fixtures for the checking engine."""
     return line.replace(" DIV ", " // ").replace("AS STRING", "AS VARCHAR")
@@ -207,6 +238,11 @@ WITH {_PARTS}
 SELECT concat('drop_', file_no, '.sql') AS file, CASE WHEN p_size % 3 = 0 THEN 'DO05' ELSE 'DO06' END AS rule, nth AS line
 FROM parts WHERE p_partkey // {FILE_ROWS} % 2 <> 1 AND p_size % 3 <> 1
 """
+_REPORT_FACTS = """
+SELECT strftime(ts, '%Y-%m-%d') AS report, count(*) AS tests, count(*) FILTER (WHERE event_type = 'error') AS failed,
+  md5(string_agg(concat('test_', CAST(user_id AS VARCHAR)), ',' ORDER BY event_id)) AS names
+FROM events GROUP BY 1
+"""
 ORACLES = {
     "files_messages": _MESSAGES,
     "files_landing_stream": _MESSAGES,
@@ -240,9 +276,12 @@ SELECT CAST(nth AS INTEGER) AS seq, concat(CASE WHEN p_size % 4 = 0 THEN '# ' EL
   concat(' SELECT ', CAST(p_size AS VARCHAR), ' ') AS query, concat(' ', CAST(p_size AS VARCHAR)) AS expected, count(*) AS files
 FROM parts GROUP BY ALL
 """,
-    "report_files": """
-SELECT strftime(ts, '%Y-%m-%d') AS report, count(*) AS tests, count(*) FILTER (WHERE event_type = 'error') AS failed,
-  md5(string_agg(concat('test_', CAST(user_id AS VARCHAR)), ',' ORDER BY event_id)) AS names
-FROM events GROUP BY 1
+    "issue_files": f"""
+WITH {oracles.EXTERNAL}, issues AS ({oracles.ISSUES})
+SELECT regexp_extract(file_path, '/([a-z]+)_[^/]*$', 1) AS report, severity, rule_id, count(*) AS issues,
+  CAST(sum(start_line) AS BIGINT) AS lines, count(DISTINCT file_path) AS files
+FROM issues GROUP BY ALL
 """,
+    "report_documents": _REPORT_FACTS,
+    "report_files": _REPORT_FACTS,
 }

@@ -434,7 +434,7 @@ WITH {_CORE_FOUND}
 SELECT category, rule, count(*) AS findings FROM found JOIN rules USING (rule) GROUP BY ROLLUP (category, rule)
 """
 
-_EXTERNAL = f"""
+EXTERNAL = f"""
 external_facts AS ({derived_sql(inputs.EXTERNAL_FACTS, 'events')}),
 violations AS (
   SELECT filepath, code_1 AS code, concat('first of ', CAST(event_id AS VARCHAR)) AS description, NULL AS start_line FROM external_facts
@@ -442,22 +442,22 @@ violations AS (
 _SEVERITY = "CASE " + " ".join(
     f"WHEN code = '{c}' THEN '{s}'" for c, s in EXTERNAL_SEVERITY.items()
 ) + " ELSE 'MINOR' END"
-_ISSUES = f"""
+ISSUES = f"""
 SELECT 'sqlfluff' AS engine_id, code AS rule_id, {_SEVERITY} AS severity, 'CODE_SMELL' AS type,
   description AS message, filepath AS file_path, CAST(coalesce(start_line, 1) AS BIGINT) AS start_line
 FROM violations
 WHERE code NOT IN ('PRS', 'CP01') AND NOT contains(filepath, 'sources/definitions/')
   AND NOT contains(filepath, '/out/') AND NOT contains(filepath, '/.scannerwork/')
 """
-LINT_ISSUES = f"WITH {_EXTERNAL} {_ISSUES}"
-LINT_SEVERITY = f"WITH {_EXTERNAL}, issues AS ({_ISSUES}) SELECT severity, rule_id, count(*) AS issues FROM issues GROUP BY severity, rule_id"
+LINT_ISSUES = f"WITH {EXTERNAL} {ISSUES}"
+LINT_SEVERITY = f"WITH {EXTERNAL}, issues AS ({ISSUES}) SELECT severity, rule_id, count(*) AS issues FROM issues GROUP BY severity, rule_id"
 LINT_TOTALS = f"""
-WITH {_CORE_FOUND}, {_EXTERNAL},
+WITH {_CORE_FOUND}, {EXTERNAL},
 tools AS (SELECT 'custom' AS tool FROM found UNION ALL SELECT 'external' FROM violations)
 SELECT coalesce(tool, 'all') AS tool, count(*) AS findings, count(*) > 0 AS failing FROM tools GROUP BY ROLLUP (tool)
 """
 LINT_REPORT_TESTS = f"""
-WITH {_CORE_FOUND}, {_EXTERNAL}
+WITH {_CORE_FOUND}, {EXTERNAL}
 SELECT concat('[', rule, '] ', description) AS name, 'failed' AS status, CAST(0 AS BIGINT) AS duration,
   concat(file, ':', CAST(line AS VARCHAR), ' — ', {_STRIPPED}) AS message, 'Custom Rules' AS suite
 FROM found JOIN rules USING (rule)
@@ -471,7 +471,7 @@ _ISSUE_JSON = text_sql(
     '"primaryLocation":{"message":"{message}","filePath":"{file_path}","textRange":{"startLine":{start_line}}}}'
 )
 LINT_ISSUE_LINES = rf"""
-WITH {_EXTERNAL}, issues AS ({_ISSUES}),
+WITH {EXTERNAL}, issues AS ({ISSUES}),
 keyed AS (SELECT *, regexp_extract(file_path, '^([^_]*)_', 1) AS report,
   row_number() OVER (PARTITION BY regexp_extract(file_path, '^([^_]*)_', 1) ORDER BY file_path, message, start_line, rule_id) AS rn FROM issues)
 SELECT report, 1 AS part, concat(CASE WHEN rn = 1 THEN '' ELSE ',' END, {_ISSUE_JSON}) AS line FROM keyed

@@ -161,3 +161,29 @@ def test_children_that_are_no_suites(spark):
         "only": (True, 0, reports.DEFAULT_SUITE), "none": (False, None, None),
     }
     assert [len(rows[k][3]) for k in ("lead", "trail", "only")] == [1, 1, 0]
+
+
+def test_each_document_is_one_file(spark, tmp_path):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    tests = spark.range(2000).selectExpr(
+        "CASE WHEN id < 1900 THEN 'long' ELSE concat('r ', id % 3) END AS report", "id AS seq", "concat('t', id) AS name",
+        "'passed' AS status", "id AS duration", "'' AS message", "'s' AS suite",
+    )
+    lines = reports.report_lines(tests, "report", ["seq"], tool="t").repartition(8)
+    path = str(tmp_path / "documents")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for _ in range(2):  # the second replaces the first
+            reports.write_document_files(lines, path, "report", ["seq"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    names = sorted(p.name for p in (tmp_path / "documents").iterdir() if not p.name.startswith("."))
+    assert names == ["long.json", "r 0.json", "r 1.json", "r 2.json"]
+    whole = json.loads((tmp_path / "documents" / "long.json").read_text())
+    assert [t["name"] for t in whole["results"]["tests"]] == [f"t{i}" for i in range(1900)]
+    found = reports.parse_reports(reports.read_document_files(spark, path)).selectExpr("name", "size(results.tests) AS n")
+    assert sum(r["n"] for r in found.collect()) == 2000
+    reports.write_document_files(lines.where("report = 'long'").limit(0), path, "report", ["seq"])
+    assert len(list((tmp_path / "documents").glob("*.json"))) == 4
