@@ -9,15 +9,20 @@ Round one takes next neighbours in every tree that share enough values (``least`
 the classes that have a neighbour farther off which shares as many. A sketch (the least hash
 of every bin of hash values, in two bits) drops candidates that are surely too far apart.
 
-Round two joins the marked classes exactly, however many there are in a region: the shingles
+A further round (``FURTHER``) sorts the marked classes by new trees, and takes neighbours that are
+of different components: crowded regions are gone through again, with candidates in proportion to
+classes and trees. From here on components grow by what is two links away.
+
+What is left is joined exactly, however many there are in a region: the shingles
 of a set are ordered by how often they occur, the rarest first, and two sets that are similar
 enough share one of their first shingles, at places that leave room for the overlap needed.
 In a crowd with a common template these are the shingles that a text does not share with the
-crowd. Pairs that round one has put into one component need no further link, so that a large
-group of near copies costs as many links as it has members, not pairs. Shingles of many sets
-are parted over tasks. The finer sketch drops candidates here.
+crowd. Pairs that are in one component by now need no further link. The finer sketches
+go with the shingles, so that a task compares them itself and gives out likely links only, not
+the pairs of a group. This is done twice: first for the likeliest link of every two components,
+then for all that are still apart. Shingles of many sets are parted over tasks.
 
-Every candidate of both rounds is confirmed on the full sets of both texts. Components of the
+Every candidate of all rounds is confirmed on the full sets of both texts. Components of the
 confirmed links come from rounds of joins.
 
 Words are the runs of anything but ASCII white space, with A-Z in lower case. Defined
@@ -31,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +56,25 @@ MISSED = 1e-4
 BUCKETS = 1 << 20
 #: Shingles of more sets than this (beyond what buckets usually hold) are parted over tasks.
 CROWD = 512
-#: Pairs of a shingle that are looked at in one step.
-STEP = 1 << 22
+#: Pairs of a shingle that are looked at in one step, and whose sketches are compared in one.
+STEP, COMPARED = 1 << 22, 1 << 14
 #: Bins of the sketches of both rounds; the finer ones are parts of the coarser.
 COARSE, FINE = 128, 1024
 #: Deviations by which a sketch may fall short of the similarity asked for.
 DEVIATIONS = 4.5
 
-_RANDOM = np.random.default_rng(20240607)
-_PLACE = _RANDOM.integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
-_FACTORS = _RANDOM.integers(1, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
-_OFFSETS = _RANDOM.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
+#: Rounds of further trees for the marked classes.
+FURTHER = 1
+
+_PLACE = np.random.default_rng(20240607).integers(1, 2**63, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
+
+
+@cache
+def _forest(nth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and offsets of the hash functions of a round's trees."""
+    random = np.random.default_rng(20240608 + nth)
+    factors = random.integers(1, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
+    return factors, random.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
 
 
 class _WordHash(dict):
@@ -93,13 +107,14 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(total)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The minhash values of a set, one per tree and depth."""
+def signature(found: np.ndarray, nth: int = 0) -> np.ndarray:
+    """The minhash values of a set, one per tree and depth of a round."""
+    factors, offsets = _forest(nth)
     short = found.astype(np.uint32)
     out = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(short), 512):
-        values = _FACTORS[:, None] * short[None, at : at + 512]
-        values += _OFFSETS[:, None]
+        values = factors[:, None] * short[None, at : at + 512]
+        values += offsets[:, None]
         np.minimum(out, values.min(axis=1), out=out)
     return out
 
@@ -116,8 +131,8 @@ def sketch(found: np.ndarray, bins: int) -> bytes:
     return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
 
 
-def far_apart(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets are surely less similar, by their sizes and sketches (rows of 64-bit words)."""
+def likeness(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, similarity: float) -> tuple:
+    """Similarity of sets as their sketches (rows of 64-bit words) show it, and its deviation where they are as similar as asked."""
     count = lambda bits: np.bitwise_count(bits).sum(axis=1).astype(float)
     one = np.uint64(1)
     low = np.uint64(0x5555555555555555)
@@ -130,7 +145,12 @@ def far_apart(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.nda
     union = (sizes_a + sizes_b) / (1 + similarity)
     # Bins sample the union without replacement; marks add noise where bins hold different values.
     spread = similarity * (1 - similarity) * np.maximum(1 - either / np.maximum(union, 1), 0.02)
-    spread = np.sqrt((spread + 0.5 * np.clip(both / either - similarity, 0.01, 1 - similarity)) / either)
+    return alike, np.sqrt((spread + 0.5 * np.clip(both / either - similarity, 0.01, 1 - similarity)) / either)
+
+
+def far_apart(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets are surely less similar, by their sizes and sketches."""
+    alike, spread = likeness(a, b, sizes_a, sizes_b, similarity)
     smaller, larger = np.minimum(sizes_a, sizes_b), np.maximum(sizes_a, sizes_b)
     return (alike < similarity - DEVIATIONS * spread) | (smaller < similarity * larger - 1e-6)
 
@@ -161,14 +181,18 @@ def least(similarity: int) -> int:
     return max((d for d in range(1, DEPTH + 1) if missed(d) <= MISSED), default=1)
 
 
-_ROWS = {"tree": pa.int32(), "path": pa.binary(), "node": pa.int64(), "n_shingles": pa.int64(), "sketch": pa.binary()}
-_FOUND = "a long, b long, tree int, path binary, node long, n_shingles long, sketch binary"
+_ROWS = {
+    "tree": pa.int32(), "path": pa.binary(), "node": pa.int64(), "component": pa.int64(), "n_shingles": pa.int64(),
+    "sketch": pa.binary(),
+}
+_FOUND = "a long, b long, tree int, path binary, node long, component long, n_shingles long, sketch binary"
 _FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), *_ROWS.items()])
 
 
 def _neighbours(similarity: int):
     """Candidate links (a, b) of a sorted part of the forest, marked classes (b null), and its border rows (a null).
 
+    Candidates are next to each other and of different components.
     The border rows are the first and the last two, which have neighbours in other parts.
     """
     enough = least(similarity)
@@ -197,14 +221,15 @@ def _neighbours(similarity: int):
                 batch.column("tree").to_numpy(),
                 _wide(batch.column("path"), ">u4"),
                 batch.column("node").to_numpy(),
+                batch.column("component").to_numpy(),
                 batch.column("n_shingles").to_numpy().astype(float),
                 _wide(batch.column("sketch"), "<u8"),
             )
             old = 0 if held is None else len(held[0])
             held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
-            tree, path, node, sizes, bits = held
+            tree, path, node, component, sizes, bits = held
             same = (path[1:, :enough] == path[:-1, :enough]).all(axis=1) & (tree[1:] == tree[:-1])
-            left = np.flatnonzero(same & (node[1:] != node[:-1]))
+            left = np.flatnonzero(same & (component[1:] != component[:-1]))
             left = left[left + 1 >= old]
             near = ~far_apart(bits[left], bits[left + 1], sizes[left], sizes[left + 1], similarity / 100)
             a, b = node[left[near]], node[left[near] + 1]
@@ -221,13 +246,30 @@ def _neighbours(similarity: int):
     return run
 
 
-_SETS_ARROW = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("found", pa.binary())])
+_SETS = "node long, fine binary, found binary"
+_SETS_ARROW = pa.schema([("node", pa.int64()), ("fine", pa.binary()), ("found", pa.binary())])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(text).tobytes() for text in as_bytes(batch.column("text"))]
-        yield batch_of(_SETS_ARROW, [batch.column("node"), batch.column("component"), found])
+        yield batch_of(_SETS_ARROW, [batch.column("node"), batch.column("fine"), found])
+
+
+def _signed_again(nth: int):
+    """Paths of sets in the trees of a further round."""
+    schema = pa.schema(
+        [(c, pa.int64()) for c in ("node", "component", "n_shingles")] + [("paths", pa.binary()), ("coarse", pa.binary())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(f, np.uint64) for f in batch.column("found").to_pylist()]
+            paths = [signature(f, nth).astype(">u4").tobytes() for f in found]
+            columns = [list(map(len, found)), paths, [sketch(f, COARSE) for f in found]]
+            yield batch_of(schema, [batch.column("node"), batch.column("component"), *columns])
+
+    return run
 
 
 def _buckets(found: np.ndarray) -> np.ndarray:
@@ -244,11 +286,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(pa.schema([("bucket", pa.int64()), ("n", pa.int64())]), [held, total[held]])
 
 
-_FIRST = "shingle long, shard int, node long, component long, size long, room long, shorter boolean, longer boolean"
+_FIRST = "shingle long, shard int, node long, component long, size long, room long, shorter boolean, longer boolean, fine binary"
 _FIRST_ARROW = pa.schema(
     [("shingle", pa.int64()), ("shard", pa.int32())]
     + [(c, pa.int64()) for c in ("node", "component", "size", "room")]
-    + [("shorter", pa.bool_()), ("longer", pa.bool_())]
+    + [("shorter", pa.bool_()), ("longer", pa.bool_()), ("fine", pa.binary())]
 )
 
 
@@ -263,8 +305,8 @@ def _first_shingles(counts, similarity: int):
         often = counts.value
         usual = int(np.median(often[often > 0])) if often.any() else 0
         for batch in batches:
-            parts = []
-            for node, component, data in zip(*(batch.column(c).to_pylist() for c in _SETS_ARROW.names), strict=True):
+            parts, made = [], []
+            for node, component, data in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "found")), strict=True):
                 found = np.frombuffer(data, np.uint64)
                 size = len(found)
                 n = often[_buckets(found)]
@@ -279,22 +321,35 @@ def _first_shingles(counts, similarity: int):
                 shard = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
                 shard = np.where(shorter[at], shard, own[at])
                 same = np.full(len(at), 1)
+                made.append(len(at))
                 parts.append(
                     (first[at].view(np.int64), shard.astype(np.int32), same * node, same * component, same * size,
                      room[at], shorter[at], shard == own[at])
                 )
             if parts:
-                yield batch_of(_FIRST_ARROW, [np.concatenate(c) for c in zip(*parts, strict=True)])
+                fine = batch.column("fine").take(pa.array(np.repeat(np.arange(len(made)), made)))
+                yield batch_of(_FIRST_ARROW, [*(np.concatenate(c) for c in zip(*parts, strict=True)), fine])
 
     return run
 
 
-def _meeting(similarity: int):
-    """Pairs (a, b) of different components whose first shingles meet where they have room for the overlap."""
+def _best_of(found: np.ndarray, alike: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """The pair (a, b) that looks most alike, of every two components."""
+    order = np.lexsort((found[:, 1], found[:, 0], -alike, component[:, 1], component[:, 0]))
+    component = component[order]
+    return found[order][np.append(True, (component[1:] != component[:-1]).any(axis=1))[: len(order)]]
+
+
+def _meeting(similarity: int, best: bool):
+    """Pairs (a, b) of different components whose first shingles meet where they have room for the overlap.
+
+    The finer sketches are compared here, so that a group gives out its likely links, not its pairs; with
+    ``best``, only the likeliest one of every two components that a task has at hand.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(rows: tuple) -> Iterator[np.ndarray]:
-        shingle, shard, node, component, size, room, shorter, longer = rows
+    def pairs(rows: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        shingle, shard, node, component, size, room, shorter, longer, fine = rows
         begins = np.flatnonzero(np.append(True, (shingle[1:] != shingle[:-1]) | (shard[1:] != shard[:-1])))
         ends = np.append(begins[1:], len(shingle))
         mixed = np.minimum.reduceat(component, begins) < np.maximum.reduceat(component, begins)
@@ -307,28 +362,39 @@ def _meeting(similarity: int):
                 fits &= 100 * size[part] >= similarity * size[y]
                 fits &= np.minimum(room[part], room[y]) * (100 + similarity) >= similarity * (size[part] + size[y])
                 i, j = np.nonzero(fits)
-                a, b = node[part[i, 0]], node[y[j]]
-                yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+                left, right = part[i, 0], y[j]
+                for k in range(0, len(left), COMPARED):
+                    p, q = left[k : k + COMPARED], right[k : k + COMPARED]
+                    sides = fine[p], fine[q], size[p].astype(float), size[q].astype(float), similarity / 100
+                    near = ~far_apart(*sides)
+                    p, q, alike = p[near], q[near], likeness(*sides)[0][near] if best else np.empty(0)
+                    ends = np.sort(np.stack([node[p], node[q]], axis=1), axis=1)
+                    yield ends, alike, np.sort(np.stack([component[p], component[q]], axis=1), axis=1)
 
     def out(parts: list) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+
+        def batch() -> pa.RecordBatch:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            found = _best_of(*whole) if best else np.unique(whole[0], axis=0)
+            return batch_of(schema, [found[:, 0], found[:, 1]])
+
         for found in pairs(tuple(np.concatenate(c) for c in zip(*parts, strict=True))):
             held.append(found)
-            n += len(found)
+            n += len(found[0])
             if n > STEP:
-                found = np.unique(np.concatenate(held), axis=0)
-                yield batch_of(schema, [found[:, 0], found[:, 1]])
+                yield batch()
                 held, n = [], 0
         if n:
-            found = np.unique(np.concatenate(held), axis=0)
-            yield batch_of(schema, [found[:, 0], found[:, 1]])
+            yield batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for batch in batches:
             if not len(batch):
                 continue
-            rows = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in _FIRST_ARROW.names)
+            plain = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in _FIRST_ARROW.names[:-1])
+            rows = (*plain, _wide(batch.column("fine"), "<u8"))
             # Up to the last shingle of the batch all are complete.
             last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
             begin = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
@@ -344,20 +410,6 @@ def _meeting(similarity: int):
     return run
 
 
-def _close(similarity: int):
-    """Pairs whose finer sketches are not surely too far apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                sizes = [batch.column(f"size_{s}").to_numpy().astype(float) for s in "ab"]
-                bits = [_wide(batch.column(f"fine_{s}"), "<u8") for s in "ab"]
-                keep = ~far_apart(*bits, *sizes, similarity / 100)
-                yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-    return run
-
-
 def _confirmed(similarity: int):
     """Links whose full sets are as similar as asked, in hundredths."""
 
@@ -373,6 +425,26 @@ def _confirmed(similarity: int):
     return run
 
 
+def _confirmed_sets(similarity: int):
+    """Links whose sets, which come with them, are as similar as asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.frombuffer(f, np.uint64) for f in batch.column(c).to_pylist()] for c in ("left", "right")]
+            keep = [_similar(x, y, similarity) for x, y in zip(*sides, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
+def _confirm_sets(sets: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) of marked classes that are links, judged on their full sets."""
+    left = sets.select(F.col("node").alias("a"), F.col("found").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("found").alias("right"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return met.mapInArrow(_confirmed_sets(similarity), "a long, b long").distinct()
+
+
 def _similar(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
     if 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)) or not len(x):
         return False
@@ -394,7 +466,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
 
 
 def _next_ones(classes: DataFrame, similarity: int) -> DataFrame:
-    """The candidates (a, b) of round one, and the marked classes (b null).
+    """The candidates (a, b) of a round's trees, and the marked classes (b null).
 
     Parts have no neighbours in common, so the rows at their borders, four of each at most,
     are gone through once more. What is not next to each other there only adds candidates.
@@ -403,7 +475,9 @@ def _next_ones(classes: DataFrame, similarity: int) -> DataFrame:
     paths = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)), lambda k: F.col("paths").substr(k * step + 1, F.lit(step))
     )
-    forest = classes.select("node", "n_shingles", F.col("coarse").alias("sketch"), F.posexplode(paths).alias("tree", "path"))
+    forest = classes.select(
+        "node", "component", "n_shingles", F.col("coarse").alias("sketch"), F.posexplode(paths).alias("tree", "path")
+    )
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "path", "node"]
     found = written(
@@ -415,30 +489,33 @@ def _next_ones(classes: DataFrame, similarity: int) -> DataFrame:
     return found.unionByName(across).filter("a is not null").select("a", "b").distinct()
 
 
-def _all_near(docs: DataFrame, classes: DataFrame, marked: DataFrame, similarity: int) -> DataFrame:
-    """The distinct candidates (a, b) among the marked classes (node, component), without a limit."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(marked, "node")
-    sets = written(
-        texts.select("node", "component", "text").mapInArrow(_sets, "node long, component long, found binary")
-        .filter(F.length("found") > 0),
-        "sets",
-    )
+def _all_near(sets: DataFrame, similarity: int, best: bool = False) -> DataFrame:
+    """The distinct candidates (a, b) of different components among all sets, without a limit; or the best of them."""
+    spark = sets.sparkSession
     totals = sets.mapInArrow(_counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BUCKETS, np.int64)
     counts[totals.column("bucket").to_numpy()] = totals.column("n").to_numpy()
-    pairs = (
+    return (
         sets.mapInArrow(_first_shingles(spark.sparkContext.broadcast(counts), similarity), _FIRST)
         .repartition("shingle", "shard").sortWithinPartitions("shingle", "shard")
-        .mapInArrow(_meeting(similarity), "a long, b long")
+        .mapInArrow(_meeting(similarity, best), "a long, b long")
         .distinct()
     )
-    for side in "ab":
-        own = classes.select(
-            F.col("node").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("fine").alias(f"fine_{side}")
-        )
-        pairs = pairs.join(own, side)
-    return pairs.mapInArrow(_close(similarity), "a long, b long").distinct()
+
+
+def _joined(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes with the least component that is at most two of the links from theirs.
+
+    What gets one component is in one component; what is farther apart is joined in the end.
+    """
+    side = lambda c, name: labelled.select(F.col("node").alias(c), F.col("component").alias(name))
+    met = links.join(side("a", "u"), "a").join(side("b", "v"), "b").filter("u <> v").select("u", "v").distinct()
+    met = written(met.unionByName(met.select(F.col("v").alias("u"), F.col("u").alias("v"))), "met")
+    one = met.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least"))
+    two = met.join(one.select(F.col("u").alias("v"), "least"), "v").groupBy("u").agg(F.min("least").alias("least"))
+    # The neighbour's least is at most the own component.
+    found = labelled.join(two.select(F.col("u").alias("component"), "least"), "component", "left")
+    return found.select("node", F.coalesce("least", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
@@ -457,13 +534,35 @@ def near_duplicates(docs: DataFrame, similarity: int = 85) -> DataFrame:
         .groupBy("digest").agg(F.min("doc_id").alias("node"), *of_class),
         "classes",
     )
-    found = written(_next_ones(classes, similarity), "candidates")
+    alone = classes.withColumn("component", F.col("node"))
+    found = written(_next_ones(alone, similarity), "candidates")
     links = written(_confirm(docs, found.filter("b is not null"), similarity), "links")
     labels = written(components(links), "labels")
-    marked = found.filter("b is null").select(F.col("a").alias("node")).join(labels, "node", "left")
-    marked = marked.withColumn("component", F.coalesce("component", "node"))
-    found = written(_all_near(docs, classes, marked, similarity), "candidates")
-    links = written(links.unionByName(_confirm(docs, found, similarity)), "links")
+    marked = found.filter("b is null").select(F.col("a").alias("node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(marked, "node")
+    sets = written(
+        texts.join(classes.select("node", "fine"), "node").select("node", "fine", "text").mapInArrow(_sets, _SETS)
+        .filter(F.length("found") > 0),
+        "sets",
+    )
+
+    labelled = sets.select("node").distinct().join(labels, "node", "left")
+    labelled = written(labelled.select("node", F.coalesce("component", "node").alias("component")), "labelled")
+    schema = "node long, component long, n_shingles long, paths binary, coarse binary"
+    for nth in range(1, FURTHER + 1):
+        again = written(sets.join(labelled, "node").mapInArrow(_signed_again(nth), schema), "signatures")
+        found = _next_ones(again, similarity).filter("b is not null")
+        more = written(_confirm_sets(sets, found, similarity), "links")
+        links = links.unionByName(more)
+        if more.isEmpty():
+            break
+        labelled = written(_joined(labelled, more), "labelled")
+    # The likeliest link of every two components first: what it joins needs no other.
+    found = written(_all_near(sets.join(labelled, "node"), similarity, best=True), "candidates")
+    more = written(_confirm_sets(sets, found, similarity), "links")
+    links, labelled = links.unionByName(more), written(_joined(labelled, more), "labelled")
+    found = written(_all_near(sets.join(labelled, "node"), similarity), "candidates")
+    links = written(links.unionByName(_confirm_sets(sets, found, similarity)), "links")
     labels = written(components(links), "labels")
     own = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()

@@ -143,3 +143,27 @@ def test_more_tasks_than_rows(spark, make_docs, n):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found == {i: i - i % 2 for i, _ in rows}
+
+
+def test_dense_groups(make_docs, rng):
+    """Groups in which many pairs are links and many are just none: components as by brute force."""
+    rows = []
+    for share in (0.008, 0.012, 0.016, 0.03):
+        base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(120):
+            rows.append((len(rows), " ".join(f"n{rng.randrange(10**6)}" if rng.random() < share else w for w in base)))
+    found = {i: frozenset(minhash.shingles(t.encode()).tolist()) for i, t in rows}
+    parent = {i: i for i in found}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in found:
+        for j in range(i):
+            if 100 * len(found[i] & found[j]) >= 85 * len(found[i] | found[j]):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make_docs(rows)).collect()}
+    assert got == {i: top(i) for i in found}
