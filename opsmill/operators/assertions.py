@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from opsmill.functions.text import shell_words
 RESULT_SCHEMA = "seq int, name string, status string, duration bigint, message string, suite string"
 VALUE_SCHEMA = "seq int, name string, expected string, actual string"
 SUITE = "SQLValidation"
+#: Assertions of one projection; far more subqueries in one take Catalyst very long to plan.
 _BATCH = 50
 #: What a query that fails can raise; several subqueries that fail at once give the second.
 _FAILURES = (PySparkException, Py4JJavaError)
@@ -51,6 +53,32 @@ def fill_query(query: str, values: Mapping[str, str]) -> str:
     return query.strip().rstrip(";")
 
 
+_CALL = r"(?:COUNT|SUM|AVG|MIN|MAX)\s*\((?:[^()]|\([^()]*\))*\)"
+#: One aggregate (that may be cast) over the rows of one table, with a condition or without.
+_AGGREGATE = re.compile(
+    rf"\s*SELECT\s+(?P<before>CAST\s*\(\s*)?(?P<call>{_CALL})(?P<after>\s+AS\s+[\w(), ]+\))?\s+AS\s+(?P<name>result)"
+    r"\s+FROM\s+(?P<table>(?:\w+|`[^`]+`)(?:\.(?:\w+|`[^`]+`))*)(?:\s+WHERE\s+(?P<condition>.+?))?\s*",
+    re.I | re.S,
+)
+#: What the aggregate and its condition must not hold.
+_MORE = re.compile(r"\b(SELECT|JOIN|GROUP|ORDER|SORT|LIMIT|OFFSET|HAVING|UNION|INTERSECT|EXCEPT|MINUS|WINDOW|OVER)\b|--|/\*", re.I)
+
+
+def filtered_aggregate(query: str) -> tuple[str, str] | None:
+    """The table of a query that is one aggregate of one table, and the aggregate with its condition.
+
+    ``SELECT sum(a) AS result FROM t WHERE p`` is ``sum(a) FILTER (WHERE p)`` of ``t``, so that checks
+    of one table with different conditions can share a scan. None for any other query.
+    """
+    found = _AGGREGATE.fullmatch(query)
+    if not found or bool(found["before"]) != bool(found["after"]):
+        return None
+    if _MORE.search(f"{found['call']} {found['condition'] or ''}"):
+        return None
+    condition = f" FILTER (WHERE {found['condition']})" if found["condition"] else ""
+    return found["table"].lower(), f"{found['before'] or ''}{found['call']}{condition}{found['after'] or ''}"
+
+
 def _first_value(spark: SparkSession, query: str) -> DataFrame:
     """The first row's ``result`` column (in any case) as text, at most one row."""
     df = spark.sql(query)
@@ -59,13 +87,7 @@ def _first_value(spark: SparkSession, query: str) -> DataFrame:
     return df.select(value.cast("string").alias("actual")).limit(1)
 
 
-def _value_row(
-    spark: SparkSession, seq: int, assertion: Assertion, values: Mapping[str, str]
-) -> Column:
-    """An assertion with its value as a scalar subquery; raises when it cannot be analysed."""
-    actual = F.lit(None).cast("string")
-    if not assertion.skipped:
-        actual = _first_value(spark, fill_query(assertion.query, values)).scalar()
+def _row(seq: int, assertion: Assertion, actual: Column) -> Column:
     return F.struct(
         F.lit(seq).alias("seq"),
         F.lit(assertion.name).alias("name"),
@@ -74,13 +96,40 @@ def _value_row(
     )
 
 
-def _as_table(spark: SparkSession, rows: list[Column]) -> DataFrame:
+@dataclass(frozen=True)
+class _Ready:
+    """An assertion whose query can be analysed: its value, and its table if it is one aggregate of it."""
+
+    assertion: Assertion
+    value: Column
+    table: str | None
+
+
+def _ready(spark: SparkSession, assertion: Assertion, values: Mapping[str, str]) -> _Ready:
+    """Raises when the query cannot be analysed."""
+    if assertion.skipped:
+        return _Ready(assertion, F.lit(None).cast("string"), None)
+    query = fill_query(assertion.query, values)
+    found = filtered_aggregate(query)
+    if found:
+        query = f"SELECT {found[1]} AS result FROM {found[0]}"
+    return _Ready(assertion, _first_value(spark, query).scalar(), found[0] if found else None)
+
+
+def _by_table(runnable: dict[int, _Ready]) -> list[dict[int, _Ready]]:
+    """The assertions that aggregate one table together, each other one by itself."""
+    groups: dict[object, dict[int, _Ready]] = {}
+    for seq, one in runnable.items():
+        groups.setdefault(one.table or seq, {})[seq] = one
+    return list(groups.values())
+
+
+def _values_of(spark: SparkSession, runnable: dict[int, _Ready]) -> DataFrame:
+    """``(seq, name, expected, actual)`` by scalar subqueries; Catalyst makes those on one table one scan."""
+    rows = [_row(seq, one.assertion, one.value) for seq, one in runnable.items()]
     if not rows:
         return spark.createDataFrame([], VALUE_SCHEMA)
-    parts = [
-        spark.range(1).select(F.inline(F.array(*rows[i : i + _BATCH])))
-        for i in range(0, len(rows), _BATCH)
-    ]
+    parts = [spark.range(1).select(F.inline(F.array(*rows[i : i + _BATCH]))) for i in range(0, len(rows), _BATCH)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -89,13 +138,11 @@ def assertion_values(
 ) -> DataFrame:
     """``(seq, name, expected, actual)`` of all assertions, computed by one query.
 
-    Each assertion becomes a scalar subquery of one projection. Catalyst
-    merges those that aggregate the same table without a filter; one with a
-    filter reads its table once more, unless it is written as
-    ``count(*) FILTER (WHERE ...)``. A query without rows gives NULL.
+    Each assertion becomes a scalar subquery of one projection. Catalyst merges those that
+    aggregate one table, with or without a condition (``filtered_aggregate``). A query without
+    rows gives NULL.
     """
-    rows = [_value_row(spark, seq, a, values or {}) for seq, a in enumerate(assertions, 1)]
-    return _as_table(spark, rows)
+    return _values_of(spark, {seq: _ready(spark, a, values or {}) for seq, a in enumerate(assertions, 1)})
 
 
 def judge(values: DataFrame, tolerance: float | None = None) -> DataFrame:
@@ -139,33 +186,34 @@ def _failure(seq: int, assertion: Assertion, error: Exception, milliseconds: int
     return (seq, assertion.name, "failed", milliseconds, f"Query failed: {reason}", SUITE)
 
 
-def _run_timed(
-    spark: SparkSession, runnable: dict[int, tuple[Assertion, Column]], tolerance: float | None
-) -> list[tuple]:
-    """One query per assertion, each with the time that it took."""
+def _run_timed(spark: SparkSession, groups: list[dict[int, _Ready]], tolerance: float | None) -> list[tuple]:
+    """One query per group, whose time its assertions share; if it fails, one per assertion."""
     results = []
-    for seq, (one, row) in runnable.items():
+    for group in groups:
         begun = time.monotonic()
         try:
-            (found,) = _results(judge(_as_table(spark, [row]), tolerance), None)
+            found = _results(judge(_values_of(spark, group), tolerance), None)
         except _FAILURES as error:
-            found = _failure(seq, one, error, None)
-        taken = max(1, round((time.monotonic() - begun) * 1000))
-        results.append((*found[:3], 0 if found[2] == "skipped" else taken, *found[4:]))
+            if len(group) > 1:
+                results += _run_timed(spark, [{seq: one} for seq, one in group.items()], tolerance)
+                continue
+            ((seq, one),) = group.items()
+            found = [_failure(seq, one.assertion, error, None)]
+        ran = max(1, sum(r[2] != "skipped" for r in found))
+        taken = max(1, round((time.monotonic() - begun) * 1000 / ran))
+        results += [(*r[:3], 0 if r[2] == "skipped" else taken, *r[4:]) for r in found]
     return results
 
 
-def _run_together(
-    spark: SparkSession, runnable: dict[int, tuple[Assertion, Column]], tolerance: float | None
-) -> list[tuple]:
+def _run_together(spark: SparkSession, runnable: dict[int, _Ready], tolerance: float | None) -> list[tuple]:
     """All assertions by one query; if that fails, either half by its own, down to the one at fault."""
     try:
-        return _results(judge(_as_table(spark, [row for _, row in runnable.values()]), tolerance), None)
+        return _results(judge(_values_of(spark, runnable), tolerance), None)
     except _FAILURES as error:
         entries = list(runnable.items())
         if len(entries) == 1:
-            ((seq, (one, _)),) = entries
-            return [_failure(seq, one, error, None)]
+            ((seq, one),) = entries
+            return [_failure(seq, one.assertion, error, None)]
         middle = len(entries) // 2
         halves = (dict(entries[:middle]), dict(entries[middle:]))
         return [r for half in halves for r in _run_together(spark, half, tolerance)]
@@ -180,22 +228,25 @@ def run_assertions(
 ) -> DataFrame:
     """Run assertions now and return their results (``RESULT_SCHEMA``).
 
-    With ``timed`` each assertion is a query of its own and ``duration`` is what it
-    took. Otherwise all are one query, which reads tables fewer times but cannot tell
+    With ``timed`` the assertions that aggregate one table are one query with one scan, and
+    each other one is a query of its own; ``duration`` is what the query took, in equal
+    shares. Otherwise all are one query, which reads tables fewer times but cannot tell
     single durations apart: they are NULL. Queries that cannot be analysed or fail to
     run are reported as failed and don't stop the others.
     """
     results: list[tuple] = []
-    runnable: dict[int, tuple[Assertion, Column]] = {}
+    runnable: dict[int, _Ready] = {}
     for seq, one in enumerate(assertions, 1):
         begun = time.monotonic()
         try:
-            runnable[seq] = (one, _value_row(spark, seq, one, values or {}))
+            runnable[seq] = _ready(spark, one, values or {})
         except _FAILURES as error:
             taken = max(1, round((time.monotonic() - begun) * 1000)) if timed else None
             results.append(_failure(seq, one, error, taken))
-    if runnable:
-        results += (_run_timed if timed else _run_together)(spark, runnable, tolerance)
+    if timed:
+        results += _run_timed(spark, _by_table(runnable), tolerance)
+    elif runnable:
+        results += _run_together(spark, runnable, tolerance)
     return spark.createDataFrame(sorted(results, key=lambda r: r[0]), RESULT_SCHEMA)
 
 

@@ -107,3 +107,34 @@ def test_more_assertions_than_one_row_holds(spark):
     rows = assertions.run_assertions(spark, checks, timed=False).collect()
     assert [r["seq"] for r in rows] == list(range(1, 131))
     assert [r["name"] for r in rows if r["status"] != "passed"] == ["n70"]
+
+
+def test_checks_of_one_table_share_a_scan(spark, tmp_path):
+    spark.range(5000).selectExpr("id % 110 AS SENSOR_ID", "CAST(id % 7 AS DOUBLE) AS SENSOR_0").write.parquet(str(tmp_path / "t"))
+    spark.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("iot_raw")
+    checks = [
+        assertions.Assertion("Row count", "SELECT COUNT(*) AS result FROM {{S}}raw;", "5000"),
+        assertions.Assertion("Sum", "SELECT SUM(SENSOR_0) AS result FROM {{S}}RAW WHERE SENSOR_ID = 101;", "136.0"),
+        assertions.Assertion("No NULLs", "SELECT COUNT(*) AS Result FROM {{S}}raw WHERE SENSOR_ID IS NULL", "0"),
+        assertions.Assertion("Mean", "select CAST(avg(SENSOR_0) AS DECIMAL(9, 2)) as result from {{S}}raw where SENSOR_ID = 101 OR FALSE", "3.02"),
+        assertions.Assertion("Fails", "SELECT MAX(SENSOR_ID) AS result FROM {{S}}raw WHERE 1 / (SENSOR_ID - SENSOR_ID) > 0", "1"),
+    ]
+    values = {"S": "iot_"}
+    plan = assertions.assertion_values(spark, checks[:4], values)._jdf.queryExecution().optimizedPlan().toString()
+    # All four are values of one merged subquery, hence of one scan.
+    assert plan.count("mergedValue") == 4 and "FILTER" in plan
+    statuses = {}
+    for timed in (True, False):
+        rows = assertions.run_assertions(spark, checks, values, timed=timed).collect()
+        statuses[timed] = [(r["name"], r["status"], r["message"]) for r in rows]
+        assert all(r["duration"] >= 1 if timed else r["duration"] is None for r in rows)
+    assert statuses[True] == statuses[False]
+    assert [s for _, s, _ in statuses[True]] == ["passed", "passed", "passed", "passed", "failed"]
+    assert statuses[True][4][2].startswith("Query failed")
+    # What is not one aggregate of one table stays as it is.
+    for query in (
+        "SELECT COUNT(*) AS result FROM a JOIN b", "SELECT COUNT(*) AS result FROM a, b", "SELECT 1 AS result FROM a",
+        "SELECT COUNT(*) AS result FROM a WHERE b IN (SELECT c FROM d)", "SELECT COUNT(*) AS result FROM a GROUP BY b",
+        "SELECT COUNT(*) AS result FROM a WHERE b -- c", "SELECT COUNT(*) + 1 AS result FROM a",
+    ):
+        assert assertions.filtered_aggregate(query) is None
