@@ -608,6 +608,33 @@ SELECT strftime(run_ts, '%Y-%m-%d') AS run, count(*) AS tests, count(*) FILTER (
 FROM results GROUP BY run
 """
 
+# A bucket is the exact value without its lower binary digits.
+_BUCKET = "({v} - {v} % CAST(pow(2, greatest(length(bin({v})) - 7, 0)) AS BIGINT))"
+DURATION_QUANTILES = f"""
+WITH {_RESULTS}, exact AS (
+  SELECT test, count(*) AS runs, quantile_disc(duration, 0.5) AS q50, quantile_disc(duration, 0.9) AS q90, quantile_disc(duration, 0.99) AS q99
+  FROM results GROUP BY test
+)
+SELECT test, runs, {_BUCKET.format(v='q50')} AS p50, {_BUCKET.format(v='q90')} AS p90, {_BUCKET.format(v='q99')} AS p99 FROM exact
+"""
+DURATION_CHANGES = f"""
+WITH {_RESULTS}, days AS (SELECT DISTINCT test, CAST(run_ts AS DATE) AS day FROM results),
+sides AS (
+  SELECT d.test, d.day, r.duration, CAST(r.run_ts AS DATE) < d.day AS earlier
+  FROM days d JOIN results r ON r.test = d.test AND CAST(r.run_ts AS DATE) BETWEEN d.day - 7 AND d.day + 6
+), exact AS (
+  SELECT test, day, quantile_disc(duration, 0.5) FILTER (earlier) AS b, quantile_disc(duration, 0.5) FILTER (NOT earlier) AS a,
+    count(*) FILTER (earlier) AS nb, count(*) FILTER (NOT earlier) AS na FROM sides GROUP BY ALL
+), medians AS (SELECT test, day, {_BUCKET.format(v='b')} AS before, {_BUCKET.format(v='a')} AS after, nb, na FROM exact),
+marked AS (
+  SELECT *, CASE WHEN nb >= 5 AND na >= 5 AND after * 100 >= before * 150 AND after > before THEN 'slower'
+    WHEN nb >= 5 AND na >= 5 AND before * 100 >= after * 150 AND before > after THEN 'faster' ELSE 'same' END AS change FROM medians
+)
+SELECT test, CAST(day AS VARCHAR) AS day, before, after, change
+FROM (SELECT *, lag(change) OVER (PARTITION BY test ORDER BY day) AS last FROM marked)
+WHERE change <> 'same' AND change IS DISTINCT FROM last
+"""
+
 
 def _operations(kind: str) -> str:
     return " + ".join(f"CASE WHEN NOT bare AND {op} = '{kind}' THEN 1 ELSE 0 END" for op in ("op_1", "op_2", "op_3"))
@@ -734,6 +761,8 @@ ORACLES: dict[str, str] = {
     "test_history": TEST_HISTORY,
     "test_flips": TEST_FLIPS,
     "run_totals": RUN_TOTALS,
+    "duration_quantiles": DURATION_QUANTILES,
+    "duration_changes": DURATION_CHANGES,
     "plan_summary": PLAN_SUMMARY,
     "render_templates": RENDER_TEMPLATES,
     "ddl_format": DDL_FORMAT,

@@ -21,6 +21,7 @@ from opsmill.operators import (
     assertions,
     dependencies,
     deployment,
+    durations,
     history,
     lint,
     payments,
@@ -445,6 +446,20 @@ def test_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flips.groupBy("test", "change").agg(F.count("*").alias("flips"))
 
 
+@query
+def duration_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of every test over all days, from the sketches of its days."""
+    days = durations.sketch_days(_results(spark, sf_dir))
+    whole = durations.merge_sketches(days, ["test"])
+    return durations.sketch_quantiles(whole, ["test"], {"p50": 50, "p90": 90, "p99": 99})
+
+
+@query
+def duration_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = durations.median_changes(durations.sketch_days(_results(spark, sf_dir)))
+    return changes.withColumn("day", F.col("day").cast("string"))
+
+
 @query
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.substring(F.col("run_ts").cast("string"), 1, 10)
