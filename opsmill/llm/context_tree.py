@@ -25,6 +25,7 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,10 +148,11 @@ class _Gathered:
         self.counts.append(np.add.reduceat(n, first))
         for kind in (0, 1):
             own = [s for s, t in zip(streams, train, strict=True) if t == kind]
-            words = np.fromiter((_WORD_KEY[w] for s in own for w in s.split()), np.int64)
-            keys, n = np.unique(np.concatenate((words, np.full(len(own), _END))), return_counts=True)
-            self.keys.append(keys)
-            self.counts.append(n * kind)
+            if own:
+                found = Counter(b"\n".join(own).split())
+                keys = np.fromiter(map(_WORD_KEY.__getitem__, found), np.int64, len(found))
+                self.keys.append(np.append(keys, _END))
+                self.counts.append(np.append(np.fromiter(found.values(), np.int64, len(found)), len(own)) * kind)
         if sum(map(len, self.keys)) > HELD_KEYS:
             self._sum()
 
@@ -419,13 +421,14 @@ def _scorer(buckets: int, total: int, distinct: int):
             value = np.repeat(logs[at], np.diff(np.append(first, len(code))))
             whose = (both & ((np.uint64(1) << _DOC_BITS) - np.uint64(1))).astype(np.int64)
             columns["score"].append(np.bincount(whose, value, len(part)))
-            words = [s.split() for s in part]
-            sizes = np.array([len(w) + 1 for w in words])
-            tokens = np.fromiter(
-                (k for w in words for k in (*map(_WORD_KEY.__getitem__, w), _END)), np.int64, int(sizes.sum())
-            )
+            # Words stand one blank apart; the end follows those of each text.
+            sizes = np.array([s.count(b" ") + 2 if s else 1 for s in part])
+            ends = np.cumsum(sizes)
+            tokens, is_word = np.full(ends[-1], _END), np.ones(ends[-1], bool)
+            is_word[ends - 1] = False
+            tokens[is_word] = np.fromiter(map(_WORD_KEY.__getitem__, b"\n".join(part).split()), np.int64, ends[-1] - len(part))
             at = np.searchsorted(word_keys, tokens)
-            starts = np.cumsum(sizes) - sizes
+            starts = ends - sizes
             columns["n_tokens"].append(sizes)
             columns["n_known"].append(np.add.reduceat((word_counts[at] > 0).astype(np.int64), starts))
             columns["base_score"].append(np.add.reduceat(base_logs[at], starts))
