@@ -124,12 +124,17 @@ def _copy_leaves(
     new = {leaf: name for leaf, name in leaves.items() if not places.exists(spark, f"{copies}/{name}/_SUCCESS")}
     if not new:
         return
+    if not parts:
+        # Spark's own mark tells a whole copy from one that stopped.
+        (name,) = new.values()
+        spark.table(source).write.format(layout).mode("overwrite").save(f"{copies}/{name}")
+        return
     draft = f"{copies}/_draft-{uuid.uuid4().hex}"
     path = F.split(F.col("_metadata.file_path"), "/")
-    leaf = F.array_join(F.slice(path, -1 - len(parts), len(parts)), "/") if parts else F.lit("")
+    leaf = F.array_join(F.slice(path, -1 - len(parts), len(parts)), "/")
     known = spark.createDataFrame(list(new.items()), "_leaf string, _copy string")
     rows = spark.table(source)
-    if parts and len(new) < len(leaves) and layout in ("parquet", "orc"):
+    if len(new) < len(leaves) and layout in ("parquet", "orc"):
         # Only the folders that have changed are read. Other formats may have options of their table.
         reader = spark.read.format(layout).schema(rows.schema).option("basePath", place)
         rows = reader.load([f"{place}/{leaf}" for leaf in sorted(new)])
