@@ -154,7 +154,7 @@ def test_a_release_copies_only_what_has_changed(spark, tmp_path):
     spark.sql("CREATE VIEW grown.odd AS SELECT id FROM grown.events WHERE n = 1")
     sinks.snapshot_schema(spark, "grown", "1", location=str(tmp_path))
     first = stored()
-    assert len(first) == 7  # six partitions, and the table without
+    assert len(first) == 8  # six partitions, the table without, and the empty one
     sinks.snapshot_schema(spark, "grown", "2", location=str(tmp_path))
     assert stored() == first
     spark.sql("INSERT INTO grown.events VALUES (100, 'a b', 1)")
