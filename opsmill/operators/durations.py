@@ -53,25 +53,39 @@ def sketch_quantiles(sketches: DataFrame, keys: list[str], hundredths: dict[str,
     )
 
 
+def _median(sketch: str, runs: str) -> Column:
+    """The least duration that half of all are at most, of an array of ``(low, n)`` in any order."""
+
+    def step(state: Column, bucket: Column) -> Column:
+        upto = state["upto"] + bucket["n"]
+        reached = (state["upto"] * 2 < F.col(runs)) & (upto * 2 >= F.col(runs))
+        return F.struct(upto.alias("upto"), F.when(reached, bucket["low"]).otherwise(state["low"]).alias("low"))
+
+    none = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("bigint").alias("low"))
+    return F.aggregate(F.array_sort(sketch), none, step, lambda state: state["low"])
+
+
 def median_changes(sketches: DataFrame, days: int = 7, percent: int = 150, least: int = 5) -> DataFrame:
     """Days on which a test's median over the next ``days`` (that day included) departs from that over the days before.
 
     ``(test, day, before, after, change)`` where the larger median is at least ``percent`` hundredths of the smaller
     and both sides have ``least`` runs; of adjoining days of one direction only the first is
-    a change. Each day's sketch goes to the days it counts for, and is added up there.
+    a change. A day's sketch is one row, and a day takes the sketches of the days around it from a window: no row
+    is copied, and what a task holds at once is the sketches of that many days, however many runs they are of.
     """
-    # A day counts after for itself and the days before it, and before for the days after it.
-    offsets = F.explode(F.sequence(F.lit(1 - days), F.lit(days))).alias("_offset")
-    sides = sketches.select("*", offsets).select(
-        "test", F.date_add("day", F.col("_offset")).alias("day"), (F.col("_offset") > 0).alias("earlier"), "low", "n"
-    )
-    known = sketches.select("test", "day").distinct()
-    merged = merge_sketches(sides.join(known, ["test", "day"], "left_semi"), ["test", "day", "earlier"])
-    medians = sketch_quantiles(merged, ["test", "day", "earlier"], {"median": 50})
-    of = lambda side, name: F.max(F.when(F.col("earlier") == side, F.col(name)))
-    both = medians.groupBy("test", "day").agg(
-        of(True, "median").alias("before"), of(False, "median").alias("after"),
-        of(True, "runs").alias("_before"), of(False, "runs").alias("_after"),
+    sketch = F.collect_list(F.struct("low", "n")).alias("_sketch")
+    known = F.col("test").isNotNull() & F.col("day").isNotNull()
+    daily = sketches.where(known).groupBy("test", "day").agg(sketch, F.sum("n").alias("_runs"))
+    in_order = Window.partitionBy("test").orderBy(F.unix_date("day"))
+    earlier, later = in_order.rangeBetween(-days, -1), in_order.rangeBetween(0, days - 1)
+    around = daily.select(
+        "test", "day",
+        F.flatten(F.collect_list("_sketch").over(earlier)).alias("_earlier"), F.sum("_runs").over(earlier).alias("_before"),
+        F.flatten(F.collect_list("_sketch").over(later)).alias("_later"), F.sum("_runs").over(later).alias("_after"),
+    )
+    both = around.select(
+        "test", "day", _median("_earlier", "_before").alias("before"), _median("_later", "_after").alias("after"),
+        "_before", "_after",
     )
     enough = (F.col("_before") >= least) & (F.col("_after") >= least)
     slower = enough & (F.col("after") * 100 >= F.col("before") * percent) & (F.col("after") > F.col("before"))

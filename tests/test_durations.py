@@ -44,3 +44,28 @@ def test_changes_of_the_median(spark):
     # The median over the next week tips when more than half of it is slow.
     assert found[0]["change"] == "slower" and datetime.date(2024, 1, 12) <= found[0]["day"] <= datetime.date(2024, 1, 16)
     assert durations.median_changes(days.where(F.lit(False))).collect() == []
+
+
+def test_changes_equal_those_counted_by_hand_and_copy_no_rows(spark):
+    random.seed(8)
+    start = datetime.date(2024, 1, 1)
+    at = [(f"t{random.randrange(4)}", start + datetime.timedelta(days=random.choice((0, 1, 2, 3, 9, 10, 20, 21, 40)))) for _ in range(400)]
+    rows = [(t, day, random.choice((1, 5, 90, 5000))) for t, day in at] + [(None, start, 1), ("t0", None, 1)]
+    results = spark.createDataFrame([(t, d and datetime.datetime.combine(d, datetime.time(5)), n) for t, d, n in rows], "test string, run_ts timestamp, duration bigint")
+    found = durations.median_changes(durations.sketch_days(results))
+    wanted = []
+    for test in ("t0", "t1", "t2", "t3"):
+        mine, last = [(d, int(n) if n < 128 else n - n % 64) for t, d, n in rows if t == test and d], None
+        for day in sorted({d for d, _ in mine}):
+            before = [n for d, n in mine if 1 <= (day - d).days <= 7]
+            after = [n for d, n in mine if 0 <= (d - day).days < 7]
+            change, enough = "same", len(before) >= 5 and len(after) >= 5
+            if enough:
+                b, a = exact(before, 50), exact(after, 50)
+                change = "slower" if a * 100 >= b * 150 and a > b else "faster" if b * 100 >= a * 150 and b > a else "same"
+            if change != "same" and change != last:
+                wanted.append((test, day, b, a, change))
+            last = change
+    assert wanted and sorted(tuple(r) for r in found.collect()) == sorted(wanted)
+    # A sketch row that is copied to all days it counts for makes a task's memory grow by twice the days.
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
