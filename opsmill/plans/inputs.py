@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsmill.functions.rows import with_once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -179,12 +181,17 @@ def ack_facts(facts: DataFrame) -> DataFrame:
 
 def messages(orders: DataFrame) -> DataFrame:
     """Raw messages ``(file_name, load_ts, raw_xml)``: transfers and acknowledgements."""
-    facts = dealt(payment_facts(orders), "k")
-    transfers = derive(facts.selectExpr(*_with(PAYMENT_TEXTS)), TRANSFER_MESSAGES)
-    acks = derive(ack_facts(facts).selectExpr(*_with(ACK_TEXTS)), ACK_MESSAGES)
-    return transfers.unionByName(acks).withColumn(
-        "load_ts", F.col("load_ts").cast("timestamp")
-    )
+    narrow = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    facts = payment_facts(dealt(narrow, "o_orderkey"))
+    transfers = facts.selectExpr(*_with(PAYMENT_TEXTS))
+    acks = ack_facts(facts).selectExpr(*_with(ACK_TEXTS))
+    both = [
+        with_once(rows, "raw_xml", F.expr(columns["raw_xml"])).selectExpr(
+            f"{columns['file_name']} AS file_name", f"CAST({columns['load_ts']} AS TIMESTAMP) AS load_ts", "raw_xml"
+        )
+        for rows, columns in ((transfers, TRANSFER_MESSAGES), (acks, ACK_MESSAGES))
+    ]
+    return both[0].unionByName(both[1])
 
 
 # Scripts: a few statements by document number, then the document's whole text

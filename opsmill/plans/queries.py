@@ -141,19 +141,19 @@ def deps_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw message table, written once as it is when messages land."""
-    return spark.read.schema(refresh.MESSAGE_SCHEMA).parquet(_message_folder(spark, sf_dir))
+    """The raw messages, made as they are read: they are ten times as long as the rows they come from."""
+    return inputs.messages(table(spark, sf_dir, "orders"))
 
 
 _MESSAGE_FOLDERS: dict[tuple[str, str], str] = {}
 
 
 def _message_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Where the messages of these test tables are; one folder serves all queries of a session."""
+    """Where the messages of these test tables have landed; one folder serves all streams of a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MESSAGE_FOLDERS or not places.exists(spark, f"{_MESSAGE_FOLDERS[key]}/_SUCCESS"):
         path = fresh_path(spark, "messages")
-        inputs.messages(table(spark, sf_dir, "orders")).write.parquet(path)
+        _messages(spark, sf_dir).write.option("compression", "zstd").parquet(path)
         _MESSAGE_FOLDERS[key] = path
     return _MESSAGE_FOLDERS[key]
 
