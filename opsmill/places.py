@@ -7,11 +7,16 @@ written by Spark.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import SparkSession
 
+#: Files that are moved at a time.
+MOVERS = 16
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -101,6 +106,29 @@ def move_folder(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} could not become {target}")
 
 
+def move_files(spark: SparkSession, glob: str, folder: str, name: Callable[[str], str]) -> None:
+    """Move the files of a pattern into one folder, each named after the folder it was in.
+
+    All are found by one listing, and ``MOVERS`` are moved at a time, as a file system answers many at once.
+    """
+    system, place = _opened(spark, folder)
+    path, origin = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, _opened(spark, glob)[1]
+    system.mkdirs(place)
+
+    def move(source: str) -> None:
+        target = f"{folder}/{name(source.rsplit('/', 2)[1])}"
+        if not system.rename(path(source), path(target)):
+            raise OSError(f"{source} could not become {target}")
+
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(system.globStatus(origin))
+    sources = [p.toString() for p in found]
+    if len({s.rsplit("/", 2)[1] for s in sources}) < len(sources):
+        raise ValueError(f"two files of one folder match {glob}")
+    with ThreadPoolExecutor(MOVERS) as movers:
+        for _ in movers.map(move, sources):
+            pass
+
+
 def join_files(spark: SparkSession, sources: list[str], target: str) -> None:
     """Make one file of several, in their order; the sources are gone then, an older target is replaced.
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsmill import places
 from opsmill.operators import assertions, history, lint, reports
 from opsmill.operators.lint_rules import rules_for
 from opsmill.plans import inputs, oracles
@@ -40,16 +41,7 @@ def _landed(spark: SparkSession, sf_dir: str, line: str, name: str, head: str =
     text = F.concat(F.lit(head), F.array_join(lines, between), F.lit(foot)).alias("value")
     folder = fresh_path(spark, "landing")
     rows.groupBy("file").agg(text).write.partitionBy("file").text(folder)
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(folder)
-    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for place in store.listStatus(top):
-        own = place.getPath()
-        if own.getName().startswith("file="):
-            (part,) = [p.getPath() for p in store.listStatus(own) if p.getPath().getName().startswith("part-")]
-            target = jvm.org.apache.hadoop.fs.Path(top, "named/" + own.getName().removeprefix("file="))
-            store.mkdirs(target.getParent())
-            store.rename(part, target)
+    places.move_files(spark, f"{folder}/file=*/part-*", f"{folder}/named", lambda parent: parent.removeprefix("file="))
     return f"{folder}/named"
 
 

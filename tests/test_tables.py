@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from opsmill import places
 from opsmill.operators import lint, readings, sinks
-from opsmill.session import discard, materialize
+from opsmill.session import discard, fresh_path, materialize
 from opsmill.sources import catalog, files, generators
 from opsmill.sources.geo import sensor_places
 
@@ -176,3 +177,15 @@ def test_a_release_copies_only_what_has_changed(spark, tmp_path):
     assert spark.table("grown_2.events").count() == 90 and spark.table("grown_2.odd").count() == 45
     sinks.drop_snapshot(spark, "grown", "2")
     assert stored() == set()
+
+
+def test_files_are_moved_by_one_listing(spark):
+    folder = fresh_path(spark, "many")
+    spark.range(60).selectExpr("concat('a_', id, '.txt') AS file", "CAST(id AS STRING) AS value").write.partitionBy("file").text(folder)
+    places.move_files(spark, f"{folder}/file=*/part-*", f"{folder}/named", lambda parent: parent.removeprefix("file="))
+    found = places.entries(spark, f"{folder}/named")
+    assert sorted(e.name for e in found if not e.name.startswith(".")) == sorted(f"a_{k}.txt" for k in range(60))
+    assert all(places.read_text(spark, f"{folder}/named/a_{k}.txt").strip() == str(k) for k in (0, 31, 59))
+    with pytest.raises(ValueError):
+        spark.range(4).repartition(4).selectExpr("'b' AS file", "CAST(id AS STRING) AS value").write.partitionBy("file").text(f"{folder}/twice")
+        places.move_files(spark, f"{folder}/twice/file=*/part-*", f"{folder}/other", lambda parent: parent)
