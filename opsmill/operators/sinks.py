@@ -15,6 +15,9 @@ from pyspark.sql.types import DataType, StructType
 
 from opsmill import places
 
+#: Parts into which the rows of a folder can be dealt while it is copied.
+SPREAD = 1024
+
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """Columns of ``schema`` by name, cast; columns ``df`` lacks are NULL."""
@@ -132,7 +135,8 @@ def _copy_leaves(
     draft = f"{copies}/_draft-{uuid.uuid4().hex}"
     path = F.split(F.col("_metadata.file_path"), "/")
     leaf = F.array_join(F.slice(path, -1 - len(parts), len(parts)), "/")
-    known = spark.createDataFrame(list(new.items()), "_leaf string, _copy string")
+    # An inline table, whose size Spark knows: the rows need no shuffle and sort to find their folder.
+    known = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for pair in new.items() for x in pair])).alias("_leaf", "_copy"))
     rows = spark.table(source)
     if len(new) < len(leaves) and layout in ("parquet", "orc"):
         # Only the folders that have changed are read. Other formats may have options of their table.
@@ -141,7 +145,11 @@ def _copy_leaves(
     # Paths in the metadata are encoded as in a URL.
     kept = rows.withColumn("_leaf", F.url_decode(F.replace(leaf, F.lit("+"), F.lit("%2B"))))
     changed = kept.join(known, "_leaf").drop("_leaf", *parts)
-    changed.write.format(layout).partitionBy("_copy").save(draft)
+    # What a task sorts by folder is bounded, also if all rows are of one folder.
+    plain = [name for name, kind in changed.dtypes if name != "_copy" and not re.search("map<|variant|interval", kind)]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(SPREAD)) if plain else F.lit(0)
+    dealt = changed.withColumn("_spread", spread).hint("rebalance", "_copy", "_spread").drop("_spread")
+    dealt.write.format(layout).partitionBy("_copy").save(draft)
     for name in new.values():
         # A folder whose files hold no rows has no part in the draft.
         places.move_folder(spark, f"{draft}/_copy={name}", f"{copies}/{name}")

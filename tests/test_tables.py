@@ -189,3 +189,20 @@ def test_files_are_moved_by_one_listing(spark):
     with pytest.raises(ValueError):
         spark.range(4).repartition(4).selectExpr("'b' AS file", "CAST(id AS STRING) AS value").write.partitionBy("file").text(f"{folder}/twice")
         places.move_files(spark, f"{folder}/twice/file=*/part-*", f"{folder}/other", lambda parent: parent)
+
+
+def test_a_large_folder_is_copied_by_several_tasks(spark):
+    location = fresh_path(spark, "broad")
+    name = location.rsplit("/", 1)[-1].replace("-", "_")
+    spark.sql(f"CREATE DATABASE `{name}` LOCATION '{location}'")
+    rows = spark.range(0, 150_000, 1, 1).selectExpr("id", "md5(CAST(id AS STRING)) AS text", "'one' AS kind")
+    rows.write.partitionBy("kind").saveAsTable(f"`{name}`.facts")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "1m")
+    try:
+        copy = sinks.snapshot_schema(spark, name, "1", location=f"{location}_1")
+    finally:
+        spark.conf.unset(size)
+    copied = spark.table(f"`{copy}`.facts")
+    assert copied.exceptAll(rows).isEmpty() and copied.count() == 150_000
+    assert len(copied.inputFiles()) > 1
