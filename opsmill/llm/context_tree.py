@@ -25,7 +25,6 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,19 +48,6 @@ _END = -1
 _DOC_BITS = np.uint64(64 - 8 * (DEPTH + 1))
 
 
-class _WordKey(dict):
-    """Negative 63-bit key by word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = -2 - (xxhash.xxh3_64_intdigest(word) >> 1) % (2**63 - 2)
-        return value
-
-
-_WORD_KEY = _WordKey()
-
-
 def _packed(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
@@ -112,23 +98,51 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sequences(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Code and text number of every byte with its context, over a few texts."""
+    """Code of every byte with its context, over a few texts, and how many each text has."""
     # Each text begins in the start context, which is also what ends the one before it.
-    data = np.frombuffer(b"".join(_START + s + b"\n" for s in streams), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(_START + s + b"\n" for s in streams), np.uint8)
+    pair = data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
+    four = pair[:-2].astype(np.uint32) << np.uint32(16) | pair[2:]
+    code = four[:-3].astype(np.uint64) << np.uint64(24)
+    code |= pair[4:-1].astype(np.uint32) << np.uint32(8) | data[DEPTH:]
     sizes = np.array([len(s) + 1 for s in streams])
-    code = np.zeros(len(data) - DEPTH, np.uint64)
-    for k in range(DEPTH + 1):
-        code = code << np.uint64(8) | data[k : len(data) - DEPTH + k]
-    starts = np.cumsum(sizes + DEPTH) - (sizes + DEPTH)
-    whose = np.repeat(np.arange(len(streams)), sizes)
-    at = np.arange(len(whose)) + (starts - (np.cumsum(sizes) - sizes))[whose]
-    return code[at], whose
+    inside = np.ones(len(code), bool)
+    inside[(np.cumsum(sizes + DEPTH)[:-1, None] - 1 - np.arange(DEPTH)).ravel()] = False
+    return code[inside], sizes
+
+
+def _words(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Negative keys of the distinct words of some texts, the place of every word among them, and where each text begins.
+
+    A text without words has the one word ``_END``.
+    """
+    data = b"\n".join(streams) + b"\n"
+    flat = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero((flat == 10) | (flat == 32))
+    borders = pa.py_buffer(np.append(0, ends + 1).astype(np.int32))
+    # Words stand one blank apart; each is taken with the blank behind it.
+    words = pa.Array.from_buffers(pa.binary(), len(ends), [None, borders, pa.py_buffer(data.replace(b"\n", b" "))])
+    coded = words.dictionary_encode()
+    # The distinct words follow each other, with their blanks.
+    _, borders, letters = coded.dictionary.buffers()
+    distinct = letters[: np.frombuffer(borders, np.int32)[len(coded.dictionary)]].to_pybytes().split(b" ")[:-1]
+    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    keys = -2 - ((digests >> np.uint64(1)) % np.uint64(2**63 - 2)).astype(np.int64)
+    if b"" in distinct:
+        keys[distinct.index(b"")] = _END
+    starts = np.append(0, np.flatnonzero(flat[ends] == 10)[:-1] + 1)
+    return keys, coded.indices.to_numpy(), starts
+
+
+def _firsts(numbers: np.ndarray) -> np.ndarray:
+    """Where each of the distinct numbers begins in a sorted array."""
+    return np.flatnonzero(np.append(len(numbers) > 0, numbers[1:] != numbers[:-1]))
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    first = _firsts(keys)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
@@ -137,22 +151,34 @@ class _Gathered:
 
     def __init__(self) -> None:
         self.keys, self.counts = [], []
+        self.streams, self.train, self.codes = [], [], []
+        self.size = 0
 
     def add(self, streams: list[bytes], train: list[bool]) -> None:
         """Adds a few texts."""
-        code, whose = _sequences(streams)
-        both = np.sort(code << np.uint64(1) | np.array(train, np.uint64)[whose])
-        code, n = both >> np.uint64(1), (both & np.uint64(1)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        code, sizes = _sequences(streams)
+        self.codes.append(code << np.uint64(1) | np.repeat(np.array(train, np.uint64), sizes))
+        self.streams += streams
+        self.train += train
+        self.size += len(code)
+        if self.size > PART_BYTES:
+            self._count()
+
+    def _count(self) -> None:
+        if not self.streams:
+            return
+        both = np.concatenate(self.codes)
+        both.sort()
+        code, n = both >> np.uint64(1), both & np.uint64(1)
+        first = _firsts(code)
         self.keys.append(code[first].astype(np.int64))
-        self.counts.append(np.add.reduceat(n, first))
-        for kind in (0, 1):
-            own = [s for s, t in zip(streams, train, strict=True) if t == kind]
-            if own:
-                found = Counter(b"\n".join(own).split())
-                keys = np.fromiter(map(_WORD_KEY.__getitem__, found), np.int64, len(found))
-                self.keys.append(np.append(keys, _END))
-                self.counts.append(np.append(np.fromiter(found.values(), np.int64, len(found)), len(own)) * kind)
+        self.counts.append(np.add.reduceat(n.view(np.int64), first))
+        keys, at, starts = _words(self.streams)
+        train = np.repeat(self.train, np.diff(np.append(starts, len(at))))
+        counts = np.bincount(at[train], minlength=len(keys))
+        self.keys.append(np.append(keys[keys != _END], _END))
+        self.counts.append(np.append(counts[keys != _END], sum(self.train)))
+        self.streams, self.train, self.codes, self.size = [], [], [], 0
         if sum(map(len, self.keys)) > HELD_KEYS:
             self._sum()
 
@@ -161,6 +187,7 @@ class _Gathered:
         self.keys, self.counts = [keys], [counts]
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
+        self._count()
         self._sum()
         return self.keys[0], self.counts[0]
 
@@ -174,7 +201,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of sorted keys by bucket, the buckets that occur, and where each begins in it."""
     bucket = _bucket(keys, buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
     found, first = np.unique(bucket[order], return_index=True)
     return order, found, first
 
@@ -391,13 +418,36 @@ def sequence_values(sequences: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(_values(top, buckets), "bucket long, key long, value double")
 
 
+def _chunk_keys(parts: list[list[bytes]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The distinct keys of a chunk as ``_Gathered`` has them, and its words by groups of parts."""
+    keys, words, codes, streams = [np.array([_END])], [], [], []
+    size = 0
+    for number, part in enumerate(parts):
+        codes.append(_sequences(part)[0])
+        streams += part
+        size += len(codes[-1])
+        if size > PART_BYTES or number == len(parts) - 1:
+            code = np.concatenate(codes)
+            code.sort()
+            words.append(_words(streams))
+            keys += [code[_firsts(code)].astype(np.int64), words[-1][0]]
+            codes, streams, size = [], [], 0
+            if sum(map(len, keys)) > HELD_KEYS:
+                keys = [_distinct(keys)]
+    return _distinct(keys), words
+
+
+def _distinct(keys: list[np.ndarray]) -> np.ndarray:
+    both = np.concatenate(keys)
+    both.sort()
+    return both[_firsts(both)]
+
+
 def _scorer(buckets: int, total: int, distinct: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        held = _Gathered()
-        parts = list(zip(*(texts.column(c).to_pylist() for c in ("ids", "train", "data")), strict=True))
-        for _, train, data in parts:
-            held.add(_opened(data).split(b"\n"), train)
-        keys, _ = held.result()
+        rows = zip(*(texts.column(c).to_pylist() for c in ("ids", "train", "data")), strict=True)
+        ids, train, parts = zip(*((ids, own, _opened(data).split(b"\n")) for ids, own, data in rows), strict=True)
+        keys, words = _chunk_keys(parts)
         order, found, _ = _by_bucket(keys, buckets)
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "words", "logs")), strict=True))
         if [r[0] for r in rows] != found.tolist():
@@ -411,32 +461,30 @@ def _scorer(buckets: int, total: int, distinct: int):
         base_logs = np.log10((word_counts + 1) / (total + distinct + 1))
         sequence_keys, logs = keys[split:], values[split:]
         columns = {name: [] for name in ("n_tokens", "n_known", "base_score", "score")}
-        for _, _, data in parts:
-            part = _opened(data).split(b"\n")
-            code, whose = _sequences(part)
-            both = np.sort(code << _DOC_BITS | whose.astype(np.uint64))
+        for part in parts:
+            code, sizes = _sequences(part)
+            both = np.sort(code << _DOC_BITS | np.repeat(np.arange(len(part), dtype=np.uint64), sizes))
             code = both >> _DOC_BITS
-            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            first = _firsts(code)
             at = np.searchsorted(sequence_keys, code[first].astype(np.int64))
             value = np.repeat(logs[at], np.diff(np.append(first, len(code))))
             whose = (both & ((np.uint64(1) << _DOC_BITS) - np.uint64(1))).astype(np.int64)
             columns["score"].append(np.bincount(whose, value, len(part)))
-            # Words stand one blank apart; the end follows those of each text.
-            sizes = np.array([s.count(b" ") + 2 if s else 1 for s in part])
-            ends = np.cumsum(sizes)
-            tokens, is_word = np.full(ends[-1], _END), np.ones(ends[-1], bool)
-            is_word[ends - 1] = False
-            tokens[is_word] = np.fromiter(map(_WORD_KEY.__getitem__, b"\n".join(part).split()), np.int64, ends[-1] - len(part))
-            at = np.searchsorted(word_keys, tokens)
-            starts = ends - sizes
-            columns["n_tokens"].append(sizes)
-            columns["n_known"].append(np.add.reduceat((word_counts[at] > 0).astype(np.int64), starts))
-            columns["base_score"].append(np.add.reduceat(base_logs[at], starts))
+        for own, at, starts in words:
+            place, is_word = np.searchsorted(word_keys, own), own != _END
+            # Every text has one end beside its words; the end's key is the largest of the words'.
+            for name, value, end in (
+                ("n_tokens", is_word, 1),
+                ("n_known", is_word & (word_counts[place] > 0), word_counts[-1] > 0),
+                ("base_score", np.where(is_word, base_logs[place], 0), base_logs[-1]),
+            ):
+                value = value if name == "base_score" else value.astype(np.int64)
+                columns[name].append(np.add.reduceat(value[at], starts) + end)
         out = {name: np.concatenate(values) for name, values in columns.items()}
-        train = [t for _, own, _ in parts for t in own]
+        train = [t for own in train for t in own]
         return pa.table(
             {
-                "doc_id": pa.array([i for ids, _, _ in parts for i in ids], texts.schema.field("ids").type.value_type),
+                "doc_id": pa.array([i for own in ids for i in own], texts.schema.field("ids").type.value_type),
                 "held_out": pa.array([not t for t in train], pa.bool_()),
                 "n_tokens": pa.array(out["n_tokens"], pa.int64()),
                 "n_known": pa.array(out["n_known"], pa.int64()),

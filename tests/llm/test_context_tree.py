@@ -112,3 +112,17 @@ def test_better_than_the_base_on_held_out_texts(spark):
     rows = ct.op6(spark, "/root/testdata/sf0.1").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
     assert table(spark, "/root/testdata/sf0.1", "documents").count() == 10_000
+
+
+def test_a_word_is_hashed_once_for_a_group_of_texts(monkeypatch):
+    words = [b"%x" % k for k in range(320_000)]
+    streams, train = [b" ".join(words), b"", b" ".join(reversed(words))], [True, True, False]
+    hashed, digest = [], ct.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(ct, "xxhash", type("Counted", (), {"xxh3_64_intdigest": staticmethod(lambda w: hashed.append(w) or digest(w))}))
+    held = ct._Gathered()
+    for stream_, own in zip(streams, train, strict=True):
+        held.add([stream_], [own])
+    keys, counts = held.result()
+    assert len(hashed) <= len(words) + 1
+    assert dict(zip(keys.tolist(), counts.tolist()))[-1] == 2
+    assert counts[keys < -1].tolist() == [1] * len(words)
