@@ -24,6 +24,9 @@ REPORT_FORMAT = "CTRF"
 SPEC_VERSION = "0.0.1"
 DEFAULT_SUITE = "SQLValidation"
 DEFAULT_CASE = "Unnamed"
+# The lines around the issues of a document.
+ISSUES_HEAD = '{"issues":['
+ISSUES_FOOT = "]}"
 
 
 def _case_test(case: Column, suite: Column) -> Column:
@@ -276,7 +279,7 @@ def issue_lines(issues: DataFrame, key: str, order: list[str]) -> DataFrame:
             ).alias("primaryLocation"),
         )
     )
-    return array_document(issues, key, order, item, F.lit('{"issues":['), F.lit("]}"), [])
+    return array_document(issues, key, order, item, F.lit(ISSUES_HEAD), F.lit(ISSUES_FOOT), [])
 
 
 def write_report_files(lines: DataFrame, path: str, key: str, order: list[str]) -> None:
@@ -309,11 +312,14 @@ def write_document_files(lines: DataFrame, path: str, key: str, order: list[str]
     places.delete(spark, staged)
 
 
+def _document_name(suffix: str) -> Column:
+    return F.regexp_replace(F.col("_metadata.file_name"), re.escape(suffix) + "$", "").alias("name")
+
+
 def read_document_files(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
     """``(name, document)`` of the files in a folder, one row per file."""
     text = spark.read.option("pathGlobFilter", f"*{suffix}").text(path, wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_name"), re.escape(suffix) + "$", "")
-    return text.select(name.alias("name"), F.col("value").alias("document"))
+    return text.select(_document_name(suffix), F.col("value").alias("document"))
 
 
 def read_report_files(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -327,16 +333,38 @@ def read_report_files(spark: SparkSession, path: str, key: str) -> DataFrame:
     return pieces.groupBy(key).agg(joined.alias("document"))
 
 
-ISSUE_SCHEMA = (
-    "issues array<struct<engineId:string,ruleId:string,severity:string,type:string,"
-    "primaryLocation:struct<message:string,filePath:string,textRange:struct<startLine:bigint>>>>"
+_ISSUE = (
+    "struct<engineId:string,ruleId:string,severity:string,type:string,"
+    "primaryLocation:struct<message:string,filePath:string,textRange:struct<startLine:bigint>>>"
 )
+ISSUE_SCHEMA = f"issues array<{_ISSUE}>"
 
 
 def parse_issues(documents: DataFrame) -> DataFrame:
     """The issues of issue documents, one row each, beside the other columns."""
     others = [c for c in documents.columns if c != "document"]
-    each = documents.select(*others, F.explode(F.from_json("document", ISSUE_SCHEMA)["issues"]).alias("i"))
+    return _issue_columns(
+        documents.select(*others, F.explode(F.from_json("document", ISSUE_SCHEMA)["issues"]).alias("i")), others
+    )
+
+
+def read_issue_files(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
+    """The issues of a folder of documents as ``issue_lines`` makes them, one row each, beside the ``name`` of their file.
+
+    Every issue is a line, so a task reads a part of a document, however long that is. Lines that belong to no such
+    document are errors; documents in another layout are read whole, by ``read_document_files`` and ``parse_issues``.
+    """
+    line = F.col("value")
+    ends = line.isin(ISSUES_HEAD, ISSUES_FOOT)
+    # A document on one line is well-formed, but no issue.
+    wrong = line.startswith(ISSUES_HEAD) & ~ends
+    text = spark.read.option("pathGlobFilter", f"*{suffix}").option("lineSep", "\n").text(path)
+    issues = text.where(F.when(wrong, F.raise_error(F.lit("a document is not in lines")).cast("boolean")).otherwise(~ends))
+    issue = F.from_json(F.ltrim(line, F.lit(",")), _ISSUE, {"mode": "FAILFAST"})
+    return _issue_columns(issues.select(_document_name(suffix), issue.alias("i")), ["name"])
+
+
+def _issue_columns(each: DataFrame, others: list[str]) -> DataFrame:
     return each.select(
         *others,
         F.col("i.engineId").alias("engine_id"),

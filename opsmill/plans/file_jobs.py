@@ -209,7 +209,7 @@ def issue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["file_path", "message", "start_line", "rule_id"]
     folder = fresh_path(spark, "issues")
     reports.write_document_files(reports.issue_lines(issues, "report", order), folder, "report", order)
-    found = reports.parse_issues(reports.read_document_files(spark, folder))
+    found = reports.read_issue_files(spark, folder)
     return found.groupBy(F.col("name").alias("report"), "severity", "rule_id").agg(
         F.count("*").alias("issues"), F.sum("start_line").alias("lines"), F.count_distinct("file_path").alias("files")
     )

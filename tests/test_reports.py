@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from opsmill.operators import deployment, history, reports
+from opsmill.plans import file_jobs
 from opsmill.sources import files
 
 CASES = {
@@ -89,6 +91,40 @@ def test_issue_documents(spark):
     assert issues[3]["engineId"] == "e" and issues[3]["primaryLocation"]["message"] == "m 3"
 
 
+def test_a_long_issue_document_is_read_in_parts(spark, tmp_path, sf_dir, monkeypatch):
+    schema = "report string, engine_id string, rule_id string, severity string, type string, message string, file_path string, start_line bigint"
+    rows = [
+        ("hot" if i % 9 else f"r{i}", "e", None if i % 5 else "C", "MINOR", "CODE_SMELL", f'm,"{i}\r\n{{"issues":[', ",p.sql", i)
+        for i in range(2000)
+    ]
+    issues = spark.createDataFrame(rows, schema)
+    path = str(tmp_path / "issues")
+    reports.write_document_files(reports.issue_lines(issues, "report", ["start_line"]), path, "report", ["start_line"])
+    names = ["name", *schema.replace(",", "").split()[2::2]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = reports.read_issue_files(spark, path)
+        parts = found.where("name = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert sorted(map(str, found.select(names).collect())) == sorted(
+            map(str, reports.parse_issues(reports.read_document_files(spark, path)).select(names).collect())
+        )
+        assert found.count() == len(rows)
+        assert len(parts) > 8 and max(r["count"] for r in parts) < 400
+        # The job reads its documents so, too.
+        whole = []
+        monkeypatch.setattr(reports, "read_document_files", lambda *a: whole.append(a))
+        assert file_jobs.issue_files(spark, sf_dir).count() > 0 and not whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("document", ['{"issues":[{"engineId":"e"}]}', '{\n"issues":[\n{"engineId":"e"}\n]\n}', '{"issues":[\n{"engineId":\n]}'])
+def test_other_documents_are_not_read_in_parts(spark, tmp_path, document):
+    (tmp_path / "a.json").write_text(document)
+    with pytest.raises(Exception, match="not in lines|MALFORMED"):
+        reports.read_issue_files(spark, str(tmp_path)).collect()
+
+
 def test_history(spark):
     hours = [0, 0, 0, 1, 5, 5, 30]
     states = ["passed", "failed", "failed", "passed", "failed", "skipped", "failed"]
