@@ -42,6 +42,8 @@ CHUNK_BYTES = 32 << 20
 #: Bytes that are sorted at a time, and keys that are held before they are summed.
 PART_BYTES = 4 << 20
 HELD_KEYS = 4_000_000
+#: Ranges of keys that are summed one after another.
+RANGES = 8
 _START = b"\n" * DEPTH
 #: The end token's key; words have smaller ones, byte sequences none below zero.
 _END = -1
@@ -56,6 +58,11 @@ def _opened(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _parted(data: bytes) -> list[bytes]:
+    """The texts of a row of a chunk."""
+    return _opened(data).split(b"\n")
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Numbers in rising order: their differences, by byte planes, compressed."""
     steps = np.diff(numbers.astype("<i8"), prepend=0).view("<u8")
@@ -111,6 +118,27 @@ def _sequences(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], sizes
 
 
+def _sorted_codes(parts: list[list[bytes]], train: list[list[bool]] | None = None) -> np.ndarray:
+    """Codes of all texts of a few parts, in order; with ``train``, its bit comes last in each.
+
+    They are made part by part and sorted where they are, so that they are held once.
+    """
+    out, end = np.empty(_size(parts), np.uint64), 0
+    for number, part in enumerate(parts):
+        code, sizes = _sequences(part)
+        if train:
+            code <<= np.uint64(1)
+            code |= np.repeat(np.array(train[number], bool), sizes)
+        out[end : end + len(code)] = code
+        end += len(code)
+    out.sort()
+    return out
+
+
+def _size(parts: list[list[bytes]]) -> int:
+    return sum(len(stream) + 1 for part in parts for stream in part)
+
+
 def _words(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Negative keys of the distinct words of some texts, the place of every word among them, and where each text begins.
 
@@ -141,9 +169,26 @@ def _firsts(numbers: np.ndarray) -> np.ndarray:
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
+    counts = counts[order]
+    del order
     first = _firsts(keys)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=counts.dtype) if len(first) else counts
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of sorted runs of keys, by ranges of keys, so that only one range is held a second time; the runs are given up."""
+    longest = max(keys, key=len)
+    borders = longest[len(longest) * np.arange(1, RANGES) // RANGES] if len(longest) else longest
+    cuts = [[0, *np.searchsorted(k, borders), len(k)] for k in keys]
+    sums = []
+    for r in range(len(borders) + 1):
+        own, n = ([x[c[r] : c[r + 1]] for x, c in zip(runs, cuts, strict=True)] for runs in (keys, counts))
+        sums.append(_summed(np.concatenate(own), np.concatenate(n)))
+    del own, n, longest
+    keys.clear()
+    counts.clear()
+    return np.concatenate([k for k, _ in sums]), np.concatenate([n for _, n in sums])
 
 
 class _Gathered:
@@ -151,39 +196,46 @@ class _Gathered:
 
     def __init__(self) -> None:
         self.keys, self.counts = [], []
-        self.streams, self.train, self.codes = [], [], []
+        self.parts, self.train = [], []
         self.size = 0
 
     def add(self, streams: list[bytes], train: list[bool]) -> None:
         """Adds a few texts."""
-        code, sizes = _sequences(streams)
-        self.codes.append(code << np.uint64(1) | np.repeat(np.array(train, np.uint64), sizes))
-        self.streams += streams
-        self.train += train
-        self.size += len(code)
-        if self.size > PART_BYTES:
+        size = _size([streams])
+        if self.size + size > PART_BYTES:
             self._count()
+        self.parts.append(streams)
+        self.train.append(train)
+        self.size += size
 
     def _count(self) -> None:
-        if not self.streams:
+        if not self.parts:
             return
-        both = np.concatenate(self.codes)
-        both.sort()
-        code, n = both >> np.uint64(1), both & np.uint64(1)
+        code = _sorted_codes(self.parts, self.train)
+        n = np.empty(len(code), bool)
+        np.bitwise_and(code, np.uint64(1), out=n, casting="unsafe")
+        code >>= np.uint64(1)
         first = _firsts(code)
-        self.keys.append(code[first].astype(np.int64))
-        self.counts.append(np.add.reduceat(n.view(np.int64), first))
-        keys, at, starts = _words(self.streams)
-        train = np.repeat(self.train, np.diff(np.append(starts, len(at))))
-        counts = np.bincount(at[train], minlength=len(keys))
-        self.keys.append(np.append(keys[keys != _END], _END))
-        self.counts.append(np.append(counts[keys != _END], sum(self.train)))
-        self.streams, self.train, self.codes, self.size = [], [], [], 0
-        if sum(map(len, self.keys)) > HELD_KEYS:
+        counts = np.add.reduceat(n, first, dtype=np.uint32)
+        code = code[first]
+        del n, first
+        self._hold(code.view(np.int64), counts)
+        keys, at, starts = _words([stream for part in self.parts for stream in part])
+        train = np.array([own for part in self.train for own in part])
+        counts = np.bincount(at[np.repeat(train, np.diff(np.append(starts, len(at))))], minlength=len(keys))
+        # Every text has one end beside its words.
+        counts[keys == _END] = 0
+        self._hold(*_summed(np.append(keys, _END), np.append(counts, train.sum()).astype(np.uint32)))
+        self.parts, self.train, self.size = [], [], 0
+
+    def _hold(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        if sum(map(len, self.keys)) + len(keys) > HELD_KEYS and len(self.keys) > 1:
             self._sum()
+        self.keys.append(keys)
+        self.counts.append(counts)
 
     def _sum(self) -> None:
-        keys, counts = _summed(np.concatenate(self.keys), np.concatenate(self.counts))
+        keys, counts = _merged(self.keys, self.counts)
         self.keys, self.counts = [keys], [counts]
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
@@ -194,16 +246,20 @@ class _Gathered:
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     # Sequences of one beginning stay together, so that their differences are small.
-    mixed = np.where(keys < 0, keys, keys >> 16).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((mixed ^ mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    mixed = np.where(keys < 0, keys, keys >> 16).view(np.uint64)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed %= np.uint64(buckets)
+    return mixed.view(np.int64)
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of sorted keys by bucket, the buckets that occur, and where each begins in it."""
-    bucket = _bucket(keys, buckets)
-    order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
-    return order, found, first
+    bucket = _bucket(keys, buckets).astype(np.min_scalar_type(buckets))
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = _firsts(bucket)
+    return order, bucket[first].astype(np.int64), first
 
 
 def _gather(buckets: int):
@@ -213,20 +269,21 @@ def _gather(buckets: int):
     def out(chunk: int, held: _Gathered) -> pa.RecordBatch:
         keys, counts = held.result()
         order, found, first = _by_bucket(keys, buckets)
-        keys = [_pack(k) for k in np.split(keys[order], first[1:])]
-        counts = [_packed(c.astype("<u4").tobytes()) for c in np.split(counts[order], first[1:])]
+        places = np.split(order, first[1:])
+        keys = [_pack(keys[own]) for own in places]
+        counts = [_packed(counts[own].astype("<u4").tobytes()) for own in places]
         return batch_of(schema, [np.full(len(found), chunk), found, keys, counts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, _Gathered()
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "data")), strict=True)
+            rows = zip(batch.column("chunk").to_pylist(), batch.column("train"), batch.column("data"), strict=True)
             for chunk, train, data in rows:
                 if chunk != current and current is not None:
                     yield out(current, held)
                     held = _Gathered()
                 current = chunk
-                held.add(_opened(data).split(b"\n"), train)
+                held.add(_parted(data.as_py()), train.as_py())
         if current is not None:
             yield out(current, held)
 
@@ -418,57 +475,69 @@ def sequence_values(sequences: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(_values(top, buckets), "bucket long, key long, value double")
 
 
-def _chunk_keys(parts: list[list[bytes]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def _chunk_keys(parts: Iterator[list[bytes]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """The distinct keys of a chunk as ``_Gathered`` has them, and its words by groups of parts."""
-    keys, words, codes, streams = [np.array([_END])], [], [], []
-    size = 0
-    for number, part in enumerate(parts):
-        codes.append(_sequences(part)[0])
-        streams += part
-        size += len(codes[-1])
-        if size > PART_BYTES or number == len(parts) - 1:
-            code = np.concatenate(codes)
-            code.sort()
-            words.append(_words(streams))
-            keys += [code[_firsts(code)].astype(np.int64), words[-1][0]]
-            codes, streams, size = [], [], 0
-            if sum(map(len, keys)) > HELD_KEYS:
-                keys = [_distinct(keys)]
+    keys, words, held, size = [np.array([_END])], [], [], 0
+
+    def close() -> None:
+        code = _sorted_codes(held)
+        code = code[_firsts(code)].view(np.int64)
+        words.append(_words([stream for part in held for stream in part]))
+        held.clear()
+        for own in (code, words[-1][0]):
+            if sum(map(len, keys)) + len(own) > HELD_KEYS and len(keys) > 1:
+                keys.append(_distinct(keys))
+            keys.append(own)
+
+    for part in parts:
+        if held and size + _size([part]) > PART_BYTES:
+            close()
+            size = 0
+        held.append(part)
+        size += _size([part])
+    close()
     return _distinct(keys), words
 
 
-def _distinct(keys: list[np.ndarray]) -> np.ndarray:
-    both = np.concatenate(keys)
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct numbers of the parts, in order; the parts are given up, so that nothing is held twice."""
+    both = np.concatenate(parts)
+    parts.clear()
     both.sort()
     return both[_firsts(both)]
 
 
 def _scorer(buckets: int, total: int, distinct: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = zip(*(texts.column(c).to_pylist() for c in ("ids", "train", "data")), strict=True)
-        ids, train, parts = zip(*((ids, own, _opened(data).split(b"\n")) for ids, own, data in rows), strict=True)
-        keys, words = _chunk_keys(parts)
-        order, found, _ = _by_bucket(keys, buckets)
+        ids, train, packed = (texts.column(c).to_pylist() for c in ("ids", "train", "data"))
+        # The texts are opened twice, a part at a time, so that a chunk is not held in full.
+        keys, words = _chunk_keys(map(_parted, packed))
+        order, found, first = _by_bucket(keys, buckets)
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("bucket", "words", "logs")), strict=True))
         if [r[0] for r in rows] != found.tolist():
             raise ValueError("a chunk's answers are not for its keys")
         # Words come first among the keys and in each pack.
         split = int(np.searchsorted(keys, 0))
-        values = np.empty(len(keys))
-        values[order[order < split]] = np.concatenate([np.frombuffer(_opened(r[1]), "<i8") for r in rows])
-        values[order[order >= split]] = np.concatenate([np.frombuffer(_opened(r[2]), "<f4") for r in rows])
-        word_keys, word_counts = keys[:split], values[:split]
+        word_counts, logs = np.empty(split), np.empty(len(keys) - split, np.float32)
+        ends = np.append(first[1:], len(keys))
+        for row, begin, end in zip(rows, first, ends, strict=True):
+            border = begin + int(np.searchsorted(order[begin:end], split))
+            word_counts[order[begin:border]] = np.frombuffer(_opened(row[1]), "<i8")
+            logs[order[border:end] - split] = np.frombuffer(_opened(row[2]), "<f4")
+        del order, rows
+        word_keys, sequence_keys = keys[:split], keys[split:]
         base_logs = np.log10((word_counts + 1) / (total + distinct + 1))
-        sequence_keys, logs = keys[split:], values[split:]
         columns = {name: [] for name in ("n_tokens", "n_known", "base_score", "score")}
-        for part in parts:
+        for part in map(_parted, packed):
             code, sizes = _sequences(part)
-            both = np.sort(code << _DOC_BITS | np.repeat(np.arange(len(part), dtype=np.uint64), sizes))
-            code = both >> _DOC_BITS
+            code <<= _DOC_BITS
+            code |= np.repeat(np.arange(len(part), dtype=np.uint8), sizes)
+            code.sort()
+            whose = code.astype(np.uint8)
+            code >>= _DOC_BITS
             first = _firsts(code)
-            at = np.searchsorted(sequence_keys, code[first].astype(np.int64))
-            value = np.repeat(logs[at], np.diff(np.append(first, len(code))))
-            whose = (both & ((np.uint64(1) << _DOC_BITS) - np.uint64(1))).astype(np.int64)
+            at = np.searchsorted(sequence_keys, code[first].view(np.int64))
+            value = np.repeat(logs[at].astype(float), np.diff(np.append(first, len(code))))
             columns["score"].append(np.bincount(whose, value, len(part)))
         for own, at, starts in words:
             place, is_word = np.searchsorted(word_keys, own), own != _END

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -126,3 +127,34 @@ def test_a_word_is_hashed_once_for_a_group_of_texts(monkeypatch):
     assert len(hashed) <= len(words) + 1
     assert dict(zip(keys.tolist(), counts.tolist()))[-1] == 2
     assert counts[keys < -1].tolist() == [1] * len(words)
+
+
+def test_a_chunk_takes_memory_for_a_part_and_its_keys(sentence, monkeypatch):
+    monkeypatch.setattr(ct, "PART_BYTES", 400_000)
+    monkeypatch.setattr(ct, "HELD_KEYS", 300_000)
+    parts = [[sentence(2000, 10_000).encode() for _ in range(4)] for _ in range(40)]
+
+    def peak(run):
+        run()  # what is imported at the first call
+        tracemalloc.start()
+        found = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, most
+
+    def gathered():
+        held = ct._Gathered()
+        for part in parts:
+            held.add(part, [True, False, True, True])
+        return held.result()
+
+    (keys, counts), most = peak(gathered)
+    count = Counter(ct._sequences([s for part in parts for s in part])[0].tolist())
+    own = Counter(ct._sequences([s for part in parts for s in part[:1] + part[2:]])[0].tolist())
+    assert dict(zip(keys[keys >= 0].tolist(), counts[keys >= 0].tolist())) == {k: own[k] for k in count}
+    assert counts[keys < 0].sum() == 40 * 3 * 2001
+    # Codes of 8 bytes, keys and counts of 12 that are held and summed, and what the words take.
+    assert most < 10 * ct.PART_BYTES + 25 * ct.HELD_KEYS + 5_000_000
+    (own_keys, _), most = peak(lambda: ct._chunk_keys(iter(parts)))
+    assert own_keys.tolist() == keys.tolist()
+    assert most < 10 * ct.PART_BYTES + 25 * ct.HELD_KEYS + 5_000_000
