@@ -41,6 +41,7 @@ def escape_cdata(raw: Column) -> Column:
             inner = F.replace(inner, F.lit(character), F.lit(entity))
         return F.when(number == 0, text).otherwise(F.concat(inner, rest))
 
-    opening = "<![CDATA["
+    # Without the "<", at which a search would stop for every tag; text without a section comes back as it is.
+    opening = "![CDATA["
     pieces = F.transform(F.split(raw, r"<!\[CDATA\["), piece)
     return F.when(F.contains(raw, F.lit(opening)), F.array_join(pieces, "")).otherwise(raw)

@@ -666,8 +666,17 @@ def stream_parse_002(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_status_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = _landed(spark, sf_dir)
     transfers, acks = fresh_path(spark, "transfers"), fresh_path(spark, "acks")
-    for maintain, path in ((refresh.maintain_transfers, transfers), (refresh.maintain_acknowledgements, acks)):
-        maintain(landed, path, fresh_path(spark, "progress"), lag=None).awaitTermination()
+    # Neither reads what the other writes, so the tasks of one fill the cores that a batch of the other leaves idle.
+    streams = [
+        maintain(landed, path, fresh_path(spark, "progress"), lag=None)
+        for maintain, path in ((refresh.maintain_transfers, transfers), (refresh.maintain_acknowledgements, acks))
+    ]
+    try:
+        for stream in streams:
+            stream.awaitTermination()
+    finally:
+        for stream in streams:
+            stream.stop()
     target = fresh_path(spark, "joined")
     refresh.maintain_status_join(
         refresh.stream_table(spark, transfers, spark.read.parquet(transfers).schema),

@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from opsmill.operators.payments import joined_columns, parse_acknowledgements, parse_transfers, status_pairs
+from opsmill.operators.payments import (
+    ACK_COLUMNS,
+    TRANSFER_COLUMNS,
+    joined_columns,
+    parse_acknowledgements,
+    parse_transfers,
+    status_pairs,
+)
 from opsmill.sources.files import as_messages
 from opsmill.streaming.graph import BASE, Batch, Maintained, RefreshGraph
 from opsmill.streaming.runs import ORDER, RunTable
@@ -157,14 +164,15 @@ def maintain_status_join(
     """Keep the join of two streams of parsed rows up to date, with no time bound.
 
     Nothing is in the state store: the rows of both sides are tables of runs below the target,
-    dealt into folders by their message, and a batch looks its new rows up in them.
+    dealt into folders by their message, and a batch looks its new rows up in them. They have the
+    columns that the join reads; a batch is read as it is, so others would be read, dealt and written as well.
     Nothing that is written changes later: a batch appends its
     transfers and its new pairs, and ``current_status_join`` finds the transfers that
     have no pair. A version makes a batch visible as a whole or not at all, and a
     replayed batch counts once.
     """
-    both = transfers.select(F.struct("*").alias("p")).unionByName(
-        acks.select(F.struct("*").alias("a")), allowMissingColumns=True
+    both = transfers.select(F.struct(*TRANSFER_COLUMNS).alias("p")).unionByName(
+        acks.select(F.struct(*ACK_COLUMNS).alias("a")), allowMissingColumns=True
     )
     tables = payment_tables(
         lambda base: base.where("p IS NOT NULL").select("p.*"),

@@ -87,8 +87,11 @@ class RunTable:
     def rows(self, runs: list[Run], schema: StructType) -> DataFrame:
         """The rows of some runs, with their order."""
         parts = [self.spark.read.schema(schema).parquet(r.path).withColumn(ORDER, F.lit(i)) for i, r in enumerate(runs)]
-        none = self.spark.createDataFrame([], schema).withColumn(ORDER, F.lit(0))
-        return reduce(DataFrame.unionByName, parts) if parts else none
+        if parts:
+            return reduce(DataFrame.unionByName, parts)
+        # Known to be empty when it is planned, so that joins with it are left out.
+        columns = [F.lit(None).cast(c.dataType).alias(c.name) for c in schema.fields]
+        return self.spark.range(1).limit(0).select(*columns, F.lit(0).alias(ORDER))
 
     def read(self) -> DataFrame:
         """The table as its latest version has it."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from opsmill.operators import payments, readings
 from opsmill.plans import inputs
 from opsmill.session import materialize
-from opsmill.streaming import graph, refresh
+from opsmill.streaming import graph, refresh, runs
 
 
 def same(one, two):
@@ -229,3 +229,47 @@ def test_late_acknowledgements_read_only_the_folders_of_their_messages(spark, tm
     ).count() > 0
     bucket = transfers.select(F.pmod(F.xxhash64(F.lit(message)), F.lit(refresh.BUCKETS))).first()[0]
     assert "bucket#" in seen[-1] and f"= {bucket})" in seen[-1] and "PartitionFilters" in seen[-1]
+
+
+def test_the_status_join_keeps_and_reads_what_it_joins_on(spark, tmp_path, raw):
+    transfers, acks = payments.parse_transfers(raw), payments.parse_acknowledgements(raw)
+    paths = {n: str(tmp_path / n) for n in ("transfers", "acks", "target", "progress")}
+    half = F.xxhash64("source_filename") % 2 == 0
+
+    def refreshed():
+        refresh.maintain_status_join(
+            refresh.stream_table(spark, paths["transfers"], transfers.schema),
+            refresh.stream_table(spark, paths["acks"], acks.schema),
+            paths["target"], paths["progress"], lag=None,
+        ).awaitTermination()
+        batch = payments.join_status(*[spark.read.parquet(paths[n]) for n in ("transfers", "acks")])
+        kept = refresh.current_status_join(spark, paths["target"])
+        assert same(kept.select(*batch.columns).drop("joined_at"), batch.drop("joined_at"))
+        assert not kept.where("pacs002_file IS NOT NULL").isEmpty()
+
+    transfers.where(half).write.parquet(paths["transfers"])
+    acks.where(half).write.parquet(paths["acks"])
+    # The first batch finds tables as they were written before, with all columns.
+    base = spark.read.parquet(paths["transfers"]).select(F.struct("*").alias("p")).unionByName(
+        spark.read.parquet(paths["acks"]).select(F.struct("*").alias("a")), allowMissingColumns=True
+    )
+    tables = refresh.payment_tables(
+        lambda b: b.where("p IS NOT NULL").select("p.*"), lambda b: b.where("a IS NOT NULL").select("a.*"),
+        folder=paths["target"], merge_below=0,
+    )
+    graph.RefreshGraph(spark, f"{paths['target']}/_inputs", tables).refresh(base, 0)
+    refreshed()
+    transfers.where(~half).write.mode("append").parquet(paths["transfers"])
+    acks.where(~half).write.mode("append").parquet(paths["acks"])
+    refreshed()
+    for name, columns in (("transfers", payments.TRANSFER_COLUMNS), ("acks", payments.ACK_COLUMNS)):
+        run = runs.RunTable(spark, f"{paths['target']}/_inputs/{name}").version().increment
+        assert set(spark.read.parquet(run.path).columns) == {*columns, "bucket"}
+
+
+def test_a_table_without_runs_is_known_to_be_empty(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x")], "k int, v string")
+    none = runs.RunTable(spark, str(tmp_path)).rows([], rows.schema)
+    assert none.drop(runs.ORDER).schema == rows.schema and none.isEmpty()
+    plan = rows.join(none, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation <empty>" in plan and "Join" not in plan
